@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.ids import canonical_id, canonical_id_sql
+from panelwright.operators.fill import Field, Tie, apply_fills, propagate_fills
 from panelwright.operators.intervals import gaps_within_label, periods_and_gaps
 from panelwright.operators.rolling_totals import rolling_totals
 from panelwright.sources.tables import table
@@ -51,6 +52,50 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return gaps.select(F.col("entity").alias("maskedMatchId"), _moment("gap_start").alias("gapStart"), _moment("gap_end").alias("gapEnd"))
 
 
+def _bare(c: str) -> F.Column:
+    """Without outer blanks of any kind, in upper case."""
+    return F.upper(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+
+
+def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, list[Field], list[Tie]]:
+    """``facts`` with clean codes beside the given ones, and the graph its fills come from."""
+    units = table(spark, d, "org_units")
+    sites = units.select(F.col("locationId").alias("_site")).distinct()
+    departments = units.select(F.col("department").alias("_department")).distinct()
+    facts = table(spark, d, "facts")
+    facts = facts.join(sites, _bare("locationId") == F.upper("_site"), "left").join(departments, _bare("department") == F.upper("_department"), "left")
+    hours, away = F.col("shiftDurationHrs"), (F.col("isVacationTime") == 1) | (F.col("isUnpaidTime") == 1)
+    at_work = ~F.coalesce(away, F.lit(False))
+    shift = F.initcap(_bare("shift"))
+    facts = facts.withColumns({"_shift": F.when(shift.isin("First", "Second", "Third"), shift), "_hours": F.when((hours > 0) & (hours <= 24), hours), "_member": canonical_id("maskedMatchId")})
+    fields = [
+        Field("department", F.col("_department"), "category"),
+        Field("locationId", F.col("_site"), "category"),
+        Field("shift", F.col("_shift"), "category", at_work),
+        Field("shiftDurationHrs", F.col("_hours"), "number", at_work),
+    ]
+    member, manager, site, department, day = (F.col(c) for c in ("_member", "managersMatchValue", "_site", "_department", "date"))
+    ties = [
+        Tie("member", (member,), 4.0, ("department", "locationId", "shift", "shiftDurationHrs")),
+        Tie("manager", (manager,), 1.0, ("department", "locationId")),
+        Tie("manager and shift", (manager, F.col("_shift")), 0.5, ("department", "locationId", "shiftDurationHrs")),
+        Tie("unit and day", (site, department, day), 0.5, ("shift", "shiftDurationHrs")),
+        Tie("member and shift", (member, F.col("_shift")), 4.0, ("shiftDurationHrs",)),
+        Tie("member and length", (member, F.round(F.col("_hours") * 2)), 1.0, ("shift",)),
+    ]
+    return facts, fields, ties
+
+
+def p6_filled(spark: SparkSession, d: str) -> DataFrame:
+    facts, fields, ties = _facts(spark, d)
+    out = apply_fills(facts, "row_id", fields, propagate_fills(facts, "row_id", fields, ties))
+    return out.withColumn("maskedMatchId", F.col("_member")).drop("_site", "_department", "_shift", "_hours", "_member")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return propagate_fills(*(lambda f, fields, ties: (f, "row_id", fields, ties))(*_facts(spark, d))).select("row_id", "field")
+
+
 _ID = canonical_id_sql("maskedMatchId")
 
 _P1 = f"""
@@ -72,7 +117,24 @@ n AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER
 p AS (SELECT m, k, min(s) AS ps, max(e) AS pe FROM n GROUP BY m, k)
 """
 
+def _p6(field: str, missing: str) -> str:
+    return f"""SELECT row_id, '{field}' AS "field" FROM facts WHERE {missing}"""
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace({c}, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')"
+
+
+_AT_WORK = "NOT coalesce(isVacationTime = 1 OR isUnpaidTime = 1, false)"
+_P6 = " UNION ALL ".join([
+    _p6("department", f"coalesce(upper({_trimmed('department')}) NOT IN (SELECT upper(department) FROM org_units), true)"),
+    _p6("locationId", f"coalesce(upper({_trimmed('locationId')}) NOT IN (SELECT upper(locationId) FROM org_units), true)"),
+    _p6("shift", f"coalesce(upper({_trimmed('shift')}) NOT IN ('FIRST', 'SECOND', 'THIRD'), true) AND {_AT_WORK}"),
+    _p6("shiftDurationHrs", f"NOT coalesce(NOT isnan(shiftDurationHrs) AND shiftDurationHrs > 0 AND shiftDurationHrs <= 24, false) AND {_AT_WORK}"),
+])
+
 SQL = {
+    "p6_found": _P6,
     "p1_rolling_no_shows": _P1 + """SELECT m AS "maskedMatchId", strftime(d, '%Y-%m-%d') AS "date", CAST(t7 AS BIGINT) AS "noShows_7d", CAST(t30 AS BIGINT) AS "noShows_30d",
         round(t7 / 7.0, 6) AS "noShowAverage_7d", round(t30 / 30.0, 6) AS "noShowAverage_30d" FROM rolled""",
     "p1_found": _P1 + """SELECT m AS "maskedMatchId", strftime(d, '%Y-%m-%d') AS "date" FROM rolled WHERE t7 <> c""",
@@ -81,4 +143,4 @@ SQL = {
         WHERE EXISTS (SELECT 1 FROM n x JOIN n y ON x.m = y.m AND x.w = y.w WHERE x.m = a.m AND x.k = a.k AND y.k = b.k)""",
 }
 
-QUERIES = {"p1_rolling_no_shows": p1_rolling_no_shows, "p1_found": p1_found, "p3_periods": p3_periods, "p3_found": p3_found}
+QUERIES = {"p1_rolling_no_shows": p1_rolling_no_shows, "p1_found": p1_found, "p3_periods": p3_periods, "p3_found": p3_found, "p6_filled": p6_filled, "p6_found": p6_found}
