@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.ids import canonical_id, canonical_id_sql
+from panelwright.functions.ids import canonical_id, canonical_id_sql, canonical_name
+from panelwright.llm.mixture import mix_sources
 from panelwright.llm.nearest_time import match_nearest_time
+from panelwright.llm.packing import pack_items
 from panelwright.llm.runs import collapse_runs
 from panelwright.llm.splits import grouped_splits
+from panelwright.llm.tokens import with_token_counts
 from panelwright.sources.tables import table
 
+CAPACITY = 2048
+
 
 def _day(c: F.Column) -> F.Column:
     return F.date_format(F.date_from_unix_date(c.cast("int")), "yyyy-MM-dd")
@@ -74,6 +79,47 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(spark, d).where("worked = 1 and days >= 2").select("maskedMatchId", "runStart", "runEnd")
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack_items(with_token_counts(table(spark, d, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, by the number of containers and tokens."""
+    bins = p7_packing(spark, d).groupBy("shard", "bin").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    used = F.sum("used")
+    return bins.agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), used.alias("tokens"), F.round(used / (F.count(F.lit(1)) * CAPACITY), 6).alias("filled"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_packing(spark, d).where("piece = 1").select("doc_id")
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", canonical_name("source").alias("leaf"))
+    sized = with_token_counts(docs, "text", ["doc_id", "lang", "leaf"])
+    targets = table(spark, d, "source_targets").select("source", canonical_name("source").alias("leaf"), "target_share", "max_repeats").collect()  # a fixed table
+    # A source stands under the language most of its posts are marked with.
+    known = docs.where(F.col("leaf").isin([t["leaf"] for t in targets])).groupBy("leaf", "lang").count()
+    most = {r["leaf"]: r["lang"] for r in known.groupBy("leaf").agg(F.max_by("lang", F.struct("count", "lang")).alias("lang")).collect()}
+    tree = [(("posts", most.get(t["leaf"]) or ""), t["leaf"], float(t["target_share"]), int(t["max_repeats"])) for t in targets]
+    uses, report = mix_sources(sized, "doc_id", "leaf", "n_tokens", tree)
+    names = spark.createDataFrame([(t["source"], t["leaf"]) for t in targets], "source string, leaf string")
+    return uses, report.join(F.broadcast(names), "leaf")
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0].select("doc_id", F.col("leaf").alias("source"), "uses")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    report = _mixture(spark, d)[1]
+    return report.select("source", "target_share", F.round("reached_share", 6).alias("reached_share"), "target_tokens", "available_tokens", "drawn_tokens", "short")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1].where("short").select("source")
+
+
 _ID = canonical_id_sql("maskedMatchId")
 
 _P2 = f"""
@@ -111,4 +157,5 @@ SQL = {
 QUERIES = {
     "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
     "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found,
+    "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_found": p8_found,
 }
