@@ -9,6 +9,7 @@ from panelwright.functions.ids import canonical_id, canonical_id_sql, canonical_
 from panelwright.llm.mixture import mix_sources
 from panelwright.llm.nearest_time import match_nearest_time
 from panelwright.llm.packing import pack_items
+from panelwright.llm.quality import text_quality
 from panelwright.llm.runs import collapse_runs
 from panelwright.llm.splits import grouped_splits
 from panelwright.llm.tokens import with_token_counts
@@ -120,6 +121,27 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1].where("short").select("source")
 
 
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    common: dict[str, list[str]] = {}
+    for r in table(spark, d, "common_words").where("lang is not null and word is not null").collect():  # a fixed list
+        common.setdefault(r["lang"], []).append(r["word"].lower())
+    return text_quality(table(spark, d, "documents"), "doc_id", "text", dict(sorted(common.items())))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    ratios = ["mean_word_length", "symbol_ratio", "lines_ending_in_punctuation", "common_word_share"]
+    return _quality(spark, d).select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ratios])
+
+
+def p9_structure(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(spark, d).select("doc_id", "structure", "language", "prose_chars", "list_chars", "table_chars", "junk_chars", "code_chars")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.col("list_chars") + F.col("table_chars") + F.col("junk_chars")
+    return _quality(spark, d).where(bad > F.col("prose_chars") + F.col("code_chars")).select("doc_id")
+
+
 _ID = canonical_id_sql("maskedMatchId")
 
 _P2 = f"""
@@ -146,7 +168,20 @@ k AS (SELECT m, d, d - CAST(row_number() OVER (PARTITION BY m ORDER BY d) AS INT
 r AS (SELECT m, min(d) AS lo, max(d) AS hi, count(*) AS n FROM k GROUP BY m, g)
 """
 
+_P9 = """
+WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS word FROM t),
+n AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS letters FROM w GROUP BY doc_id),
+c AS (SELECT doc_id, max(k) AS common FROM (SELECT doc_id, lang, count(*) AS k FROM w JOIN (SELECT DISTINCT lang, lower(word) AS word FROM common_words) q ON lower(w.word) = q.word GROUP BY doc_id, lang) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(regexp_replace(line, '\\s+$', ''), '[.!?:;,…]["''”’)]*$')) AS ended
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '\\S') GROUP BY doc_id),
+s AS (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS dense, length(regexp_replace(text, '[\\s\\p{L}\\p{N}]', '', 'g')) AS symbols FROM t)
+"""
+
 SQL = {
+    "p9_statistics": _P9 + """SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, round(coalesce(letters / n_words, 0.0), 6) AS mean_word_length,
+        round(CASE WHEN dense > 0 THEN symbols / dense ELSE 0.0 END, 6) AS symbol_ratio, round(coalesce(ended / lines, 0.0), 6) AS lines_ending_in_punctuation,
+        round(coalesce(common / n_words, 0.0), 6) AS common_word_share FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "p2_found": _P2 + """SELECT person AS "maskedMatchId" FROM p WHERE person IS NOT NULL GROUP BY person HAVING count(DISTINCT fold_id) > 1""",
     "p4_nearest_shift": _P4 + """SELECT swipe_id, shift_id, CAST(seconds_apart AS DOUBLE) AS seconds_apart FROM k""",
     "p4_found": _P4 + """SELECT swipe_id, shift_id FROM k WHERE shift_id IS NOT NULL""",
@@ -158,4 +193,5 @@ QUERIES = {
     "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
     "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found,
     "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_found": p8_found,
+    "p9_statistics": p9_statistics, "p9_structure": p9_structure, "p9_found": p9_found,
 }
