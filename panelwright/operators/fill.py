@@ -104,13 +104,13 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         said = observed.unionByName(back).groupBy("g", "field", "value").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total"))
 
     # Greatest share first; shares are compared to nine places, so that the order of summation decides nothing.
-    best = F.max_by(F.struct("value", "share", "number"), F.struct(F.round("share", 9), _descending("value")))
+    best = F.min_by(F.struct("value", "share", "number"), F.struct(-F.round("share", 9), "value"))
     chosen = now.groupBy("_key", "field").agg(best.alias("b")).select("_key", "field", "b.*")
     overall = None  # one row per field
     for f in fields:
         if f.kind == "category":
             one = rows.where(f"o_{f.name} is not null").groupBy(F.col(f"o_{f.name}").alias("v")).count()
-            one = one.agg(F.max_by("v", F.struct("count", _descending("v"))).alias("o_value"), F.lit(None).cast("double").alias("o_number"))
+            one = one.agg(F.min_by("v", F.struct(-F.col("count"), "v")).alias("o_value"), F.lit(None).cast("double").alias("o_number"))
         else:
             one = rows.agg(F.lit(None).cast("string").alias("o_value"), F.avg(f"o_{f.name}").alias("o_number"))
         one = one.withColumn("field", F.lit(f.name))
@@ -124,11 +124,6 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     return out.select(F.col("_key").alias(key), "field", value.alias("value"), number.alias("number"), "share", method.alias("method"))
 
 
-def _descending(col: str) -> Column:
-    """A text that sorts the other way round under max: code points subtracted from the highest."""
-    return F.transform(F.split(F.col(col), ""), lambda c: -F.ascii(c))
-
-
 def apply_fills(df: DataFrame, key: str, fields: Sequence[Field], fills: DataFrame) -> DataFrame:
     """``df`` with each field clean and filled, and a flag ``{field}_filled`` beside it; every row is kept."""
     picked = [F.max(F.when(F.col("field") == f.name, F.col("value" if f.kind == "category" else "number"))).alias(f"_f_{f.name}") for f in fields]
