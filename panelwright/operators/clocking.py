@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.operators.dedupe import latest_per_key
 from panelwright.operators.frames import ratio, trailing_rows
 from panelwright.operators.joins import interval_nearest_join, pair_sequences
+from panelwright.session import materialise
 
 KEY = ["member", "workDate"]
 SHIFT_STARTS = {"First": 5, "Second": 14, "Third": 21}  # nominal hours
@@ -26,6 +27,10 @@ def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))) / 3600.0
 
 
+def _moment(us: str) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
+
+
 def event_code(kind: str = "type", pay: str = "payCode") -> Column:
     """1 clock-in, 2 meal-in, 3 meal-out, 4 clock-out, 0 anything else, nulls too."""
     clock, brk = F.col(pay) == "CLOCK", F.col(pay) == "BREAK"
@@ -67,8 +72,7 @@ def match_to_shifts(events: DataFrame, schedule: DataFrame, kind: str) -> DataFr
         lo, hi, anchor = F.col("start") - hours(18), F.col("start") + hours(6), F.col("start")
     else:
         lo, hi, anchor = F.col("start"), F.col("end") + hours(12), F.col("end")
-    found = interval_nearest_join(events, "event_id", "member", "at", shifts, "_id", lo, hi, anchor)
-    joined = events.join(found, "event_id", "left")
+    joined = interval_nearest_join(events, "event_id", "member", "at", shifts, "_id", lo, hi, anchor).withColumn("at", _moment("at"))
     own = F.date_sub(F.to_date("at"), F.when(F.hour("at") < 6, 1).otherwise(0))
     return joined.select("event_id", "member", "at", F.coalesce(F.date_from_unix_date(F.col("_id").cast("int")), own).alias("workDate"), F.col("_id").isNotNull().alias("matched"))
 
@@ -88,8 +92,7 @@ def attach_meals(meals: DataFrame, pairs: DataFrame) -> DataFrame:
     hi = F.coalesce(F.col("clockOut"), F.col("clockIn") + hours(16))
     days = pairs.withColumns({"_lo": lo, "_hi": hi, "_id": F.unix_date("workDate")})
     found = interval_nearest_join(meals, "event_id", "member", "at", days, "_id", F.col("_lo"), F.col("_hi"), F.col("_lo"))
-    found = found.where("_id is not null").join(meals, "event_id")
-    return found.select("member", F.date_from_unix_date(F.col("_id").cast("int")).alias("workDate"), "at")
+    return found.where("_id is not null").select("member", F.date_from_unix_date(F.col("_id").cast("int")).alias("workDate"), _moment("at").alias("at"))
 
 
 def meal_breaks(meal_ins: DataFrame, meal_outs: DataFrame) -> DataFrame:
@@ -154,8 +157,8 @@ def clock_metrics(swipes: DataFrame, schedule: DataFrame) -> dict[str, DataFrame
     """The whole way; ``swipes``: event_id, member, at, code; ``schedule``: member, workDate, start, end (one a day)."""
     of = lambda code: swipes.where(F.col("code") == code).select("event_id", "member", "at")
     ins, outs = match_to_shifts(of(1), schedule, "in"), match_to_shifts(of(4), schedule, "out")
-    pairs = clock_pairs(ins, outs)
-    meal_ins, meal_outs = attach_meals(of(2), pairs), attach_meals(of(3), pairs)
+    pairs = materialise(clock_pairs(ins, outs))  # each is read several times below
+    meal_ins, meal_outs = materialise(attach_meals(of(2), pairs)), materialise(attach_meals(of(3), pairs))
     meals = meal_breaks(meal_ins, meal_outs)
     days = pairs.join(meals.drop("completeness"), KEY, "full_outer")
     return {"ins": ins, "outs": outs, "pairs": pairs, "meal_ins": meal_ins, "meal_outs": meal_outs, "meals": meals, "days": day_metrics(days, schedule)}

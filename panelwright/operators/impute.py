@@ -25,13 +25,31 @@ def hierarchical_fill(df: DataFrame, value: str, levels: Sequence[Sequence[str]]
     return filled.withColumn(out, best).select(*df.columns, *([out] if out not in df.columns else []))
 
 
-def neighbour_repair(by: Sequence[str], order: Sequence[str], value: str, low: float, high: float, default: float) -> Column:
-    """Values outside low..high: mean of both neighbours, else the one there is, else the same two steps away, else
-    the default.  Neighbours are raw values; null stays null."""
-    w = ordered(by, order)
-    p1, n1, p2, n2 = F.lag(value, 1).over(w), F.lead(value, 1).over(w), F.lag(value, 2).over(w), F.lead(value, 2).over(w)
+def neighbours(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], value: str, steps: int = 2) -> DataFrame:
+    """``_prev1.., _next1..``: the value up to ``steps`` rows before and after within the group, whatever its size.
+
+    ``bucket`` (not falling along ``order``) cuts a group; neighbours are sought within the bucket.  A bucket's first
+    and last rows find the rest among the edge rows of all buckets of the group, which follow one another there.
+    """
+    held = F.struct(F.lit(True).alias("there"), F.col(value).alias("v"))
+    inside, down = ordered([*by, "_bucket"], order), ordered([*by, "_bucket"], [F.desc(c) for c in order])
+    df = df.withColumns({"_bucket": bucket, "_held": held})
+    near = {f"_{n}{k}": f(F.col("_held"), k).over(inside) for k in range(1, steps + 1) for n, f in (("prev", F.lag), ("next", F.lead))}
+    edge = (F.row_number().over(inside) <= steps) | (F.row_number().over(down) <= steps)
+    df = df.withColumns({**near, "_lane": F.when(~edge, F.col("_bucket"))})
+    along = ordered([*by, "_lane"], order)
+    far = {c: F.coalesce(F.col(c), F.when(F.col("_lane").isNull(), f(F.col("_held"), k).over(along))) for k in range(1, steps + 1) for c, f in ((f"_prev{k}", F.lag), (f"_next{k}", F.lead))}
+    df = df.withColumns(far)
+    return df.withColumns({c: F.col(f"{c}.v") for c in near}).drop("_bucket", "_held", "_lane")
+
+
+def neighbour_repair(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], value: str, low: float, high: float, default: float, out: str) -> DataFrame:
+    """``out``: values outside low..high become the mean of both neighbours, else the one there is, else the same two
+    steps away, else the default.  Neighbours are raw values; null stays null."""
+    p1, n1, p2, n2 = (F.col(c) for c in ("_prev1", "_next1", "_prev2", "_next2"))
     repaired = F.coalesce((p1 + n1) / 2, p1, n1, (p2 + n2) / 2, p2, n2, F.lit(default))
-    return F.when((F.col(value) < low) | (F.col(value) > high), repaired).otherwise(F.col(value))
+    fixed = F.when((F.col(value) < low) | (F.col(value) > high), repaired).otherwise(F.col(value))
+    return neighbours(df, by, bucket, order, value).withColumn(out, fixed).drop("_prev1", "_next1", "_prev2", "_next2")
 
 
 def group_first_fill(df: DataFrame, value: str, group: Sequence[str], default: str, out: str) -> DataFrame:

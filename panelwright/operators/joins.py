@@ -123,26 +123,31 @@ def nearest_holding(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.nd
     return np.where(gap_e <= gap_l, np.where(has_e, earlier, -1), later)
 
 
+NEVER = -(1 << 62)  # a time no interval holds
+
+
 def _nearest_worker() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ("entity", "bucket")):
             is_point = numbers(rows, "point").astype(bool)
-            at, lo, hi, ident = (numbers(rows, c).astype(np.int64) for c in ("at", "lo", "hi", "id"))
+            at, lo, hi, ident = (numbers(rows, c, NEVER).astype(np.int64) for c in ("at", "lo", "hi", "id"))
             ends = np.append(starts[1:], rows.num_rows)
-            left, right, gap = [], [], []
+            where, right, gap = [], [], []
             for a, b in zip(starts.tolist(), ends.tolist()):
                 p = is_point[a:b]
                 if not p.any():
                     continue
                 s = ~p
                 hit = nearest_holding(at[a:b][p], lo[a:b][s], hi[a:b][s], at[a:b][s])
-                left.append(ident[a:b][p])
+                where.append(a + np.flatnonzero(p))
                 ids, anchors = np.append(ident[a:b][s], 0), np.append(at[a:b][s], 0)
                 right.append(np.where(hit >= 0, ids[hit], np.iinfo(np.int64).min))
                 gap.append(np.where(hit >= 0, np.abs(at[a:b][p] - anchors[hit]), -1))
-            if left:
+            if where:
                 r, g = np.concatenate(right), np.concatenate(gap)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(r, mask=g < 0), pa.array(g, mask=g < 0)], ["_left", "_right", "distance_us"])
+                points = rows.select(["id", "entity", "at"]).take(pa.array(np.concatenate(where))).combine_chunks()
+                found = points.append_column("_right", pa.array(r, mask=g < 0)).append_column("distance_us", pa.array(g, mask=g < 0))
+                yield from found.to_batches()
 
     return run
 
@@ -151,7 +156,7 @@ def interval_nearest_join(
     points: DataFrame, point_id: str, entity: str, time: str, intervals: DataFrame, interval_id: str, lo: Column, hi: Column, anchor: Column,
     bucket_hours: int = 24,
 ) -> DataFrame:
-    """``point_id, interval_id, distance_us`` for every point: of the intervals of the same ``entity`` (a column of
+    """``point_id, entity, time, interval_id, distance_us`` for every point (time in microseconds): of the intervals of the same ``entity`` (a column of
     both sides) with lo <= time <= hi the one whose ``anchor`` is nearest; of equally near ones the earlier anchor,
     then the smaller id.  The anchor must lie within lo..hi.  Points without interval come out with nulls, points
     with null entity or time too; ids are whole numbers.
@@ -164,13 +169,15 @@ def interval_nearest_join(
     spans = intervals.select(F.col(entity).alias("entity"), F.col(interval_id).cast("long").alias("id"), us(lo).alias("lo"), us(hi).alias("hi"), us(anchor).alias("at"))
     spans = spans.where("entity is not null and id is not null and lo <= at and at <= hi").withColumn("bucket", F.explode(F.sequence(of(F.col("lo")), of(F.col("hi")))))
     at = us(F.col(time))
-    placed = F.col(entity).isNotNull() & at.isNotNull()
-    where = points.select(F.when(placed, F.col(entity)).alias("entity"), F.col(point_id).cast("long").alias("id"), F.when(placed, at).alias("at"))
-    where = where.select("entity", F.coalesce(of(F.col("at")), F.col("id")).alias("bucket"), F.lit(True).alias("point"), "at", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "id")
+    where = points.select(F.col(entity).alias("entity"), F.col(point_id).cast("long").alias("id"), at.alias("at"))
+    # A point that can match nothing is spread by its id instead of meeting the others at null.
+    bucket = F.when(F.col("entity").isNotNull() & F.col("at").isNotNull(), of(F.col("at"))).otherwise(F.col("id"))
+    where = where.select("entity", bucket.alias("bucket"), F.lit(True).alias("point"), "at", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), "id")
     merged = spans.select("entity", "bucket", F.lit(False).alias("point"), "at", "lo", "hi", "id").unionByName(where)
     merged = merged.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "at", "id")
-    out = merged.mapInArrow(_nearest_worker(), "_left long, _right long, distance_us long")
-    return out.select(F.col("_left").alias(point_id), F.col("_right").alias(interval_id), "distance_us")
+    kind = merged.schema["entity"].dataType.simpleString()
+    out = merged.mapInArrow(_nearest_worker(), f"id long, entity {kind}, at long, _right long, distance_us long")
+    return out.select(F.col("id").alias(point_id), F.col("entity").alias(entity), F.col("at").alias(time), F.col("_right").alias(interval_id), "distance_us")
 
 
 def pair_sequences(

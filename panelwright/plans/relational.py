@@ -136,7 +136,8 @@ def group_total_over_partition(spark, d):
     SELECT shift_id, round(CASE WHEN h < 2 OR h > 16 THEN coalesce((p1 + n1) / 2, p1, n1, (p2 + n2) / 2, p2, n2, 8.5) ELSE h END, 6) AS hours FROM n""")
 def neighbour_repair_hours(spark, d):
     s = shifts(spark, d).where("start is not null").withColumn("h", hours_between(F.col("start"), F.col("end")))
-    return s.select("shift_id", F.round(neighbour_repair(["member"], ["start", "shift_id"], "h", 2, 16, 8.5), 6).alias("hours"))
+    fixed = neighbour_repair(s, ["member"], F.to_date("start"), ["start", "shift_id"], "h", 2, 16, 8.5, "hours")
+    return fixed.select("shift_id", F.round("hours", 6).alias("hours"))
 
 
 _CATEGORY = """CASE WHEN vac IS NULL OR unpaid IS NULL THEN 'other_days' WHEN dur > 0 AND shift IN ('First', 'Second', 'Third') THEN 'real_shift' WHEN vac = 1 OR unpaid = 1 THEN 'planned_absence' WHEN shift IN ('First', 'Second', 'Third') OR dur > 0 THEN 'expected_work' ELSE 'other_days' END"""
@@ -165,12 +166,12 @@ def day_categorise(spark, d):
 
 
 @query(f"""WITH {_RAW}, v AS (SELECT *, CASE WHEN dur > 0 AND dur <= 24 THEN dur END AS h FROM raw), a AS (SELECT dept, loc, shift, day, avg(h) AS m FROM v WHERE h IS NOT NULL GROUP BY ALL), b AS (SELECT loc, shift, day, avg(h) AS m FROM v WHERE h IS NOT NULL GROUP BY ALL)
-    SELECT row_id, round(CASE WHEN coalesce(vac = 1 OR unpaid = 1, false) THEN NULL ELSE coalesce(h, a.m, b.m, 8.5) END, 6) AS hours FROM v LEFT JOIN a ON v.dept = a.dept AND v.loc = a.loc AND v.shift = a.shift AND v.day = a.day LEFT JOIN b ON v.loc = b.loc AND v.shift = b.shift AND v.day = b.day""")
+    SELECT row_id, round(CASE WHEN coalesce(vac = 1 OR unpaid = 1, false) THEN NULL ELSE coalesce(h, a.m, b.m, 8.5) END, 10) AS hours FROM v LEFT JOIN a ON v.dept = a.dept AND v.loc = a.loc AND v.shift = a.shift AND v.day = a.day LEFT JOIN b ON v.loc = b.loc AND v.shift = b.shift AND v.day = b.day""")
 def hierarchical_avg_fill(spark, d):
     v = _raw(spark, d).withColumn("h", F.when((F.col("dur") > 0) & (F.col("dur") <= 24), F.col("dur")))
     out = hierarchical_fill(v, "h", [["dept", "loc", "shift", "day"], ["loc", "shift", "day"]], 8.5, "hours")
     away = F.coalesce((F.col("vac") == 1) | (F.col("unpaid") == 1), F.lit(False))
-    return out.select("row_id", F.round(F.when(~away, F.col("hours")), 6).alias("hours"))
+    return out.select("row_id", F.round(F.when(~away, F.col("hours")), 10).alias("hours"))
 
 
 @query(f"WITH {_RAW}, g AS (SELECT day, loc, dept, min(mgr) AS m FROM raw WHERE mgr IS NOT NULL GROUP BY ALL) SELECT row_id, coalesce(mgr, g.m, 'EMPTY') AS manager FROM raw LEFT JOIN g ON raw.day = g.day AND raw.loc = g.loc AND raw.dept = g.dept")
@@ -249,8 +250,8 @@ def series_generator(spark, d):
     return spark.range(0, 101).toDF("percentile")
 
 
-@query("WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, value FROM events) SELECT DISTINCT user_id, day, count(*) OVER w AS rows_7d, round(coalesce(sum(value) OVER w, 0), 6) AS value_sum_7d, round(avg(value) OVER w, 6) AS value_avg_7d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)")
+@query("WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, value FROM events) SELECT DISTINCT user_id, day, count(*) OVER w AS rows_7d, round(coalesce(sum(value) OVER w, 0), 6) AS value_sum_7d, round(avg(value) OVER w, 10) AS value_avg_7d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)")
 def rolling_7d_range(spark, d):
     e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "value")
     s = trailing_group_stats(e, ["user_id"], "day", {"value": F.col("value")}, (7,))
-    return s.select("user_id", "day", "rows_7d", F.round("value_sum_7d", 6).alias("value_sum_7d"), F.round("value_avg_7d", 6).alias("value_avg_7d"))
+    return s.select("user_id", "day", "rows_7d", F.round("value_sum_7d", 6).alias("value_sum_7d"), F.round("value_avg_7d", 10).alias("value_avg_7d"))

@@ -8,7 +8,7 @@ from panelwright.functions.ids import canonical_id, canonical_name
 from panelwright.ml import encode, models, tuning, weights
 from panelwright.operators import clocking, curves
 from panelwright.operators.groups import trailing_distinct, trailing_group_stats
-from panelwright.operators.impute import neighbour_repair
+from panelwright.operators.impute import neighbour_repair, neighbours
 from panelwright.operators.islands import days_since_last, streaks
 from panelwright.operators.profile import profile
 from panelwright.operators.ranking import row_numbers, running_sums
@@ -38,12 +38,25 @@ def test_days_since_both_readings(spark):
     assert [(r["x"], r["y"]) for r in got] == [(0, 0), (1, 1), (2, 99)]
 
 
-def test_neighbour_repair(spark):
+@pytest.mark.parametrize("width", [1, 2, 100])
+def test_neighbour_repair(spark, width):
     rows = [("a", 1, 20.0), ("a", 2, 8.0), ("a", 3, 1.9), ("a", 4, 6.0), ("b", 1, 99.0), ("c", 1, None), ("d", 1, 2.0), ("d", 2, 16.0)]
-    df = spark.createDataFrame(rows, "k string, i int, v double").withColumn("r", neighbour_repair(["k"], ["i"], "v", 2, 16, 8.5))
+    df = neighbour_repair(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], F.floor(F.col("i") / width), ["i"], "v", 2, 16, 8.5, "r")
     assert {(r["k"], r["i"]): r["r"] for r in df.collect()} == {("a", 1): 8.0, ("a", 2): 8.0, ("a", 3): 7.0, ("a", 4): 6.0, ("b", 1): 8.5, ("c", 1): None, ("d", 1): 2.0, ("d", 2): 16.0}
 
 
+@pytest.mark.parametrize("width", [3, 8])
+def test_neighbours_over_buckets(spark, width):
+    rng = random.Random(width)
+    at = sorted(rng.sample(range(200), 60))
+    df = spark.createDataFrame([("a", t, rng.choice([None, float(t)])) for t in at], "k string, t int, v double")
+    value = {r["t"]: r["v"] for r in df.collect()}
+    for r in neighbours(df, ["k"], F.floor(F.col("t") / width), ["t"], "v").collect():
+        i = at.index(r["t"])
+        for k in (1, 2):
+            assert r[f"_prev{k}"] == (value[at[i - k]] if i >= k else None) and r[f"_next{k}"] == (value[at[i + k]] if i + k < len(at) else None)
+
+
 def test_shift_of_hour(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h),) for h in (0, 9, 10, 17, 18, 23)] + [(None,)], "t timestamp_ntz")
     assert [r[0] for r in df.select(clocking.shift_of_hour(F.col("t"))).collect()] == ["First", "First", "Second", "Second", "Third", "Third", None]
