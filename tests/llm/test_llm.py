@@ -317,5 +317,14 @@ def test_quality_of_odd_rows(spark):
     assert quality.text_quality(df.limit(0), "doc_id", "text", {}).count() == 0
 
 
+def test_nearest_profile_is_that_of_least_divergence():
+    for text in (PROSE, "- a\n- b\n- c", "xq zvkw 0000 !!!!"):
+        form, part = next(quality.stretches(text))
+        p, q = quality._distribution(quality.word_classes(part, form, COMMON)[0]), quality._distribution(quality.char_classes(part))
+        k = len(quality.WORDS)
+        d = [quality.divergence(p, row[:k]) + quality.divergence(q, row[k:]) for row in quality._TABLE.tolist()]
+        assert quality.structure(form, part, COMMON)[0] == quality._KINDS[d.index(min(d))]
+
+
 def test_divergence():
     assert quality.divergence([1, 0], [0, 1]) == pytest.approx(1) and quality.divergence([0.5, 0.5], [0.5, 0.5]) == 0
