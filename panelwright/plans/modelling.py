@@ -59,7 +59,7 @@ def weights_balanced(spark, d):
     return _weighted(weights.add_weights(_cv(spark, d), "balanced", label="label"))
 
 
-@query(_W + "SELECT row_id, CASE label WHEN 1 THEN 8.0 ELSE 1.0 END AS weight FROM cv2")
+@query(_W + "SELECT row_id, CAST(CASE label WHEN 1 THEN 8.0 ELSE 1.0 END AS DOUBLE) AS weight FROM cv2")
 def weights_custom(spark, d):
     return _weighted(weights.add_weights(_cv(spark, d), "custom", label="label", weights={1: 8.0}))
 
@@ -74,7 +74,7 @@ def weights_time(spark, d):
     return _weighted(weights.add_weights(_cv(spark, d), "time_based", day="date"))
 
 
-@query(_W + "SELECT row_id, CASE WHEN hours > 8 THEN 2.0 ELSE 1.0 END * CASE WHEN rate > 0.9 THEN 2.0 ELSE 1.0 END AS weight FROM cv2")
+@query(_W + "SELECT row_id, CAST(CASE WHEN hours > 8 THEN 2.0 ELSE 1.0 END * CASE WHEN rate > 0.9 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS weight FROM cv2")
 def weights_feature(spark, d):
     return _weighted(weights.add_weights(_cv(spark, d), "feature_based", features=[("hours", 8.0), ("rate", 0.9)]))
 
@@ -98,7 +98,7 @@ def encode_mapping(spark, d):
     return encode.category_mapping(_cv(spark, d), ["dow"])
 
 
-@query(f"WITH {_CV}, {_MAP} SELECT row_id, " + ", ".join(f"CASE WHEN encoding_index = {i} THEN 1.0 ELSE 0.0 END AS dow_cat{i}" for i in range(7)) + " FROM cv2 LEFT JOIN m ON m.category_value = cv2.dow")
+@query(f"WITH {_CV}, {_MAP} SELECT row_id, " + ", ".join(f"CAST(CASE WHEN encoding_index = {i} THEN 1 ELSE 0 END AS DOUBLE) AS dow_cat{i}" for i in range(7)) + " FROM cv2 LEFT JOIN m ON m.category_value = cv2.dow")
 def onehot_encode(spark, d):
     cv = _cv(spark, d).select("row_id", "dow")
     return encode.one_hot(cv, encode.category_mapping(cv, encode.detect_categories(cv, ["dow"])))
@@ -114,7 +114,7 @@ def label_encode(spark, d):
     CASE WHEN date_diff('day', date, hi) >= 30 THEN least(floor(date_diff('day', lo, date) * 4 / greatest(date_diff('day', lo, hi) - 29, 1)), 3) END AS tb FROM cv2, b),
     s AS (SELECT *, coalesce(CAST(CAST(tb AS INT) AS VARCHAR), '-1') || '_' || coalesce(CAST(label AS VARCHAR), 'null') AS strat_group FROM t)
     SELECT row_id, CAST(days_from_reference AS INT) AS days_from_reference, is_test, strat_group, CAST(CASE WHEN is_test = 0 THEN (row_number() OVER (PARTITION BY strat_group ORDER BY row_id) - 1) % 3 + 1 END AS INT) AS fold,
-    CASE WHEN days_from_reference <= 7 THEN 4.0 WHEN days_from_reference <= 30 THEN 2.0 ELSE 1.0 END AS recency_weight FROM s""")
+    CAST(CASE WHEN days_from_reference <= 7 THEN 4 WHEN days_from_reference <= 30 THEN 2 ELSE 1 END AS DOUBLE) AS recency_weight FROM s""")
 def temporal_kfold(spark, d):
     cv = _cv(spark, d).drop("fold_id")
     return encode.temporal_folds(cv, "date", "label", "row_id").select("row_id", "days_from_reference", "is_test", "strat_group", F.col("fold_id").alias("fold"), "recency_weight")
@@ -235,6 +235,25 @@ def cumulative_importance(spark, d):
     return run.select("p_brand", F.round(100 * F.col("cum_v") / F.lit(whole or 1.0), 4).alias("cumulative_pct"))
 
 
+@query(_W + ", c AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM cv2 WHERE label IS NOT NULL GROUP BY 1, 2) SELECT actual, predicted, n, round(n / sum(n) OVER (PARTITION BY actual), 6) AS share FROM c")
+def confusion_normalised(spark, d):
+    c = evaluation.label_counts(_cv(spark, d), "label", "prediction")
+    whole = c.groupBy("actual").agg(F.sum("n").alias("_all"))
+    return c.join(whole, "actual").select("actual", "predicted", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
+@query(f"WITH {_CV}, {_C}, p AS (SELECT score, tp / ap AS recall FROM c) SELECT CAST(t AS DOUBLE) AS target_recall, min(recall) AS recall, max(score) AS threshold FROM (SELECT t, round(recall, 6) AS recall, round(score, 6) AS score, row_number() OVER (PARTITION BY t ORDER BY abs(recall - t), score DESC) AS rn FROM p, (VALUES (0.5), (0.8)) v(t)) WHERE rn = 1 GROUP BY t")
+def gain_lookup(spark, d):
+    """The threshold at which recall comes nearest to 0.5 and to 0.8."""
+    c = curves.pr_curve(_cv(spark, d), "label", "score")
+    out = None
+    for t in (0.5, 0.8):
+        best = F.min_by(F.struct("recall", "threshold"), F.struct(F.abs(F.col("recall") - t), -F.col("threshold"))).alias("b")
+        one = c.agg(best).select(F.lit(t).alias("target_recall"), F.round("b.recall", 6).alias("recall"), F.round("b.threshold", 6).alias("threshold"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- models: no SQL says them; they are tested on held-out rows ---------------------------------------------------
 
 def _rows(spark, d):

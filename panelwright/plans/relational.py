@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions.ids import canonical_id, canonical_id_sql
+from panelwright.operators.assembly import assemble_days
 from panelwright.operators.clocking import hours_between
 from panelwright.operators.dedupe import latest_per_key, top_k_per_group
 from panelwright.operators.groups import trailing_group_stats
 from panelwright.operators.impute import group_first_fill, hierarchical_fill, neighbour_repair
 from panelwright.operators.joins import asof_join
 from panelwright.operators.profile import profile, profile_all
+from panelwright.operators.requests import request_metrics
 from panelwright.plans.clocking import shifts
 from panelwright.plans.panel import FACTS, KEY, attendance_days, facts_days
 from panelwright.plans.panel import ATTENDANCE as ATT
@@ -116,7 +118,7 @@ def dedupe_latest(spark, d):
     return latest_per_key(a, KEY, ["loadedAt", "row_id"]).select(*KEY, "row_id", "noShow")
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
+@query("SELECT o_orderkey, o_custkey, o_totalprice, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
 def top_orders_per_customer(spark, d):
     return top_k_per_group(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3).select("o_orderkey", "o_custkey", "o_totalprice", "rank")
 
@@ -255,3 +257,50 @@ def rolling_7d_range(spark, d):
     e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "value")
     s = trailing_group_stats(e, ["user_id"], "day", {"value": F.col("value")}, (7,))
     return s.select("user_id", "day", "rows_7d", F.round("value_sum_7d", 6).alias("value_sum_7d"), F.round("value_avg_7d", 10).alias("value_avg_7d"))
+
+
+_LINES = """r AS (SELECT o_custkey AS member, CAST(l_shipdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS made, min(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_orderkey) AS st, max(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_orderkey) AS en,
+    l_quantity AS qty, l_returnflag AS code, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT *, sum(qty) OVER (PARTITION BY member, made) AS total FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY member, day ORDER BY made DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM m)
+    SELECT member, day, CAST(st - made AS INT) AS firstDayDelta, CAST(en - st + 1 AS INT) AS totalDays, CAST(day - st + 1 AS INT) AS dayInGroup, total AS totalHours, CASE WHEN code = 'R' THEN 1 ELSE 0 END AS isSick, CASE WHEN code = 'A' THEN 1 ELSE 0 END AS isVacation FROM k WHERE rn = 1""")
+def time_off_metrics(spark, d):
+    """Orders stand in for requests: made at the order, for the days of its shipments."""
+    from pyspark.sql import Window
+
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = table(spark, d, "lineitem").select(*ties, F.to_date("l_shipdate").alias("day"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("code"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("member"), F.to_date("o_orderdate").alias("made"))
+    w = Window.partitionBy("l_orderkey")
+    rows = lines.join(orders, "l_orderkey").withColumns({"st": F.min("day").over(w), "en": F.max("day").over(w)})
+    out = request_metrics(rows, "member", "day", "made", "st", "en", "qty", "code", {"isSick": "R", "isVacation": "A"}, ties)
+    return out.select("member", "day", "firstDayDelta", "totalDays", "dayInGroup", "totalHours", "isSick", "isVacation")
+
+
+@query(f"""WITH {ATT}, {FACTS}, s AS (SELECT member, workDate AS day, min(st) AS start_at FROM (SELECT {_ID} AS member, workDate, startAtTimestampLocal AS st FROM shift WHERE workDate IS NOT NULL AND endAtTimestampLocal > startAtTimestampLocal) GROUP BY 1, 2)
+    SELECT att.member, att.day, att.worked, att.noshow, fct.dept, fct.loc, fct.vac, strftime(s.start_at, '%Y-%m-%d %H:%M:%S') AS start_at FROM att LEFT JOIN fct ON att.member = fct.member AND att.day = fct.day LEFT JOIN s ON att.member = s.member AND att.day = s.day""")
+def assemble_facts(spark, d):
+    from panelwright.plans.clocking import real_schedule
+
+    real = real_schedule(spark, d).select("member", F.col("workDate").alias("day"), F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_at"))
+    days = attendance_days(spark, d).select(*KEY, "worked", "noshow")
+    return assemble_days(days, {"facts": facts_days(spark, d).select(*KEY, "dept", "loc", "vac"), "schedule": real}, KEY)
+
+
+@query("SELECT user_id, strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, d):
+    """The streaming kernel on a table, as a batch."""
+    from panelwright.streaming.windows import tumbling_totals
+
+    out = tumbling_totals(table(spark, d, "events"), "ts", "6 hours", ["user_id"], {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 6)})
+    return out.select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", "total")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n_events FROM k GROUP BY user_id, s""")
+def session_windows(spark, d):
+    from panelwright.streaming.windows import sessions
+
+    out = sessions(table(spark, d, "events"), "ts", "6 hours", ["user_id"])
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_events")
