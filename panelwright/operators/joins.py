@@ -60,6 +60,15 @@ def asof_join(
     return swept.withColumn("_hit", F.when(placed, hit)).where("_row is not null").select("_row.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def salted_lookup(df: DataFrame, table: DataFrame, key: str, salts: int = 8) -> DataFrame:
+    """``df`` LEFT JOIN ``table`` on ``key``, where the table has each key once and the rows may pile up on one key
+    (null included): rows are spread over ``salts`` tasks by a hash of the row, and the table, which is smaller, is
+    copied as often."""
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return df.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def _first_at_or_below(tree: np.ndarray, leaves: int, begin: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """For every query the first leaf >= begin whose value is <= limit, or ``leaves``; all queries climb and descend
     the min-tree together."""
