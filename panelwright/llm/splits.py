@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import connected_components
+from panelwright.operators.joins import salted_lookup
+from panelwright.session import materialise
 
 EXACT = 256  # sizes and label counts up to here make profiles of their own, larger ones by steps of 1/32
 BUCKETS = 1024  # hash ranges by which a bundle's members are put in order
@@ -131,7 +133,7 @@ def grouped_splits(
     tagged = df.drop("component", "split").withColumn("_member", as_col(member))
     if links is not None:
         found = connected_components(links[0].select(links[1].alias("a"), links[2].alias("b")), "a", "b")
-        tagged = tagged.join(found.select(F.col("id").alias("_member"), F.col("component").alias("_root")), "_member", "left")
+        tagged = salted_lookup(tagged, found.select(F.col("id").alias("_member"), F.col("component").alias("_root")), "_member")
         tagged = tagged.withColumn("component", F.coalesce("_root", "_member")).drop("_root")
     else:
         tagged = tagged.withColumn("component", F.col("_member"))
@@ -143,6 +145,7 @@ def grouped_splits(
         groups = groups.withColumn("n_folds", F.when(F.col("_lo").isNull(), 0).when(F.col("_lo") == F.col("_hi"), 1).otherwise(2)).drop("_lo", "_hi")
     groups = groups.withColumns({"_size": _level(F.col("n_rows")), "_pos": _level(F.col("n_positive")), "_hash": F.xxhash64(F.lit(seed), "component")})
     groups = groups.withColumn("_bucket", F.pmod(F.shiftright("_hash", 20), F.lit(BUCKETS)).cast("int"))
+    groups = materialise(groups)
 
     sizes = groups.groupBy("_size", "_pos", "_bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n_rows").alias("rows"))
     bundles = sizes.groupBy("_size", "_pos").agg(F.sum("k").alias("count"), F.sum("rows").alias("rows")).orderBy("_size", "_pos").collect()
@@ -165,5 +168,5 @@ def grouped_splits(
     alone = F.lit(names[-1])
     for n, e in list(zip(names, edge))[-2::-1]:
         alone = F.when(draw < float(e), F.lit(n)).otherwise(alone)
-    rows = tagged.join(components.select("component", "split"), "component", "left").withColumn("split", F.coalesce("split", alone))
+    rows = salted_lookup(tagged, components.select("component", "split"), "component").withColumn("split", F.coalesce("split", alone))
     return rows.select(*[c for c in df.columns if c not in ("component", "split")], "component", "split"), components
