@@ -66,8 +66,8 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     )
 
     # What the observed values say, per group: first by whole combinations, which are few, then by field.
-    groups = F.explode(F.filter(F.array(*[F.col(f"g_{i}") for i in range(len(ties))]), lambda g: g.isNotNull()))
-    combined = rows.select(groups.alias("g"), *[f"o_{c}" for c in kinds]).groupBy("g", *[f"o_{c}" for c in cats])
+    groups = F.explode(F.array(*[F.col(f"g_{i}") for i in range(len(ties))]))
+    combined = rows.select(groups.alias("g"), *[f"o_{c}" for c in kinds]).where("g is not null").groupBy("g", *[f"o_{c}" for c in cats])
     sums = [x for c in nums for x in (F.sum(f"o_{c}").alias(f"s_{c}"), F.count(f"o_{c}").alias(f"n_{c}"))]
     combined = combined.agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
     says = F.array(
@@ -87,9 +87,12 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         F.struct(F.lit(f.name).alias("field"), F.col(f"m_{f.name}").alias("missing"), F.array(*[F.struct(F.col(f"g_{i}").alias("g"), F.lit(float(t.weight)).alias("w")) for i, t in enumerate(ties) if f.name in t.fields]).alias("ties"))
         for f in fields
     ]
-    cells = rows.where("_key is not null").select("_key", F.inline(F.filter(F.array(*cell_structs), lambda x: x["missing"]))).select("_key", "field", F.filter("ties", lambda x: x["g"].isNotNull()).alias("ties"))
+    lacking = F.lit(False)
+    for f in fields:
+        lacking = lacking | F.col(f"m_{f.name}")
+    cells = rows.where(lacking & F.col("_key").isNotNull()).select("_key", F.inline(F.array(*cell_structs))).where("missing")
     cells = materialise(cells.groupBy("_key", "field").agg(F.max("ties").alias("ties")))
-    tied = cells.select("_key", "field", F.inline("ties")).withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    tied = cells.select("_key", "field", F.inline("ties")).where("g is not null").withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
 
     said, now = observed, None
     for _ in range(rounds):
