@@ -9,6 +9,7 @@ flow is rounded to whole components, largest first, and the members of a bundle
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,15 +30,14 @@ def quota_flow(supply: np.ndarray, shares: Sequence[float]) -> np.ndarray:
     b, s = len(supply), len(shares)
     total = int(supply.sum())
     quota = _whole_parts(total, shares)
-    ideal = np.floor(supply[:, None] * np.asarray(shares)[None, :]).astype(np.int64)
+    ideal = np.array([[int(x) * f.numerator // f.denominator for f in _fractions(shares)] for x in supply], np.int64).reshape(b, s)
     flow = np.zeros((b, s), np.int64)
     left, room = supply.astype(np.int64).copy(), quota.copy()
-    # The first augmentations all follow edges of cost -1 (up to the proportional part), the cheapest there are.
+    # The first augmentations all follow edges of cost -1 (up to the proportional part), the cheapest there are; in whole
+    # numbers, floors of the parts add up to no more than the floor of the quota, so no split is overfull.
     flow += ideal
     left -= ideal.sum(axis=1)
     room -= ideal.sum(axis=0)
-    for k in np.flatnonzero(room < 0):  # cannot be: floors of the parts add up to no more than the quota's floor
-        raise AssertionError(f"split {k} overfull")
     for at in np.flatnonzero(left):
         while left[at] > 0:
             more = np.where(flow < ideal, -1, 1)  # cost of a further unit of a bundle in a split
@@ -77,12 +77,19 @@ def quota_flow(supply: np.ndarray, shares: Sequence[float]) -> np.ndarray:
     return flow
 
 
+def _fractions(shares: Sequence[float]) -> list[Fraction]:
+    """The shares as fractions that add up to one exactly."""
+    first = [Fraction(float(x)).limit_denominator(1_000_000) for x in shares[:-1]]
+    return [*first, max(1 - sum(first), Fraction(0))]
+
+
 def _whole_parts(total: int, shares: Sequence[float]) -> np.ndarray:
-    exact = total * np.asarray(shares, float)
-    parts = np.floor(exact).astype(np.int64)
-    for k in np.argsort(parts - exact, kind="stable")[: total - int(parts.sum())]:
+    """Whole numbers that add up to ``total``, nearest to the shares (largest remainders)."""
+    exact = [total * f for f in _fractions(shares)]
+    parts = [int(x) for x in exact]
+    for k in sorted(range(len(parts)), key=lambda k: parts[k] - exact[k])[: max(total - sum(parts), 0)]:
         parts[k] += 1
-    return parts
+    return np.array(parts, np.int64)
 
 
 def whole_components(count: np.ndarray, size: np.ndarray, positives: np.ndarray, flow: np.ndarray, shares: Sequence[float]) -> np.ndarray:
