@@ -17,17 +17,19 @@ from panelwright.operators.blocks import numbers, whole_groups
 
 def asof_join(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str],
-    tie: Sequence[str] = (), forward_fallback: bool = False, bucket: int = 64,
+    tie: Sequence[str] = (), forward_fallback: bool = False, bucket: int = 64, salts: int = 4,
 ) -> DataFrame:
     """``left`` with ``values`` of the right row of equal ``by`` that is latest at or before the left time; with
     ``forward_fallback`` the earliest later one where there is none.  Times are dates or whole numbers.
 
     Of right rows at one time the one greatest in ``tie`` is taken, before left rows at that time are served.  Left
     rows without partner, with null time or null keys keep nulls.  A long-lived key is cut into buckets of time; what
-    a bucket inherits comes from the last (first) right row of the buckets before (after), one small row each.
+    a bucket inherits comes from the last (first) right row of the buckets before (after), one small row each.  A key
+    on which left rows pile up is spread over ``salts`` tasks, and the right side, the smaller one, copied as often.
     """
     number = lambda df, c: F.unix_date(c).cast("long") if dict(df.dtypes)[c] == "date" else F.col(c).cast("long")
-    back, ahead = Window.partitionBy(*by, "_b").orderBy("_t", "_side"), Window.partitionBy(*by, "_b").orderBy(F.col("_t").desc(), F.col("_side").desc())
+    group = [*by, "_b", "_salt"]
+    back, ahead = Window.partitionBy(*group).orderBy("_t", "_side"), Window.partitionBy(*group).orderBy(F.col("_t").desc(), F.col("_side").desc())
     pick = F.struct(F.lit(True).alias("_hit"), *values)
     rows = right.select(*by, number(right, right_time).alias("_t"), F.struct(*tie).alias("_tie") if tie else F.lit(0).alias("_tie"), pick.alias("_v")).where("_t is not null")
     rows = rows.groupBy(*by, "_t").agg(F.max_by("_v", "_tie").alias("_v")).withColumn("_b", F.floor(F.col("_t") / bucket).cast("long"))
@@ -42,8 +44,9 @@ def asof_join(
     kind_row, kind_v = wanted.select(row.alias("r")).schema["r"].dataType, rows.schema["_v"].dataType
     none_row, none_v = F.lit(None).cast(kind_row).alias("_row"), F.lit(None).cast(kind_v).alias("_v")
     edge = lambda side: F.lit(side).alias("_side")
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_salt")
     parts = [
-        rows.select(*by, "_b", "_t", edge(1), "_v", none_row), wanted.select(*by, "_b", "_t", edge(2), none_v, row.alias("_row")),
+        rows.select(*by, "_b", "_t", edge(1), "_v", none_row),
         stops.where("_in is not null").select(*by, "_b", (F.col("_b") * bucket - 1).alias("_t"), edge(0), F.col("_in").alias("_v"), none_row),
     ]
     if forward_fallback:
@@ -51,6 +54,8 @@ def asof_join(
     swept = parts[0]
     for p in parts[1:]:
         swept = swept.unionByName(p)
+    swept = swept.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    swept = swept.unionByName(wanted.select(*by, "_b", salt, "_t", edge(2), none_v, row.alias("_row")))
     hit = F.last("_v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     if forward_fallback:
         hit = F.coalesce(hit, F.last("_v", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
