@@ -142,6 +142,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d).where(bad > F.col("prose_chars") + F.col("code_chars")).select("doc_id")
 
 
+def p5_similar_days(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of days with nearly the same hours (a day without a row has none): count, duration and mean."""
+    hours = F.when((F.col("hoursWorked") > 0) & (F.col("hoursWorked") <= 24), F.col("hoursWorked"))
+    runs = collapse_runs(
+        table(spark, d, "attendance"), canonical_id("maskedMatchId"), F.unix_date("date"), {"hours": (hours, 1.0)},
+        penalty=2.0, absent={"hours": 0.0}, latest_by=["loadedAt", "row_id"],
+    )
+    return runs.select(F.col("entity").alias("maskedMatchId"), _day(F.col("run_start")).alias("runStart"), _day(F.col("run_end")).alias("runEnd"), "n_events", "duration", F.round("mean_hours", 6).alias("hours"))
+
+
 _ID = canonical_id_sql("maskedMatchId")
 
 _P2 = f"""
@@ -191,7 +201,7 @@ SQL = {
 
 QUERIES = {
     "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
-    "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found,
+    "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found, "p5_similar_days": p5_similar_days,
     "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_found": p8_found,
     "p9_statistics": p9_statistics, "p9_structure": p9_structure, "p9_found": p9_found,
 }
