@@ -19,13 +19,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.ml import evaluation
+from panelwright.ml import evaluation, spaces
 from panelwright.ml.tuning import random_search, space_size
 
-YES_NO = (True, False)
-TREES = {"featureSubsetStrategy": ("auto", "onethird", "sqrt", "log2")}
-
-
 @dataclass(frozen=True)
 class Family:
     """``share``: the part of the space a search draws from; ``score``: the column the positive class is scored by."""
@@ -39,35 +35,16 @@ class Family:
     weights: bool = True
 
 
-# Search spaces: fixed values.
 FAMILIES: dict[str, Family] = {f.name: f for f in (
-    Family("lr", C.LogisticRegression, {
-        "regParam": (0.0, 0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0), "elasticNetParam": (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), "maxIter": (10, 50, 100, 200, 500, 1000, 2000),
-        "tol": (1e-6, 1e-5, 1e-4, 1e-3, 1e-2), "fitIntercept": YES_NO, "standardization": YES_NO, "threshold": (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), "aggregationDepth": (2, 5, 10)}, 0.10),
-    Family("gbt", C.GBTClassifier, {
-        "maxIter": (10, 20, 50, 100, 200, 300, 500), "maxDepth": (2, 3, 4, 5, 7, 10), "stepSize": (0.01, 0.05, 0.1, 0.15, 0.2, 0.3), "subsamplingRate": (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), **TREES,
-        "minInstancesPerNode": (1, 2, 5, 10, 20, 30), "minInfoGain": (0.0, 0.01, 0.05, 0.1), "maxBins": (16, 32, 64, 128, 256)}, 0.20),
-    Family("gbt_regression", R.GBTRegressor, {
-        "maxIter": (10, 20, 50, 100, 200, 300, 500), "maxDepth": (2, 3, 4, 5, 7, 10), "stepSize": (0.01, 0.05, 0.1, 0.15, 0.2, 0.3), "subsamplingRate": (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), **TREES,
-        "minInstancesPerNode": (1, 2, 5, 10, 20, 30), "minInfoGain": (0.0, 0.01, 0.05, 0.1), "maxBins": (16, 32, 64, 128, 256)}, 0.20, False, None),
-    Family("rf", C.RandomForestClassifier, {
-        "numTrees": (10, 20, 50, 100, 150, 200, 300, 500), "maxDepth": (3, 5, 7, 10, 15, 20, 25, 30), "minInstancesPerNode": (1, 2, 5, 10, 15, 20, 30, 50), "maxBins": (32, 64, 96, 128, 256), **TREES,
-        "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0), "impurity": ("gini", "entropy")}, 0.10),
-    Family("rf_regression", R.RandomForestRegressor, {
-        "numTrees": (10, 20, 50, 100, 150, 200, 300, 500), "maxDepth": (3, 5, 7, 10, 15, 20, 25, 30), "minInstancesPerNode": (1, 2, 5, 10, 15, 20, 30, 50), "maxBins": (32, 64, 96, 128, 256), **TREES,
-        "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0), "impurity": ("variance",)}, 0.25, False, None),
-    Family("mlp", C.MultilayerPerceptronClassifier, {
-        "hidden": ((16,), (32,), (64,), (128,), (32, 16), (64, 32), (128, 64), (256, 128), (64, 32, 16), (128, 64, 32), (256, 128, 64)), "maxIter": (50, 100, 200, 300, 500), "stepSize": (0.001, 0.01, 0.03, 0.05, 0.1, 0.3),
-        "tol": (1e-6, 1e-5, 1e-4, 1e-3), "blockSize": (64, 128, 256), "solver": ("l-bfgs", "gd")}, 0.30, weights=False),
-    Family("glm", R.GeneralizedLinearRegression, {
-        "family": ("gaussian", "gamma", "poisson", "tweedie"), "maxIter": (10, 25, 50, 100, 200), "tol": (1e-6, 1e-5, 1e-4, 1e-3), "regParam": (0.0, 0.01, 0.1, 0.5, 1.0, 5.0), "fitIntercept": YES_NO,
-        "variancePower": (0.0, 1.0, 2.0), "linkPower": (0.0, 0.5, 1.0)}, 0.20, False, None),
-    Family("svm", C.LinearSVC, {
-        "regParam": (0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0), "maxIter": (10, 50, 100, 200, 500, 1000, 2000), "tol": (1e-6, 1e-5, 1e-4, 1e-3, 1e-2), "fitIntercept": YES_NO, "standardization": YES_NO,
-        "threshold": (0.0, 0.3, 0.4, 0.5, 0.6, 0.7), "aggregationDepth": (2, 4, 8)}, 0.45, score="rawPrediction"),
-    Family("linear", R.LinearRegression, {
-        "regParam": (0.0, 0.001, 0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 1000.0), "elasticNetParam": (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), "maxIter": (10, 50, 100, 200, 500), "tol": (1e-6, 1e-5, 1e-4, 1e-3),
-        "fitIntercept": YES_NO, "standardization": YES_NO, "solver": ("auto", "normal", "l-bfgs"), "aggregationDepth": (2, 3, 4)}, 0.10, False, None),
+    Family("lr", C.LogisticRegression, spaces.LOGISTIC_REGRESSION, 0.10),
+    Family("gbt", C.GBTClassifier, spaces.GRADIENT_BOOSTED_TREES, 0.20),
+    Family("gbt_regression", R.GBTRegressor, spaces.GRADIENT_BOOSTED_TREES, 0.20, classifier=False, score=None),
+    Family("rf", C.RandomForestClassifier, spaces.RANDOM_FOREST, 0.10),
+    Family("rf_regression", R.RandomForestRegressor, spaces.RANDOM_FOREST_REGRESSION, 0.25, classifier=False, score=None),
+    Family("mlp", C.MultilayerPerceptronClassifier, spaces.MULTILAYER_PERCEPTRON, 0.30, weights=False),
+    Family("glm", R.GeneralizedLinearRegression, spaces.GENERALIZED_LINEAR_REGRESSION, 0.20, classifier=False, score=None),
+    Family("svm", C.LinearSVC, spaces.SUPPORT_VECTOR_MACHINE, 0.45, score="rawPrediction"),
+    Family("linear", R.LinearRegression, spaces.LINEAR_REGRESSION, 0.10, classifier=False, score=None),
 )}
 
 

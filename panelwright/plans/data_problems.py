@@ -47,6 +47,11 @@ def p3_periods(spark: SparkSession, d: str) -> DataFrame:
     return periods.select(F.col("entity").alias("maskedMatchId"), _moment("period_start").alias("periodStart"), _moment("period_end").alias("periodEnd"))
 
 
+def p3_gaps(spark: SparkSession, d: str) -> DataFrame:
+    gaps = _shifts(spark, d)["gaps"]
+    return gaps.select(F.col("entity").alias("maskedMatchId"), _moment("gap_start").alias("gapStart"), _moment("gap_end").alias("gapEnd"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     gaps = gaps_within_label(_shifts(spark, d))
     return gaps.select(F.col("entity").alias("maskedMatchId"), _moment("gap_start").alias("gapStart"), _moment("gap_end").alias("gapEnd"))
@@ -139,8 +144,9 @@ SQL = {
         round(t7 / 7.0, 6) AS "noShowAverage_7d", round(t30 / 30.0, 6) AS "noShowAverage_30d" FROM rolled""",
     "p1_found": _P1 + """SELECT m AS "maskedMatchId", strftime(d, '%Y-%m-%d') AS "date" FROM rolled WHERE t7 <> c""",
     "p3_periods": _P3 + """SELECT m AS "maskedMatchId", strftime(ps, '%Y-%m-%d %H:%M:%S') AS "periodStart", strftime(pe, '%Y-%m-%d %H:%M:%S') AS "periodEnd" FROM p""",
+    "p3_gaps": _P3 + """SELECT a.m AS "maskedMatchId", strftime(a.pe, '%Y-%m-%d %H:%M:%S') AS "gapStart", strftime(b.ps, '%Y-%m-%d %H:%M:%S') AS "gapEnd" FROM p a JOIN p b ON b.m = a.m AND b.k = a.k + 1""",
     "p3_found": _P3 + """SELECT a.m AS "maskedMatchId", strftime(a.pe, '%Y-%m-%d %H:%M:%S') AS "gapStart", strftime(b.ps, '%Y-%m-%d %H:%M:%S') AS "gapEnd" FROM p a JOIN p b ON b.m = a.m AND b.k = a.k + 1
         WHERE EXISTS (SELECT 1 FROM n x JOIN n y ON x.m = y.m AND x.w = y.w WHERE x.m = a.m AND x.k = a.k AND y.k = b.k)""",
 }
 
-QUERIES = {"p1_rolling_no_shows": p1_rolling_no_shows, "p1_found": p1_found, "p3_periods": p3_periods, "p3_found": p3_found, "p6_filled": p6_filled, "p6_found": p6_found}
+QUERIES = {"p1_rolling_no_shows": p1_rolling_no_shows, "p1_found": p1_found, "p3_periods": p3_periods, "p3_gaps": p3_gaps, "p3_found": p3_found, "p6_filled": p6_filled, "p6_found": p6_found}
