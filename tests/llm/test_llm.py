@@ -295,6 +295,7 @@ def kind(text):
     ("http://a.example/x\nhttps://b.example/y\nhttp://c.example/z", "list"), ("| a | b |\n|---|---|\n| 1 | 2.5 |\n| 3 | 4.5 |", "table"), ("item,qty,price\nbolt,3,4.50\nnut,12,0.75\nnail,7,1.10", "table"),
     ("name      qty     price\nbolt      3       4.50\nnut       12      0.75", "table"), ("buy cheap now buy cheap now!!! BUY CHEAP NOW buy cheap now buy cheap now", "junk"),
     ("xq zvkw pltr qqj wxz kvjq zzx hjkl qwrt pxcv bnmz lkjh", "junk"), ("#@!$%^&*()_+ ~~~ <>?:{}| @@##$$ %%^^ &&**", "junk"),
+    ("Ã¤ Ã¼ÃŸ â€Ã¤ ¿ xÃŸÂ Ã¼ ÃŸâ€ ¿ x\ufffdÃ¤Â ÃŸ", "junk"), ("El señor dijo que FranÃ§ois no está en la casa y que vuelva mañana.", "prose"),
     ("```\nfor x in rows:\n    total += x[1]\nprint(total)\n```", "code"), ("", "empty"), (None, "empty"), (" \n\t", "empty"),
 ])
 def test_structures(text, want):
@@ -305,6 +306,7 @@ def test_statistics_and_links_beside_sentences():
     out = dict(zip([x.split()[0] for x in quality.STATISTICS.split(", ")], quality.describe("One two three.\nfour - five", {"en": frozenset(["one", "two"])})))
     assert out["n_words"] == 5 and out["mean_word_length"] == pytest.approx(19 / 5) and out["lines_ending_in_punctuation"] == 0.5
     assert out["common_word_share"] == pytest.approx(0.4) and out["symbol_ratio"] == pytest.approx(2 / 21)
+    assert kind("http://a.example/b\nhttp://c.example/d") == "list" and kind("http://a.example/b") == "prose"
     assert kind(PROSE + "See http://docs.example/a/very/long/address/" + "x" * 200) == "prose"
 
 
