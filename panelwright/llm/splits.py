@@ -93,18 +93,20 @@ def _whole_parts(total: int, shares: Sequence[float]) -> np.ndarray:
 
 
 def whole_components(count: np.ndarray, size: np.ndarray, positives: np.ndarray, flow: np.ndarray, shares: Sequence[float]) -> np.ndarray:
-    """Components per bundle and split: the whole ones in the flow, and the rest one by one, the largest first, to
-    the split that then lies least off its quotas of rows and of positives."""
+    """Components per bundle and split: the whole ones in the flow, and the rest one by one, the largest first, each to
+    the split where it adds least to the squared deviations from the quotas of rows and of positives (relative to
+    the quotas, so all splits fill up alike)."""
     share = np.asarray(shares, float)
     out = np.minimum(np.floor(flow / np.maximum(size, 1)[:, None]).astype(np.int64), count[:, None])
     rows, pos = (out * size[:, None]).sum(axis=0).astype(float), (out * positives[:, None]).sum(axis=0).astype(float)
-    want_rows, want_pos = float((count * size).sum()) * share, float((count * positives).sum()) * share
-    weight = want_rows.sum() / max(want_pos.sum(), 1.0) * 0.1
-    for b in np.argsort(-size, kind="stable"):
+    all_rows, all_pos = float((count * size).sum()), float((count * positives).sum())
+    want_rows, want_pos = np.maximum(all_rows * share, 1e-9), np.maximum(all_pos * share, 1e-9)
+    weight = all_rows / all_pos if all_pos else 0.0
+    for b in np.lexsort((-positives, -size)):
         for _ in range(int(count[b] - out[b].sum())):
-            gain = np.abs(rows + size[b] - want_rows) - np.abs(rows - want_rows)
-            gain = gain + weight * (np.abs(pos + positives[b] - want_pos) - np.abs(pos - want_pos))
-            k = int(np.argmin(gain - 1e-9 * (want_rows - rows)))
+            added = size[b] * (2 * (rows / want_rows - 1) + size[b] / want_rows)
+            added = added + weight * positives[b] * (2 * (pos / want_pos - 1) + positives[b] / want_pos)
+            k = int(np.argmin(added))
             out[b, k] += 1
             rows[k] += size[b]
             pos[k] += positives[b]
