@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from panelwright.session import materialise
 
-SALTS = 8  # copies of a group's message, so that the cells of one hot group are spread over as many tasks
+HOT_PARTS = 1024  # a group with more than this part of all ties is hot (so there are fewer hot groups than this)
+SALTS = 32  # copies of a hot group's message: its cells are spread over as many tasks
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,8 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     ``key`` names a record; records that repeat a key are one record and share its cells.  A cell with null key
     cannot be named and is left out.  Equal shares: the smaller text.  An empty table gives an empty result;
     further columns are not looked at.
+
+    Groups are known by a 64-bit hash of tie and values; should two groups share one, each hears the other too.
     """
     kinds = {f.name: f.kind for f in fields}
     cats, nums = [f.name for f in fields if f.kind == "category"], [f.name for f in fields if f.kind == "number"]
@@ -57,7 +60,7 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         missing = F.lit(False)
         for c in t.by:
             missing = missing | c.isNull()
-        return F.when(~missing, F.concat_ws("\x01", F.lit(t.name), *[c.cast("string") for c in t.by]))
+        return F.when(~missing, F.xxhash64(F.lit(t.name), *t.by))
 
     rows = df.select(
         F.col(key).alias("_key"), *[obs[f.name].alias(f"o_{f.name}") for f in fields],
@@ -66,20 +69,18 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     )
 
     # What the observed values say, per group: first by whole combinations, which are few, then by field.
-    groups = F.explode(F.array(*[F.col(f"g_{i}") for i in range(len(ties))]))
-    combined = rows.select(groups.alias("g"), *[f"o_{c}" for c in kinds]).where("g is not null").groupBy("g", *[f"o_{c}" for c in cats])
+    groups = F.posexplode(F.array(*[F.col(f"g_{i}") for i in range(len(ties))]))
+    combined = rows.select(groups.alias("tie", "g"), *[f"o_{c}" for c in kinds]).where("g is not null").groupBy("tie", "g", *[f"o_{c}" for c in cats])
     sums = [x for c in nums for x in (F.sum(f"o_{c}").alias(f"s_{c}"), F.count(f"o_{c}").alias(f"n_{c}"))]
     combined = combined.agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
     says = F.array(
         *[F.struct(F.lit(c).alias("field"), F.col(f"o_{c}").alias("value"), F.when(F.col(f"o_{c}").isNotNull(), F.col("n")).alias("mass"), F.lit(0.0).alias("total")) for c in cats],
         *[F.struct(F.lit(c).alias("field"), F.lit("").alias("value"), F.col(f"n_{c}").cast("double").alias("mass"), F.coalesce(F.col(f"s_{c}"), F.lit(0.0)).alias("total")) for c in nums],
     )
-    served = {c: [t.name for t in ties if c in t.fields] for c in kinds}
-    tie_of = F.substring_index("g", "\x01", 1)
     serves = F.lit(False)
-    for c, names in served.items():
-        serves = serves | ((F.col("field") == c) & tie_of.isin(names))
-    spoken = combined.select("g", F.inline(says)).where((F.col("mass") > 0) & serves)
+    for c in kinds:
+        serves = serves | ((F.col("field") == c) & F.col("tie").isin([i for i, t in enumerate(ties) if c in t.fields]))
+    spoken = combined.select("tie", "g", F.inline(says)).where((F.col("mass") > 0) & serves)
     observed = materialise(spoken.groupBy("g", "field", "value").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total")))
 
     # The missing cells and their ties.
@@ -92,12 +93,18 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         lacking = lacking | F.col(f"m_{f.name}")
     cells = rows.where(lacking & F.col("_key").isNotNull()).select("_key", F.inline(F.array(*cell_structs))).where("missing")
     cells = materialise(cells.groupBy("_key", "field").agg(F.max("ties").alias("ties")))
-    tied = cells.select("_key", "field", F.inline("ties")).where("g is not null").withColumn("salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    tied = cells.select("_key", "field", F.inline("ties")).where("g is not null")
+    sizes = materialise(tied.groupBy("g", "field").agg(F.count(F.lit(1)).alias("cells")))
+    least = max((sizes.agg(F.sum("cells")).first()[0] or 0) / HOT_PARTS, 1000.0)
+    hot = F.broadcast(sizes.where(F.col("cells") > least).select("g", "field", F.lit(True).alias("hot")))  # at most HOT_PARTS rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).otherwise(0)
+    tied = tied.join(hot, ["g", "field"], "left").withColumn("salt", salt).drop("hot")
 
     said, now = observed, None
     for _ in range(rounds):
         message = said.groupBy("g", "field").agg(F.sum("mass").alias("all"), F.collect_list(F.struct("value", "mass", "total")).alias("says"))
-        message = message.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        copies = F.when(F.col("hot"), F.array(*[F.lit(i) for i in range(SALTS)])).otherwise(F.array(F.lit(0)))
+        message = message.join(hot, ["g", "field"], "left").withColumn("salt", F.explode(copies)).drop("hot")
         heard = tied.join(message, ["g", "field", "salt"]).select("_key", "field", "w", "all", F.inline("says"))
         scale = F.col("w") / F.col("all")
         sums = heard.groupBy("_key", "field", "value").agg(F.sum(scale * F.col("mass")).alias("q"), F.sum(scale * F.col("total")).alias("x"))

@@ -70,3 +70,9 @@ def test_held_out_accuracy(spark):
         rows.append((i, str(who), str(who % 5), None if i in truth else site, float(who % 3 + 6)))
     out = fills(spark, rows)
     assert sum(out[i, "site"][0] == t for i, t in truth.items()) / len(truth) > 0.95
+
+
+def test_a_hot_group_is_heard_by_all_its_cells(spark):
+    rows = [(i, None, "hot", None if i % 2 else "X", 5.0) for i in range(4000)] + [(9000 + i, None, f"t{i}", None, 5.0) for i in range(50)] + [(9100 + i, None, f"t{i}", "Y", 5.0) for i in range(50)]
+    out = fills(spark, rows)
+    assert all(out[i, "site"] == ("X", "propagated") for i in range(1, 4000, 2)) and all(out[9000 + i, "site"] == ("Y", "propagated") for i in range(50))
