@@ -116,13 +116,17 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     # Greatest share first; shares are compared to nine places, so that the order of summation decides nothing.
     best = F.min_by(F.struct("value", "share", "number"), F.struct(-F.round("share", 9), "value"))
     chosen = now.groupBy("_key", "field").agg(best.alias("b")).select("_key", "field", "b.*")
+    # Most frequent value or mean of the whole table: one scan, counted by combination of categories first.
+    whole_sums = [F.count(F.lit(1)).alias("n"), *[x for c in nums for x in (F.sum(f"o_{c}").alias(f"s_{c}"), F.count(f"o_{c}").alias(f"n_{c}"))]]
+    table = materialise(rows.groupBy(*[f"o_{c}" for c in cats]).agg(*whole_sums))
     overall = None  # one row per field
     for f in fields:
         if f.kind == "category":
-            one = rows.where(f"o_{f.name} is not null").groupBy(F.col(f"o_{f.name}").alias("v")).count()
-            one = one.agg(F.min_by("v", F.struct(-F.col("count"), "v")).alias("o_value"), F.lit(None).cast("double").alias("o_number"))
+            one = table.where(f"o_{f.name} is not null").groupBy(F.col(f"o_{f.name}").alias("v")).agg(F.sum("n").alias("n"))
+            one = one.agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("o_value"), F.lit(None).cast("double").alias("o_number"))
         else:
-            one = rows.agg(F.lit(None).cast("string").alias("o_value"), F.avg(f"o_{f.name}").alias("o_number"))
+            mean = F.sum(f"s_{f.name}") / F.nullif(F.sum(f"n_{f.name}").cast("double"), F.lit(0.0))
+            one = table.agg(F.lit(None).cast("string").alias("o_value"), mean.alias("o_number"))
         one = one.withColumn("field", F.lit(f.name))
         overall = one if overall is None else overall.unionByName(one)
     out = cells.select("_key", "field").join(chosen, ["_key", "field"], "left").join(F.broadcast(overall), "field", "left")

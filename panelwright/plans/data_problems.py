@@ -59,7 +59,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _bare(c: str) -> F.Column:
     """Without outer blanks of any kind, in upper case."""
-    return F.upper(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    return F.upper(F.btrim(F.col(c), F.lit(" \t\n\r\x0b\x0c\u00a0")))
 
 
 def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, list[Field], list[Tie]]:
