@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,31 +138,37 @@ def nearest_holding(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.nd
     return np.where(gap_e <= gap_l, np.where(has_e, earlier, -1), later)
 
 
-NEVER = -(1 << 62)  # a time no interval holds
+def _nearest_worker(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All groups of a piece are searched at once: their times are laid end to end, each group in a stretch of its own."""
 
-
-def _nearest_worker() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_groups(batches, ("entity", "bucket")):
             is_point = numbers(rows, "point").astype(bool)
-            at, lo, hi, ident = (numbers(rows, c, NEVER).astype(np.int64) for c in ("at", "lo", "hi", "id"))
-            ends = np.append(starts[1:], rows.num_rows)
-            where, right, gap = [], [], []
-            for a, b in zip(starts.tolist(), ends.tolist()):
-                p = is_point[a:b]
-                if not p.any():
-                    continue
-                s = ~p
-                hit = nearest_holding(at[a:b][p], lo[a:b][s], hi[a:b][s], at[a:b][s])
-                where.append(a + np.flatnonzero(p))
-                ids, anchors = np.append(ident[a:b][s], 0), np.append(at[a:b][s], 0)
-                right.append(np.where(hit >= 0, ids[hit], np.iinfo(np.int64).min))
-                gap.append(np.where(hit >= 0, np.abs(at[a:b][p] - anchors[hit]), -1))
-            if where:
-                r, g = np.concatenate(right), np.concatenate(gap)
-                points = rows.select(["id", "entity", "at"]).take(pa.array(np.concatenate(where))).combine_chunks()
-                found = points.append_column("_right", pa.array(r, mask=g < 0)).append_column("distance_us", pa.array(g, mask=g < 0))
-                yield from found.to_batches()
+            valid = ~is_point | np.asarray(pc.is_valid(rows.column("at")).to_numpy() & pc.is_valid(rows.column("entity")).to_numpy())
+            at, lo, hi, ident, bucket = (np.where(valid, numbers(rows, c).astype(np.int64), 0) for c in ("at", "lo", "hi", "id", "bucket"))
+            lo, hi = np.where(is_point, at, lo), np.where(is_point, at, hi)
+            base = bucket * width
+            at_, lo, hi = at - base, lo - base, hi - base
+            most = int(max(np.abs(at_).max(), np.abs(lo).max(), np.abs(hi).max())) + 1
+            stretch = 2 * most + 1
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+            right, gap = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, -1, np.int64)
+            step = max(1, (1 << 61) // stretch)
+            for first in range(0, len(starts), step):
+                inside = (group >= first) & (group < first + step)
+                offset = (group - first) * stretch + most
+                p, s = np.flatnonzero(inside & is_point & valid), np.flatnonzero(inside & ~is_point)
+                if len(p) and len(s):
+                    hit = nearest_holding((at_ + offset)[p], (lo + offset)[s], (hi + offset)[s], (at_ + offset)[s])
+                    found = hit >= 0
+                    right[p[found]] = ident[s[hit[found]]]
+                    gap[p[found]] = np.abs(at[p[found]] - at[s[hit[found]]])
+            points = np.flatnonzero(is_point)
+            if len(points):
+                r, g = right[points], gap[points]
+                out = rows.select(["id", "entity", "at"]).take(pa.array(points)).combine_chunks()
+                out = out.append_column("_right", pa.array(r, mask=g < 0)).append_column("distance_us", pa.array(g, mask=g < 0))
+                yield from out.to_batches()
 
     return run
 
@@ -190,7 +197,7 @@ def interval_nearest_join(
     merged = spans.select("entity", "bucket", F.lit(False).alias("point"), "at", "lo", "hi", "id").unionByName(where)
     merged = merged.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "at", "id")
     kind = merged.schema["entity"].dataType.simpleString()
-    out = merged.mapInArrow(_nearest_worker(), f"id long, entity {kind}, at long, _right long, distance_us long")
+    out = merged.mapInArrow(_nearest_worker(width), f"id long, entity {kind}, at long, _right long, distance_us long")
     return out.select(F.col("id").alias(point_id), F.col("entity").alias(entity), F.col("at").alias(time), F.col("_right").alias(interval_id), "distance_us")
 
 
