@@ -69,14 +69,18 @@ def _segmenter(tile: int, n_features: int, scale: tuple[float, ...], penalty: fl
             x = np.stack([numbers(rows, f"f{k}", np.nan) for k in range(n_features)], axis=1)
             seen = np.ones(len(pos), np.int64)
             ends = np.append(starts[1:], len(pos))
-            first_row = np.repeat(np.arange(len(starts)), ends - starts)
-            if absent is not None:  # positions without a row, within the tile's first and last, are events of their own
-                lo = pos[starts]
-                span = pos[ends - 1] - lo + 1
+            if absent is not None:  # positions without a row, between the entity's first and last, are events of their own
+                edge = numbers(rows, "tile").astype(np.int64)[starts] * tile
+                lo, hi = (numbers(rows, c).astype(np.int64)[starts] for c in ("lo", "hi"))  # of the span row, the first of its tile
+                lo, hi = np.maximum(lo, edge), np.minimum(hi, edge + tile - 1)
+                span = hi - lo + 1
                 offset = np.append(0, np.cumsum(span))
-                at = offset[first_row] + pos - lo[first_row]
+                data = np.ones(len(pos), bool)
+                data[starts] = False
+                first_row = np.repeat(np.arange(len(starts)), ends - starts)[data]
+                at = offset[first_row] + pos[data] - lo[first_row]
                 full = np.tile(np.array(absent), (offset[-1], 1))
-                full[at] = np.where(np.isnan(x), np.array(absent), x)
+                full[at] = np.where(np.isnan(x[data]), np.array(absent), x[data])
                 seen = np.zeros(offset[-1], np.int64)
                 seen[at] = 1
                 owner = np.repeat(np.arange(len(starts)), span)
@@ -119,8 +123,8 @@ def collapse_runs(
     ``position`` is a whole number (a day, a step); events follow one another in its order.  ``features`` maps a
     name to a numeric column and its weight: two events whose weighted features differ by more than
     ``2 * sqrt(penalty)`` never share a run, since for two values a run that mixes them costs more than the two
-    runs more that part them.  With ``absent`` a position without a row is an event with these values, else events are neighbours
-    whatever lies between.
+    runs more that part them.  With ``absent`` a position without a row, between the entity's first and last row, is an
+    event with these values, else events are neighbours whatever lies between.
 
     Rows with null entity or position are no events; a null or NaN feature has the value of ``absent`` (else 0);
     of rows that repeat an entity and position the one greatest in ``latest_by`` counts, or without it the greatest values; an empty table gives no runs.
@@ -133,7 +137,7 @@ def collapse_runs(
     value = {n: as_col(c).cast("double") for n, (c, _) in features.items()}
     rank = F.struct(*latest_by) if latest_by else F.lit(0)
     events = df.select(as_col(entity).cast("string").alias("entity"), as_col(position).cast("long").alias("pos"), rank.alias("rank"), *[F.when(~F.isnan(value[n]), value[n]).alias(f"f{k}") for k, n in enumerate(names)])
-    events = events.where("entity is not null and pos is not null").withColumn("tile", F.floor(F.col("pos") / tile).cast("long"))
+    events = rows = events.where("entity is not null and pos is not null").withColumn("tile", F.floor(F.col("pos") / tile).cast("long"))
     fs = [f"f{k}" for k in range(len(names))]
     if latest_by:
         events = events.groupBy("entity", "tile", "pos").agg(F.max(F.struct("rank", *fs)).alias("b")).select("entity", "tile", "pos", *[f"b.{f}" for f in fs])
@@ -141,6 +145,11 @@ def collapse_runs(
         events = events.groupBy("entity", "tile", "pos").agg(*[F.max(f).alias(f) for f in fs])
     schema = "entity string, tile long, first_pos long, last_pos long, size long, n long, edge_first boolean, edge_last boolean, " + ", ".join(f"s{k} double, q{k} double" for k in range(len(names)))
     scale = tuple(float(w) for _, w in features.values())
+    if absent is not None:  # a row per entity and tile, without position, so that tiles are filled up to their edges; it is sorted first
+        none = F.lit(None)
+        spans = rows.groupBy("entity").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        spans = spans.select("entity", F.explode(F.sequence(F.floor(F.col("lo") / tile).cast("long"), F.floor(F.col("hi") / tile).cast("long"))).alias("tile"), none.cast("long").alias("pos"), *[none.cast("double").alias(f) for f in fs], "lo", "hi")
+        events = events.withColumns({"lo": none.cast("long"), "hi": none.cast("long")}).unionByName(spans)
     work = _segmenter(tile, len(names), scale, float(penalty), None if absent is None else tuple(float(absent[n]) for n in names))
     pieces = events.repartition("entity", "tile").sortWithinPartitions("entity", "tile", "pos").mapInArrow(work, schema)
 

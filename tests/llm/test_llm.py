@@ -148,6 +148,21 @@ def test_exact_runs_over_tiles(spark):
     assert got == want
 
 
+def test_positions_without_a_row_are_events_at_tile_edges_too(spark):
+    rng = random.Random(3)
+    days = {"edges": [*range(5, 14), *range(17, 30), *range(34, 62)], "long": [3, 4, 5, 70, 71, 150], "random": sorted(rng.sample(range(-60, 120), 90))}
+    rows = [(k, d, 9.0) for k, on in days.items() for d in on]
+    out = runs.collapse_runs(spark.createDataFrame(rows, "e string, i int, v double"), "e", "i", {"v": ("v", 1.0)}, penalty=2.0, absent={"v": 0.0}, tile=16).collect()
+    got = sorted((r["entity"], r["run_start"], r["run_end"], r["n_events"], r["mean_v"]) for r in out)
+    want = []
+    for k, on in days.items():
+        x = np.zeros((1, on[-1] - on[0] + 1, 1))
+        x[0, np.array(on) - on[0]] = 9.0
+        cuts = [*runs.segment(x, np.array([x.shape[1]]), 2.0)[0], x.shape[1]]
+        want += [(k, int(on[0] + a), int(on[0] + b - 1), int((x[0, a:b] > 0).sum()), float(x[0, a:b].mean())) for a, b in zip(cuts, cuts[1:])]
+    assert got == sorted(want)
+
+
 def test_near_identical_events_collapse_and_distant_ones_do_not(spark):
     rows = [("a", i, v) for i, v in enumerate([5.0, 5.1, 4.9, 9.0, 9.1, 5.0])]
     out = runs.collapse_runs(spark.createDataFrame(rows, "e string, i int, v double"), "e", "i", {"v": ("v", 1.0)}, penalty=0.5).orderBy("run_start").collect()
