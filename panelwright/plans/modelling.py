@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions.ids import canonical_id_sql
-from panelwright.ml import encode, evaluation, models, tuning, weights
+from panelwright.ml import encode, evaluation, models, runs, tuning, weights
 from panelwright.operators import curves, stats
 from panelwright.operators.ranking import running_sums
 from panelwright.plans.panel import ATTENDANCE, attendance_days
+from panelwright.session import materialise
 from panelwright.sources.tables import table, values
 
 QUERIES, SQL = {}, {}
@@ -261,21 +262,28 @@ def _rows(spark, d):
 
 
 _FEATURES = {"continuous": ["hours", "rate", "age"], "categorical": ["dow"]}
-_SMALL = {
-    "lr": {"maxIter": 10, "regParam": 0.01}, "gbt": {"maxIter": 5, "maxDepth": 3}, "gbt_regression": {"maxIter": 5, "maxDepth": 3}, "rf": {"numTrees": 10, "maxDepth": 5}, "rf_regression": {"numTrees": 10, "maxDepth": 5},
-    "mlp": {"hidden": (8,), "maxIter": 20}, "glm": {"family": "gaussian", "maxIter": 10}, "svm": {"maxIter": 10, "regParam": 0.01}, "linear": {"maxIter": 10, "regParam": 0.01},
+_HOURS = {"continuous": ["rate", "age"], "categorical": ["dow"]}
+
+# The settings of the reference's final models; the families without any are searched, with so many sets of their space,
+# of which the reference narrows some parts.
+_GBT = {"maxIter": 200, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.7, "minInstancesPerNode": 5, "minInfoGain": 0.0, "maxBins": 32, "featureSubsetStrategy": "sqrt"}
+_RF = {"numTrees": 150, "maxDepth": 20, "minInstancesPerNode": 10, "maxBins": 32, "featureSubsetStrategy": "auto", "subsamplingRate": 0.7, "impurity": "entropy"}
+FIXED = {"gbt": _GBT, "gbt_regression": _GBT, "rf": _RF, "rf_regression": _RF | {"impurity": "variance"}}
+SETS = 4
+NARROWED = {
+    "lr": {"elasticNetParam": (0.0, 0.1, 0.25, 0.5, 0.75), "threshold": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), "regParam": (0.0, 0.001, 0.01, 0.1, 0.5, 1.0, 5.0)},
+    "svm": {"regParam": (0.01, 0.5, 0.1)}, "mlp": {"solver": ("l-bfgs",)},
+    "glm": {"family": ("gaussian", "poisson", "tweedie"), "variancePower": (0.0, 1.0)},  # gamma, and the power 2 that equals it, are not defined for hours of 0
 }
 
 
 def _run(family: str):
     def f(spark, d):
         cv = weights.inverse_class_frequency(_rows(spark, d), "label")
-        folds = encode.temporal_folds(cv.drop("fold_id"), "date", "label", "row_id")
-        target = "label" if models.FAMILIES[family].classifier else "hours"
-        inputs = _FEATURES if target == "label" else {"continuous": ["rate", "age"], "categorical": ["dow"]}
-        params = _SMALL[family]
-        model = models.train(folds.where("is_test = 0"), family, target, models.feature_stages(**inputs), params, "weight")
-        return models.evaluate(model, folds.where("is_test = 1"), family, target, params)["performance"]
+        folds = materialise(encode.temporal_folds(cv.drop("fold_id"), "date", "label", "row_id"))
+        target, inputs = ("label", _FEATURES) if models.FAMILIES[family].classifier else ("hours", _HOURS)
+        search = {} if family in FIXED else {"n": SETS, "overrides": NARROWED.get(family, {})}
+        return runs.run_model(folds, family, target, models.feature_stages(**inputs), "row_id", FIXED.get(family), **search)["performance"]
 
     f.__name__ = f"train_{family}"
     return f
@@ -287,9 +295,16 @@ for _family in models.FAMILIES:
 
 @query()
 def cv_search(spark, d):
-    return models.cross_validate(_rows(spark, d), "lr", "label", models.feature_stages(**_FEATURES), n=2, overrides={"maxIter": (5, 10), "aggregationDepth": (2,)})
+    """Results of the three searches of the reference, one under the other; a family has no value for others' parameters."""
+    rows, out = weights.inverse_class_frequency(_rows(spark, d), "label"), None
+    for family in ("lr", "svm", "mlp"):
+        found = models.cross_validate(rows, family, "label", models.feature_stages(**_FEATURES), weight="weight", n=SETS, overrides=NARROWED[family])
+        found = found.select(F.lit(family).alias("family"), "*")
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out
 
 
 @query()
 def rf_feature_select(spark, d):
-    return models.select_features(_rows(spark, d), ["hours", "rate", "age"], "label", n=2, trees=10, depth=5)[1]
+    rows = weights.inverse_class_frequency(_rows(spark, d), "label")
+    return runs.reduce_features(rows, "label", ["hours", "rate", "age", "dow"], ["dow"], ["row_id", "date", "label", "weight"], n=135, trees=200, depth=10)["importances"]
