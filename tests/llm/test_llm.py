@@ -163,6 +163,26 @@ def test_positions_without_a_row_are_events_at_tile_edges_too(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("absent", [None, {"v": 0.0}])
+def test_runs_over_tile_edges_are_those_of_the_whole_sequence(spark, absent):
+    rng = random.Random(11)
+    stairs = {d: 8 + 0.25 * (d // 8) for d in range(96)}
+    near = {d: rng.gauss(6, 1.2) for d in range(-30, 90)}
+    mixed = {d: rng.choice([8.0, 8.0, 8.5, rng.uniform(3, 11)]) for d in range(150) if rng.random() < 0.8}
+    series = {"stairs": stairs, "near": near, "mixed": mixed}
+    df = spark.createDataFrame([(k, d, v) for k, x in series.items() for d, v in x.items()], "e string, i int, v double")
+    out = runs.collapse_runs(df, "e", "i", {"v": ("v", 1.0)}, penalty=2.0, absent=absent, tile=8).collect()
+    for k, x in series.items():
+        days = sorted(x) if absent is None else range(min(x), max(x) + 1)
+        values = np.array([[[x.get(d, 0.0)] for d in days]])
+        cuts = [*runs.segment(values, np.array([len(days)]), 2.0)[0], len(days)]
+        want = [(days[a], days[b - 1], pytest.approx(values[0, a:b].mean())) for a, b in zip(cuts, cuts[1:])]
+        got = sorted((r["run_start"], r["run_end"], r["mean_v"]) for r in out if r["entity"] == k)
+        assert got == want
+        parts = [values[0, a:b] for a, b in zip(cuts, cuts[1:])]
+        assert sum(((q - q.mean(axis=0)) ** 2).sum() for q in parts) + 2.0 * (len(parts) - 1) == pytest.approx(best_cost(values[0], 2.0))
+
+
 def test_near_identical_events_collapse_and_distant_ones_do_not(spark):
     rows = [("a", i, v) for i, v in enumerate([5.0, 5.1, 4.9, 9.0, 9.1, 5.0])]
     out = runs.collapse_runs(spark.createDataFrame(rows, "e string, i int, v double"), "e", "i", {"v": ("v", 1.0)}, penalty=0.5).orderBy("run_start").collect()
