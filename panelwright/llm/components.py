@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from panelwright.session import materialise
 
 
-def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``id, component``: every id of a link, with the smallest id it is linked to, directly or through others.
 
-    Each round hands every id the smallest label among its neighbours and then its label's label, so chains halve
-    and the number of rounds grows with the logarithm of the longest chain.  A hub costs one pre-aggregated group.
+    Each round hands every id the smallest label among its neighbours, hands the id that was its label the same, so
+    that whole trees move on, and then takes its label's label, so chains halve.  It goes on until nothing changes:
+    labels only fall, so it ends, whatever the links are.  A hub costs one pre-aggregated group.
     Links with a null end and links of an id to itself tie nothing; repeated links and either direction are one.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = materialise(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("low")).select("id", F.least("id", "low").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("heard"))
         nearer = labels.join(heard, "id", "left").select("id", "label", F.least("label", "heard").alias("near"))
+        told = nearer.groupBy(F.col("label").alias("id")).agg(F.min("near").alias("told"))
+        nearer = nearer.join(told, "id", "left").select("id", "label", F.least("near", "told").alias("near"))
         jump = nearer.select(F.col("id").alias("near"), F.col("near").alias("far"))
         stepped = nearer.join(jump, "near", "left").select("id", F.col("label").alias("was"), F.least("near", F.coalesce("far", "near")).alias("label"))
         stepped = materialise(stepped)
@@ -28,4 +31,3 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         labels = stepped.select("id", "label")
         if not changed:
             return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

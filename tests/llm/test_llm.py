@@ -26,6 +26,14 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
 
+def test_long_chains_of_ids_settle(spark):
+    ids = [f"{i:03d}" for i in range(400)]
+    random.Random(5).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])), "a string, b string").coalesce(1)
+    got = {r["id"]: r["component"] for r in connected_components(links, "a", "b").collect()}
+    assert got == dict.fromkeys(ids, "000")
+
+
 def test_flow_meets_quotas_at_least_cost():
     rng = np.random.default_rng(0)
     for _ in range(50):
