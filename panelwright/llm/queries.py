@@ -95,30 +95,54 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing(spark, d).where("piece = 1").select("doc_id")
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", canonical_name("source").alias("leaf"))
-    sized = with_token_counts(docs, "text", ["doc_id", "lang", "leaf"])
+def _mixture(spark: SparkSession, d: str, by_chars: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The tree is posts - language - source; languages are those of ``common_words``, any other is one of its own."""
+    tongues = [r["lang"] for r in table(spark, d, "common_words").select("lang").distinct().collect()]  # a fixed list
+    lang = F.when(F.col("lang").isin(tongues), F.col("lang")).otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", "text", lang.alias("tongue"), canonical_name("source").alias("leaf"), F.length("text").alias("n_tokens"))
+    sized = docs.drop("text") if by_chars else with_token_counts(docs, "text", ["doc_id", "tongue", "leaf"])
     targets = table(spark, d, "source_targets").select("source", canonical_name("source").alias("leaf"), "target_share", "max_repeats").collect()  # a fixed table
-    # A source stands under the language most of its posts are marked with.
-    known = docs.where(F.col("leaf").isin([t["leaf"] for t in targets])).groupBy("leaf", "lang").count()
-    most = {r["leaf"]: r["lang"] for r in known.groupBy("leaf").agg(F.max_by("lang", F.struct("count", "lang")).alias("lang")).collect()}
-    tree = [(("posts", most.get(t["leaf"]) or ""), t["leaf"], float(t["target_share"]), int(t["max_repeats"])) for t in targets]
-    uses, report = mix_sources(sized, "doc_id", "leaf", "n_tokens", tree)
-    names = spark.createDataFrame([(t["source"], t["leaf"]) for t in targets], "source string, leaf string")
+    tree = [(("posts",), t["leaf"], float(t["target_share"]), int(t["max_repeats"])) for t in targets]
+    uses, report = mix_sources(sized, "doc_id", "leaf", "n_tokens", tree, level="tongue")
+    names = spark.createDataFrame([(t["source"], t["leaf"], float(t["target_share"]), int(t["max_repeats"])) for t in targets], "source string, leaf string, share double, max_repeats int")
     return uses, report.join(F.broadcast(names), "leaf")
 
 
+def _by_source(report: DataFrame) -> DataFrame:
+    """One row per source; a source is short if what its leaves were given and what was drawn stay below its share."""
+    sums = [F.sum(c).alias(c) for c in ("reached_share", "target_tokens", "available_tokens", "budget_tokens", "drawn_tokens")]
+    return report.groupBy("source", F.col("share").alias("target_share"), "max_repeats").agg(*sums, F.bool_and("short").alias("short"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[0].select("doc_id", F.col("leaf").alias("source"), "uses")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    report = _mixture(spark, d)[1]
+    report = _by_source(_mixture(spark, d)[1])
     return report.select("source", "target_share", F.round("reached_share", 6).alias("reached_share"), "target_tokens", "available_tokens", "drawn_tokens", "short")
 
 
+def p8_tree_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of the tree: what each was given and what was drawn of it."""
+    return _mixture(spark, d)[1].select(F.col("level").alias("lang"), "source", F.round("target_share", 6).alias("target_share"), F.round("reached_share", 6).alias("reached_share"), "budget_tokens", "drawn_tokens", "short")
+
+
+def p8_characters(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture by characters, which SQL can count too: what the sources can give, who is short, and that the mixture
+    is as large as all documents (less than 0.1 % away) and uses no document more often than its source allows."""
+    uses, report = _mixture(spark, d, by_chars=True)
+    most = uses.groupBy("leaf").agg(F.max("uses").alias("uses"))
+    names = report.select("source", "leaf").distinct()
+    rows = _by_source(report).join(names, "source").join(most, "leaf", "left")
+    whole = F.sum("reached_share").over(Window.partitionBy(F.lit(1)))  # over one row per source
+    return rows.select(
+        "source", F.col("available_tokens").alias("available"), "short", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(whole - 1) < 0.001).alias("whole"),
+    )
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d)[1].where("short").select("source")
+    return _by_source(_mixture(spark, d)[1]).where("short").select("source")
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +212,12 @@ l AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (regexp_matches(regexp_r
 s AS (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS dense, length(regexp_replace(text, '[\\s\\p{L}\\p{N}]', '', 'g')) AS symbols FROM t)
 """
 
+_NAME = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+
 SQL = {
+    "p8_characters": f"""WITH n AS (SELECT {_NAME.format('source')} AS leaf, sum(length(text)) AS n FROM documents GROUP BY 1), a AS (SELECT sum(n) AS size FROM n)
+        SELECT t.source, CAST(coalesce(n.n, 0) * t.max_repeats AS BIGINT) AS available, coalesce(n.n, 0) * t.max_repeats < size * t.target_share AS short, true AS repeats_kept, true AS whole
+        FROM source_targets t CROSS JOIN a LEFT JOIN n ON n.leaf = {_NAME.format('t.source')}""",
     "p9_statistics": _P9 + """SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, round(coalesce(letters / n_words, 0.0), 6) AS mean_word_length,
         round(CASE WHEN dense > 0 THEN symbols / dense ELSE 0.0 END, 6) AS symbol_ratio, round(coalesce(ended / lines, 0.0), 6) AS lines_ending_in_punctuation,
         round(coalesce(common / n_words, 0.0), 6) AS common_word_share FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)""",
@@ -202,6 +231,6 @@ SQL = {
 QUERIES = {
     "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
     "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found, "p5_similar_days": p5_similar_days,
-    "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_found": p8_found,
+    "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_tree_shares": p8_tree_shares, "p8_characters": p8_characters, "p8_found": p8_found,
     "p9_statistics": p9_statistics, "p9_structure": p9_structure, "p9_found": p9_found,
 }
