@@ -40,6 +40,20 @@ def p2_split_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("split", "persons", "rows", "positives", F.round(F.col("rows") / whole, 4).alias("share"))
 
 
+def p2_split_people(spark: SparkSession, d: str) -> DataFrame:
+    """Every person with rows and the number of splits they lie in."""
+    return p2_split_rows(spark, d).where("person is not null").groupBy("person").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("split").alias("splits"))
+
+
+def p2_split_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Whether rows and positives of every split are within the largest person of its quota."""
+    parts = _splits(spark, d)[1].groupBy("split").agg(F.sum("n_rows").alias("rows"), F.sum("n_positive").alias("positives"), F.max("n_rows").alias("largest"))
+    every = Window.partitionBy(F.lit(1))  # over one row per split
+    quota = F.when(F.col("split") == "train", 0.8).otherwise(0.1)
+    near = lambda c: F.abs(F.col(c) - quota * F.sum(c).over(every)) <= F.max("largest").over(every)
+    return parts.select("split", near("rows").alias("rows_kept"), near("positives").alias("positives_kept"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _splits(spark, d)[1].where((F.col("n_folds") > 1) & F.col("split").isNotNull()).select(F.col("component").alias("maskedMatchId"))
 
@@ -221,6 +235,8 @@ SQL = {
     "p9_statistics": _P9 + """SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, round(coalesce(letters / n_words, 0.0), 6) AS mean_word_length,
         round(CASE WHEN dense > 0 THEN symbols / dense ELSE 0.0 END, 6) AS symbol_ratio, round(coalesce(ended / lines, 0.0), 6) AS lines_ending_in_punctuation,
         round(coalesce(common / n_words, 0.0), 6) AS common_word_share FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "p2_split_people": _P2 + """SELECT person, count(*) AS rows, CAST(1 AS BIGINT) AS splits FROM p WHERE person IS NOT NULL GROUP BY person""",
+    "p2_split_quotas": "SELECT split, true AS rows_kept, true AS positives_kept FROM (VALUES ('train'), ('validation'), ('test')) t(split)",
     "p2_found": _P2 + """SELECT person AS "maskedMatchId" FROM p WHERE person IS NOT NULL GROUP BY person HAVING count(DISTINCT fold_id) > 1""",
     "p4_nearest_shift": _P4 + """SELECT swipe_id, shift_id, CAST(seconds_apart AS DOUBLE) AS seconds_apart FROM k""",
     "p4_found": _P4 + """SELECT swipe_id, shift_id FROM k WHERE shift_id IS NOT NULL""",
@@ -229,7 +245,7 @@ SQL = {
 }
 
 QUERIES = {
-    "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
+    "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_split_people": p2_split_people, "p2_split_quotas": p2_split_quotas, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
     "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found, "p5_similar_days": p5_similar_days,
     "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_tree_shares": p8_tree_shares, "p8_characters": p8_characters, "p8_found": p8_found,
     "p9_statistics": p9_statistics, "p9_structure": p9_structure, "p9_found": p9_found,

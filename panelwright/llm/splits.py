@@ -3,7 +3,9 @@
 Method: records are gathered into components (all ids of one person, author, source ...).  Components of the same
 size and label profile are interchangeable and form a bundle; a min-cost flow sends every bundle's rows to the
 splits, under the splits' quotas and with a cost for each row a bundle deviates from its proportional share.  The
-flow is rounded to whole components, largest first, and the members of a bundle are assigned in the order of a hash.
+flow is rounded to whole components (a second flow over what is left of each bundle, in order of size, so roundings
+cancel out; then exchanges of single components while they bring rows or positives nearer to the quotas), and the
+members of a bundle are assigned in the order of a hash.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from panelwright.llm.components import connected_components
 from panelwright.operators.joins import salted_lookup
 from panelwright.session import materialise
 
-EXACT = 256  # sizes and label counts up to here make profiles of their own, larger ones by steps of 1/32
+EXACT = 256  # sizes and label counts up to here make profiles of their own, larger ones by steps of 1/32 (they are placed first)
 BUCKETS = 1024  # hash ranges by which a bundle's members are put in order
 
 
@@ -92,27 +94,58 @@ def _whole_parts(total: int, shares: Sequence[float]) -> np.ndarray:
     return np.array(parts, np.int64)
 
 
-def whole_components(count: np.ndarray, size: np.ndarray, positives: np.ndarray, flow: np.ndarray, shares: Sequence[float]) -> np.ndarray:
-    """Components per bundle and split: the whole ones in the flow, and the rest one by one, the largest first, each to
-    the split where it adds least to the squared deviations from the quotas of rows and of positives (relative to
-    the quotas, so all splits fill up alike)."""
-    share = np.asarray(shares, float)
-    out = np.minimum(np.floor(flow / np.maximum(size, 1)[:, None]).astype(np.int64), count[:, None])
-    rows, pos = (out * size[:, None]).sum(axis=0).astype(float), (out * positives[:, None]).sum(axis=0).astype(float)
-    all_rows, all_pos = float((count * size).sum()), float((count * positives).sum())
-    want_rows, want_pos = np.maximum(all_rows * share, 1e-9), np.maximum(all_pos * share, 1e-9)
-    weight = all_rows / all_pos if all_pos else 0.0
-    for b in np.lexsort((-positives, -size)):
-        for _ in range(int(count[b] - out[b].sum())):
-            added = size[b] * (2 * (rows / want_rows - 1) + size[b] / want_rows)
-            added = added + weight * positives[b] * (2 * (pos / want_pos - 1) + positives[b] / want_pos)
-            k = int(np.argmin(added))
-            out[b, k] += 1
-            rows[k] += size[b]
-            pos[k] += positives[b]
+def whole_components(count: np.ndarray, size: np.ndarray, positives: np.ndarray, flow: np.ndarray, rows_wanted: np.ndarray, positives_wanted: np.ndarray) -> np.ndarray:
+    """Components per bundle and split, ``size`` and ``positives`` each; ``flow`` in rows.
+
+    The whole ones of the flow stay where they flow.  What is left of a bundle, some components, flows again, the
+    bundles in order of size and label share: each goes to the split that is furthest behind what has flowed to it so
+    far, so at any size no split is more than about one component off, and the rows no more than about the largest one.  Then single components
+    change splits while that lowers the squared deviations of rows and positives from what is wanted, relative to it.
+    """
+    b, s = flow.shape
+    parts = flow / np.maximum(size, 1)[:, None]
+    out = np.floor(parts + 1e-9).astype(np.int64)
+    behind = np.zeros(s)
+    for i in np.lexsort((positives / np.maximum(size, 1), size)):
+        behind += parts[i] - out[i]
+        for _ in range(int(count[i] - out[i].sum())):
+            k = int(np.argmax(behind))
+            out[i, k] += 1
+            behind[k] -= 1
+    want = np.stack([np.maximum(rows_wanted, 1e-9), np.maximum(positives_wanted, 1e-9)]).astype(float)
+    profile = np.stack([size, positives]).astype(float)
+    off = np.stack([(out * size[:, None]).sum(axis=0), (out * positives[:, None]).sum(axis=0)]) - want
+    weight = np.array([1.0, want[0].sum() / want[1].sum() if positives.sum() else 0.0])
+    for _ in range(20 * b + 1000 if s > 1 else 0):
+        best, move = -1e-9 * weight[0], None
+        for x in range(s):
+            have = out[:, x] > 0
+            if not have.any():
+                continue
+            leaves = (weight[:, None] * profile * (profile - 2 * off[:, x : x + 1]) / want[:, x : x + 1]).sum(axis=0)
+            for y in range(s):
+                if x != y:
+                    gain = np.where(have, leaves + (weight[:, None] * profile * (profile + 2 * off[:, y : y + 1]) / want[:, y : y + 1]).sum(axis=0), 0.0)
+                    i = int(np.argmin(gain))
+                    if gain[i] < best:
+                        best, move = gain[i], (i, x, y)
+        if move is None:
+            break
+        i, x, y = move
+        out[i, x] -= 1
+        out[i, y] += 1
+        off[:, x] -= profile[:, i]
+        off[:, y] += profile[:, i]
     return out
 
 
+def plan_bundles(count: np.ndarray, size: np.ndarray, positives: np.ndarray, rows_wanted: np.ndarray, positives_wanted: np.ndarray) -> np.ndarray:
+    """The two steps in one: components per bundle and split that bring rows and positives nearest to what is wanted."""
+    shares = np.maximum(rows_wanted, 0.0) / max(np.maximum(rows_wanted, 0.0).sum(), 1e-9)
+    flow = quota_flow(count * size, [float(x) for x in shares])
+    return whole_components(count, size, positives, flow, rows_wanted, positives_wanted)
+
+
 def _level(c: Column) -> Column:
     """Sizes as levels: exact up to EXACT, then steps of 1/32 of a power of two, so bundles stay few."""
     power = F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double")))
@@ -134,7 +167,9 @@ def grouped_splits(
     columns of ``df`` named component or split are replaced.
 
     Sent to the driver: one row per bundle, at most (EXACT + 32 * 64)² and in practice some hundreds, since a
-    bundle is a pair of levels; never components.  A component larger than a quota goes where it is missed most.
+    bundle is a pair of levels; never components.  Components of up to EXACT rows flow with their exact size; larger
+    ones are bundled by steps of size, placed first, and the exact rows they took come off the quotas of the others.
+    A component larger than a quota goes where it is missed most.
     """
     spark: SparkSession = df.sparkSession
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -156,21 +191,39 @@ def grouped_splits(
     groups = groups.withColumn("_bucket", F.pmod(F.shiftright("_hash", 20), F.lit(BUCKETS)).cast("int"))
     groups = materialise(groups)
 
-    sizes = groups.groupBy("_size", "_pos", "_bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n_rows").alias("rows"))
-    bundles = sizes.groupBy("_size", "_pos").agg(F.sum("k").alias("count"), F.sum("rows").alias("rows")).orderBy("_size", "_pos").collect()
-    count, size, pos = (np.array([int(r[c]) for r in bundles], np.int64) for c in ("count", "_size", "_pos"))
-    plan = whole_components(count, size, pos, quota_flow(count * size, shares), shares) if bundles else np.zeros((0, len(names)), np.int64)
-    upto = np.cumsum(plan, axis=1)
-    rule = spark.createDataFrame([(int(size[i]), int(pos[i]), [int(x) for x in upto[i]]) for i in range(len(bundles))], "_size long, _pos long, _upto array<long>")
-
-    # The place of a component in its bundle: members in smaller hash ranges, then its rank in its own range.
+    sizes = groups.groupBy("_size", "_pos", "_bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n_rows").alias("rows"), F.sum("n_positive").alias("positives"))
+    bundles = sizes.groupBy("_size", "_pos").agg(*[F.sum(c).alias(c) for c in ("k", "rows", "positives")]).orderBy("_size", "_pos").collect()
     before = F.sum("k").over(Window.partitionBy("_size", "_pos").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_size", "_pos", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_size", "_pos", "_bucket").orderBy("_hash", "component"))
-    placed = groups.withColumn("_rank", rank).join(offsets, ["_size", "_pos", "_bucket"]).join(rule, ["_size", "_pos"])
-    k = F.size(F.filter("_upto", lambda u: u < F.col("_before") + F.col("_rank")))
-    components = placed.withColumn("split", F.element_at(F.array(*[F.lit(n) for n in names]), k + 1))
-    components = components.select("component", "n_rows", "n_positive", *(["n_folds"] if spread else []), "split")
+    names_of = F.array(*[F.lit(n) for n in names])
+
+    def place(groups: DataFrame, plan: list[tuple[int, int, list[int]]]) -> DataFrame:
+        """The place of a component in its bundle, members in smaller hash ranges, then its rank in its own, says its split."""
+        rule = spark.createDataFrame(plan, "_size long, _pos long, _upto array<long>")
+        rank = F.row_number().over(Window.partitionBy("_size", "_pos", "_bucket").orderBy("_hash", "component"))
+        placed = groups.withColumn("_rank", rank).join(offsets, ["_size", "_pos", "_bucket"]).join(rule, ["_size", "_pos"])
+        k = F.size(F.filter("_upto", lambda u: u < F.col("_before") + F.col("_rank")))
+        return placed.withColumn("split", F.element_at(names_of, k + 1)).select("component", "n_rows", "n_positive", *(["n_folds"] if spread else []), "split")
+
+    # Bundles of large components are by steps of size: they are placed first, and what they really take comes off the quotas.
+    share = np.array(shares)
+    rows_wanted, positives_wanted = (share * float(sum(r[c] for r in bundles)) for c in ("rows", "positives"))
+    components = None
+    for large in (True, False):
+        part = [r for r in bundles if (r["_size"] > EXACT) == large]
+        if not part and (large or components is not None):
+            continue
+        count = np.array([r["k"] for r in part], np.int64)
+        size, pos = (np.array([-(-int(r[c]) // int(r["k"])) for r in part], np.int64) for c in ("rows", "positives"))
+        plan = plan_bundles(count, size, pos, rows_wanted, positives_wanted) if part else np.zeros((0, len(names)), np.int64)
+        upto = np.cumsum(plan, axis=1)
+        placed = place(groups.where((F.col("_size") > EXACT) if large else (F.col("_size") <= EXACT)), [(int(r["_size"]), int(r["_pos"]), [int(x) for x in u]) for r, u in zip(part, upto)])
+        if large:
+            placed = materialise(placed)
+            for r in placed.groupBy("split").agg(F.sum("n_rows").alias("rows"), F.sum("n_positive").alias("positives")).collect():
+                rows_wanted[names.index(r["split"])] -= r["rows"]
+                positives_wanted[names.index(r["split"])] -= r["positives"]
+        components = placed if components is None else components.unionByName(placed)
 
     edge = np.cumsum(shares)
     draw = F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000)) / 1_000_000

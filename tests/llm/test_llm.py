@@ -45,6 +45,33 @@ def test_flow_meets_quotas_at_least_cost():
         assert (np.abs(flow - supply[:, None] * shares) < len(shares)).all()
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_whole_components_keep_the_quotas_of_the_flow(seed):
+    rng = np.random.default_rng(seed)
+    profiles = sorted({(s := int(rng.integers(1, 256)), int(rng.integers(0, s + 1))) for _ in range(3000)})
+    size, pos = (np.array([p[k] for p in profiles]) for k in (0, 1))
+    count = rng.integers(1, 50, len(size))
+    share = np.array([0.8, 0.1, 0.1])
+    rows, positives = share * (count * size).sum(), share * (count * pos).sum()
+    out = splits.plan_bundles(count, size, pos, rows, positives)
+    assert (out.sum(axis=1) == count).all() and (out >= 0).all()
+    assert np.abs((out * size[:, None]).sum(axis=0) - rows).max() <= size.max()
+    assert np.abs((out * pos[:, None]).sum(axis=0) - positives).max() <= size.max()
+
+
+def test_large_components_count_with_their_exact_size(spark):
+    rng = random.Random(3)
+    rows, i = [], 0
+    for m in range(60):
+        for _ in range(rng.choice([257, 300, 311, 403, 5, 9, 1])):
+            rows.append((i, f"m{m}", None, None))
+            i += 1
+    out, comps = split_rows(spark, rows)
+    assert len(out) == len(rows) and len(comps) == 60
+    sizes = {s: sum(c["n_rows"] for c in comps if c["split"] == s) for s in ("train", "val", "test")}
+    assert all(abs(sizes[s] - q * len(rows)) <= 403 for s, q in (("train", 0.8), ("val", 0.1), ("test", 0.1)))
+
+
 def split_rows(spark, rows, links=(), **kw):
     df = spark.createDataFrame(rows, "id long, who string, fold int, y int")
     ldf = spark.createDataFrame(list(links), "p string, q string")
