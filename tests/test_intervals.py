@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from panelwright.operators.intervals import _union_bitmaps, gaps_within_label, periods_and_gaps
+from panelwright.operators import intervals
+from panelwright.operators.intervals import gaps_within_label, periods_and_gaps
 
 T0 = dt.datetime(2024, 1, 1)
 H = dt.timedelta(hours=1)
@@ -71,15 +72,39 @@ def test_nulls_unusable_ends_and_empty(spark):
     assert run(spark, [*rows, ("a", T0, T0 + H, None), ("a", T0 + 2 * H, T0 + 3 * H, None)])[2] == set()
 
 
-def test_union_is_independent_of_batching():
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 400])
+def test_runs_are_independent_of_batching(size):
+    """Both steps at once, fed by batches of any size, against the union of all rows."""
     import pyarrow as pa
 
-    rng = random.Random(3)
-    rows = sorted((rng.choice("ab"), rng.randrange(2), s := rng.randrange(100), s + rng.randrange(1, 9), None) for _ in range(60))
-    rows.sort(key=lambda r: (r[0], r[1], r[2], -r[3]))
-    t = pa.table({"entity": [r[0] for r in rows], "shard": pa.array([r[1] for r in rows], pa.int32()), "label": pa.array([r[4] for r in rows], pa.int64()), "start": pa.array([r[2] for r in rows], pa.int64()), "end": pa.array([r[3] for r in rows], pa.int64())})
-    seen = []
-    for size in (1, 2, 7, 60):
-        out = pa.Table.from_batches(list(_union_bitmaps(iter(t.to_batches(max_chunksize=size))))).to_pylist()
-        seen.append(sorted((r["entity"], r["shard"], r["start"], r["end"], r["before_end"] or -1, r["first"], r["last"]) for r in out if r["is_run"]))
-    assert all(s == seen[0] for s in seen)
+    rng = random.Random(size)
+    day = 24 * 3_600_000_000
+    rows = [(rng.choice("ab"), s := rng.randrange(60), s + rng.choice([1, 1, 2, 3, 25]), rng.choice([None, None, 1, 2])) for _ in range(90)]
+    pieces = []
+    for e, s, t, w in rows:  # shards of ten units
+        pieces += [(e, k, w, max(s - 10 * k, 0), min(t - 10 * k, 10)) for k in range(s // 10, (t - 1) // 10 + 1)]
+    pieces.sort(key=lambda r: (r[0], r[1], r[3]))
+    kinds = frozenset((intervals.PERIOD, intervals.GAP))
+    t = pa.table([pa.array(c, k) for c, k in zip(zip(*pieces), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["entity", "shard", "label", "start", "end"])
+    runs = pa.Table.from_batches(list(intervals._runs(kinds, 10)(iter(t.to_batches(max_chunksize=size)))))
+    runs = runs.sort_by([("entity", "ascending"), ("lane", "ascending"), ("start", "ascending")])
+    out = pa.Table.from_batches(list(intervals._across(kinds)(iter(runs.to_batches(max_chunksize=size))))).to_pylist()
+    times = [(e, T0 + s * US * day, T0 + t * US * day, w) for e, s, t, w in rows]
+    periods, gaps, cases = brute(times)
+    at = lambda x: us(T0 + x * US * day)
+    assert sorted((r["entity"], at(r["start"]), at(r["end"])) for r in out if r["kind"] == intervals.PERIOD) == sorted(periods)
+    assert sorted((r["entity"], at(r["start"]), at(r["end"])) for r in out if r["kind"] == intervals.GAP) == sorted(gaps)
+    assert {(r["entity"], at(r["start"]), at(r["end"])) for r in out if r["common"]} == cases
+    labels = {(r["entity"], r["start"], w) for r in out for w in r["labels"] or []}
+    assert labels == {(e, p, w) for e, s, _, w in rows if w for (x, a, b) in periods if x == e for p in [next(r["start"] for r in out if r["kind"] == 0 and r["entity"] == e and at(r["start"]) == a)] if a <= at(s) < b}
+
+
+def test_a_hot_entity_is_compressed_before_the_shuffle(spark):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    rows = [("hot", s := T0 + dt.timedelta(minutes=rng.randrange(60 * 24 * 40)), s + 8 * H, s.date()) for _ in range(20000)]
+    t = pa.table({"entity": ["hot"] * 20000, "shard": pa.array([0] * 20000, pa.int32()), "label": [(r[3] - T0.date()).days for r in rows], "start": [(r[1] - T0) // US for r in rows], "end": [(r[2] - T0) // US for r in rows]})
+    united = pa.Table.from_batches(list(intervals._local_bitmaps(iter(t.to_batches(max_chunksize=1000)))))
+    assert united.num_rows <= 2 * 40
+    assert run(spark, rows[:500]) == brute(rows[:500])
