@@ -97,8 +97,18 @@ def p6_filled(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("maskedMatchId", F.col("_member")).drop("_site", "_department", "_shift", "_hours", "_member")
 
 
+def _fills(spark: SparkSession, d: str) -> DataFrame:
+    facts, fields, ties = _facts(spark, d)
+    return propagate_fills(facts, "row_id", fields, ties)
+
+
+def p6_methods(spark: SparkSession, d: str) -> DataFrame:
+    """How many cells of each field were filled, and how."""
+    return _fills(spark, d).groupBy("field", "method").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return propagate_fills(*(lambda f, fields, ties: (f, "row_id", fields, ties))(*_facts(spark, d))).select("row_id", "field")
+    return _fills(spark, d).where("filled").select("row_id", "field")
 
 
 _ID = canonical_id_sql("maskedMatchId")
@@ -149,4 +159,4 @@ SQL = {
         WHERE EXISTS (SELECT 1 FROM n x JOIN n y ON x.m = y.m AND x.w = y.w WHERE x.m = a.m AND x.k = a.k AND y.k = b.k)""",
 }
 
-QUERIES = {"p1_rolling_no_shows": p1_rolling_no_shows, "p1_found": p1_found, "p3_periods": p3_periods, "p3_gaps": p3_gaps, "p3_found": p3_found, "p6_filled": p6_filled, "p6_found": p6_found}
+QUERIES = {"p1_rolling_no_shows": p1_rolling_no_shows, "p1_found": p1_found, "p3_periods": p3_periods, "p3_gaps": p3_gaps, "p3_found": p3_found, "p6_filled": p6_filled, "p6_methods": p6_methods, "p6_found": p6_found}
