@@ -100,11 +100,10 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     )
 
     # What the observed values say, per group: first by whole combinations of what the tie serves, then by field.
-    def said_by(g: Column, serves: Sequence[str]) -> Column:
-        return F.struct(g.alias("g"), *[(F.col(f"o_{c}") if c in serves else F.lit(None).cast("string" if c in cats else "double")).alias(f"o_{c}") for c in names])
-
-    voices = F.array(*[said_by(F.col(f"g_{i}"), t.fields) for i, t in enumerate(ties)], said_by(F.lit(ALL).cast("long"), names))
-    combined = rows.select(F.inline(voices)).where("g is not null").groupBy("g", *[f"o_{c}" for c in cats])
+    voices = F.posexplode(F.array(*[F.col(f"g_{i}") for i in range(len(ties))], F.lit(ALL).cast("long"))).alias("tie", "g")
+    served = {c: [i for i, t in enumerate(ties) if c in t.fields] + [len(ties)] for c in names}
+    heeded = lambda c: (F.col(f"o_{c}") if len(served[c]) > len(ties) else F.when(F.col("tie").isin(served[c]), F.col(f"o_{c}"))).alias(f"o_{c}")
+    combined = rows.select(voices, *[f"o_{c}" for c in names]).where("g is not null").select("g", *[heeded(c) for c in names]).groupBy("g", *[f"o_{c}" for c in cats])
     sums = [x for c in nums for x in (F.sum(f"o_{c}").alias(f"s_{c}"), F.count(f"o_{c}").alias(f"n_{c}"), F.sum(F.col(f"o_{c}") * F.col(f"o_{c}")).alias(f"q_{c}"))]
     combined = combined.agg(F.count(F.lit(1)).cast("double").alias("n"), *sums)
     zero = F.lit(0.0)
@@ -124,28 +123,34 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     observed = spoken.drop("squared").where(F.col("g") != ALL)
 
     # The missing cells and their ties.
-    tied_to = lambda f: F.array(*[F.struct(F.col(f"g_{i}").alias("g"), F.lit(float(t.weight)).alias("w")) for i, t in enumerate(ties) if f.name in t.fields])
-    nowhere = F.array().cast("array<struct<g:bigint,w:double>>")
-    cell_structs = [F.struct(F.lit(fid[f.name]).alias("fid"), F.col(f"m_{f.name}").alias("missing"), (tied_to(f) if any(f.name in t.fields for t in ties) else nowhere).alias("ties")) for f in fields]
     lacking = F.lit(False)
     for f in fields:
         lacking = lacking | F.col(f"m_{f.name}")
-    cells = rows.where(lacking & F.col("_key").isNotNull()).select("_key", F.inline(F.array(*cell_structs))).where("missing")
-    cells = materialise(cells.groupBy("_key", "fid").agg(F.max("ties").alias("ties")))
+    records = rows.where(lacking & F.col("_key").isNotNull()).groupBy("_key")
+    records = materialise(records.agg(*[F.max(f"m_{c}").alias(f"m_{c}") for c in names], *[F.max(f"g_{i}").alias(f"g_{i}") for i in range(len(ties))]))
+    tied_to = lambda c: F.array(*[F.struct(F.col(f"g_{i}").alias("g"), F.lit(float(t.weight)).alias("w")) for i, t in enumerate(ties) if c in t.fields]).cast("array<struct<g:bigint,w:double>>")
+    cell_structs = [F.struct(F.lit(fid[c]).alias("fid"), F.col(f"m_{c}").alias("missing"), tied_to(c).alias("ties")) for c in names]
+    cells = records.select("_key", F.inline(F.array(*cell_structs))).where("missing")
     tied = cells.select("_key", "fid", F.inline("ties")).where("g is not null")
     n_ties = tied.count()
-    copies = F.lit(1)
-    salted = tied.withColumn("salt", F.lit(0))
-    hot = None
+    hot, by = None, ["g", "fid"]  # how ties and messages meet
     if n_ties > HOT_CELLS:
         least = max(HOT_CELLS, n_ties // MOST_HOT + 1)
         sizes = tied.groupBy("g", "fid").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > least)
         hot = materialise(sizes.select("g", "fid", F.ceil(F.col("cells") / F.lit(least)).cast("int").alias("copies")))
         hot = None if hot.isEmpty() else F.broadcast(hot)
     if hot is not None:
+        by = [*by, "salt"]
         copies = F.coalesce("copies", F.lit(1))
-        salted = tied.join(hot, ["g", "fid"], "left").withColumn("salt", F.pmod(F.xxhash64("_key"), copies).cast("int")).drop("copies")
-    tied = salted
+        tied = tied.join(hot, ["g", "fid"], "left").withColumn("salt", F.pmod(F.xxhash64("_key"), copies).cast("int")).drop("copies")
+
+    def summed(said: DataFrame) -> DataFrame:
+        """By group, field and value.  Without hot groups rows go to their group at once, and need not move again."""
+        said = said.repartition("g", "fid") if hot is None else said
+        return said.groupBy("g", "fid", "value").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total"))
+
+    def tell(some: DataFrame, ties: DataFrame) -> DataFrame:
+        return ties.join(some, ["_key", "fid"]).select("g", "fid", "value", F.col("share").alias("mass"), (F.col("share") * F.col("number")).alias("total"))
 
     is_number = F.col("fid").isin([fid[c] for c in nums])
     of_field = lambda values, other: F.element_at(F.array(*[F.lit(values.get(c, other)) for c in names]), F.col("fid") + 1)
@@ -161,15 +166,14 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         message = message.groupBy("g", "fid").agg(F.sum("mass").alias("all"), F.collect_list(F.struct("value", "mass", "total")).alias("says"))
         if hot is not None:
             message = message.join(hot, ["g", "fid"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-        else:
-            message = message.withColumn("salt", F.lit(0))
-        heard = active.join(message, ["g", "fid", "salt"]).select("_key", "fid", "w", "all", F.inline("says"))
+        heard = active.join(message, by).select("_key", "fid", "w", "all", F.inline("says"))
         scale = F.col("w") / F.col("all")
         none = F.lit(None).cast("double")
         heard = heard.select("_key", "fid", "value", (scale * F.col("mass")).alias("q"), (scale * F.col("total")).alias("x"), none.alias("was"), none.alias("was_number"))
         if before is not None:
             heard = heard.unionByName(before.select("_key", "fid", "value", F.lit(0.0).alias("q"), F.lit(0.0).alias("x"), F.col("share").alias("was"), F.col("number").alias("was_number")))
-        sums = heard.groupBy("_key", "fid", "value").agg(F.sum("q").alias("q"), F.sum("x").alias("x"), F.max("was").alias("was"), F.max("was_number").alias("was_number"))
+        # A cell hears of few values, so nothing is gained by summing them before they move.
+        sums = heard.repartition("_key", "fid").groupBy("_key", "fid", "value").agg(F.sum("q").alias("q"), F.sum("x").alias("x"), F.max("was").alias("was"), F.max("was_number").alias("was_number"))
         cell = Window.partitionBy("_key", "fid")
         whole = F.sum("q").over(cell)
         share, number = F.col("q") / whole, F.col("x") / whole
@@ -182,13 +186,11 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         if (rounds is not None and done == rounds) or before.isEmpty():
             settled.append(before)
             break
-        tell = lambda some, ties: ties.join(some, ["_key", "fid"]).groupBy("g", "fid", "value").agg(F.sum("share").alias("mass"), F.sum(F.col("share") * F.col("number")).alias("total"))
         if done > 1:  # settled cells are never asked again; what they say stays with the groups of the others
             fixed = tell(now.where(~rest), active)
             active = materialise(active.join(now.where(~rest).select("_key", "fid").distinct(), ["_key", "fid"], "left_anti"))
-            observed = observed.unionByName(fixed).join(active.select("g", "fid").distinct(), ["g", "fid"], "left_semi")
-            observed = materialise(observed.groupBy("g", "fid", "value").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total")))
-        said = observed.unionByName(tell(before, active)).groupBy("g", "fid", "value").agg(F.sum("mass").alias("mass"), F.sum("total").alias("total"))
+            observed = materialise(summed(observed.unionByName(fixed).join(active.select("g", "fid").distinct(), ["g", "fid"], "left_semi")))
+        said = summed(observed.unionByName(tell(before, active)))
 
     # Greatest share first; shares are compared to nine places, so that the order of summation decides nothing.
     best = F.min_by(F.struct("value", "share", "number"), F.struct(-F.round("share", 9), "value"))
