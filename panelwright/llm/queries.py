@@ -159,25 +159,25 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _by_source(_mixture(spark, d)[1]).where("short").select("source")
 
 
-def _quality(spark: SparkSession, d: str) -> DataFrame:
+def _quality(spark: SparkSession, d: str, **parts: bool) -> DataFrame:
     common: dict[str, list[str]] = {}
     for r in table(spark, d, "common_words").where("lang is not null and word is not null").collect():  # a fixed list
         common.setdefault(r["lang"], []).append(r["word"].lower())
-    return text_quality(table(spark, d, "documents"), "doc_id", "text", dict(sorted(common.items())))
+    return text_quality(table(spark, d, "documents"), "doc_id", "text", dict(sorted(common.items())), **parts)
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     ratios = ["mean_word_length", "symbol_ratio", "lines_ending_in_punctuation", "common_word_share"]
-    return _quality(spark, d).select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ratios])
+    return _quality(spark, d, structure=False).select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ratios])
 
 
 def p9_structure(spark: SparkSession, d: str) -> DataFrame:
-    return _quality(spark, d).select("doc_id", "structure", "language", "prose_chars", "list_chars", "table_chars", "junk_chars", "code_chars")
+    return _quality(spark, d).select("doc_id", "structure", "language", "prose_chars", "list_chars", "table_chars", "junk_chars", "code_chars", "n_words", F.round("common_word_share", 6).alias("common_word_share"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("list_chars") + F.col("table_chars") + F.col("junk_chars")
-    return _quality(spark, d).where(bad > F.col("prose_chars") + F.col("code_chars")).select("doc_id")
+    return _quality(spark, d, counts=False).where(bad > F.col("prose_chars") + F.col("code_chars")).select("doc_id")
 
 
 def p5_similar_days(spark: SparkSession, d: str) -> DataFrame:

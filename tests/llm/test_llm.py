@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -374,8 +375,11 @@ COMMON = {"en": frozenset("the a of to and in is it that for was on are with as
 PROSE = "The valve was loose when we came in, so I closed it by hand.\nIt is not that hard, and you can do this with a small wrench if you have one.\n"
 
 
+PROFILES = quality.Profiles(quality.Languages(COMMON))
+
+
 def kind(text):
-    return quality.describe(text, COMMON)[-1]
+    return quality.describe([text], PROFILES)[0][-1]
 
 
 @pytest.mark.parametrize("text,want", [
@@ -392,14 +396,42 @@ def test_structures(text, want):
     assert kind(text) == want
 
 
-def test_statistics_and_links_beside_sentences():
-    out = dict(zip([x.split()[0] for x in quality.STATISTICS.split(", ")], quality.describe("One two three.\nfour - five", {"en": frozenset(["one", "two"])})))
-    assert out["n_words"] == 5 and out["mean_word_length"] == pytest.approx(19 / 5) and out["lines_ending_in_punctuation"] == 0.5
-    assert out["common_word_share"] == pytest.approx(0.4) and out["symbol_ratio"] == pytest.approx(2 / 21)
+@pytest.mark.parametrize("text,want", [
+    ("def f(x):\n    return x + 1\n\nprint(f(3))", "code"), ("SELECT name, count(*) FROM users\nWHERE age > 30\nGROUP BY name;", "code"), ("$ sudo apt install foo\n$ foo --version\n$ cat /etc/foo.conf", "code"),
+    ("const x = require('fs');\nfunction read(path) {\n  return x.readFileSync(path);\n}\nconsole.log(read('a.txt'));", "code"), ("Best deals online buy watches bags shoes great price free shipping order today. " * 6, "junk"),
+    ("Click here to win a free phone! " * 8, "junk"), ("Open settings, click network, select wifi, enter password.", "prose"), ("Remove screws, lift cover, disconnect battery, replace fuse.", "prose"), ("ok thx will try", "prose"),
+    ('{"id": 1, "name": "bolt", "price": 3.5}\n{"id": 2, "name": "nut", "price": 0.7}\n{"id": 3, "name": "nail", "price": 0.1}', "junk"), ("Home | About | Products | Contact | Login | Cart", "list"),
+    ('Traceback (most recent call last):\n  File "a.py", line 3, in <module>\n    main()\n  File "a.py", line 9, in main\nZeroDivisionError: division by zero', "junk"),
+    ("2024-01-03 10:22:01 ERROR worker 3 failed\n2024-01-03 10:22:05 INFO retry 1\n2024-01-03 10:22:09 ERROR worker 3 failed", "junk"), ("Det fungerar inte alls, jag har provat allt.", "prose"),
+    ("It was wet again so I closed it. It was wet again so I closed it.", "prose"),
+])
+def test_forms_the_data_do_not_have(text, want):
+    assert kind(text) == want
+
+
+def test_links_beside_sentences():
     assert kind("http://a.example/b\nhttp://c.example/d") == "list" and kind("http://a.example/b") == "prose"
     assert kind(PROSE + "See http://docs.example/a/very/long/address/" + "x" * 200) == "prose"
 
 
+def test_statistics(spark):
+    df = spark.createDataFrame([(1, "One two three.\nfour - five"), (2, None), (3, " \r\n"), (4, "...")], "id int, text string")
+    out = {r["id"]: r for r in quality.text_quality(df, "id", "text", {"en": ["one", "two"], "xx": []}, structure=False).collect()}
+    assert out[1]["n_words"] == 5 and out[1]["mean_word_length"] == pytest.approx(19 / 5) and out[1]["lines_ending_in_punctuation"] == 0.5
+    assert out[1]["common_word_share"] == pytest.approx(0.4) and out[1]["symbol_ratio"] == pytest.approx(2 / 21)
+    assert all(tuple(out[i])[1:] == (0, 0.0, 0.0, 0.0, 0.0) for i in (2, 3)) and out[4]["symbol_ratio"] == 1.0 and out[4]["lines_ending_in_punctuation"] == 1.0
+
+
+def test_profiles_are_fitted_to_prose_of_a_language():
+    texts = [f"The valve {i} was loose when we came in, so I closed it by hand." for i in range(30)] + ["- a\n- b"] * 30
+    fitted = quality.fit_profiles(texts, COMMON)
+    assert fitted.kinds[len(quality.PROFILES) :] == ["prose"] and fitted.languages.used["en"]["the"] > fitted.languages.used["en"]["of"] == 0.0
+    assert fitted.table[-1][: len(quality.WORDS)].sum() == pytest.approx(1) and quality.fit_profiles([], {}).kinds == [k for k, *_ in quality.PROFILES]
+    # Both languages have as many of the words; the one that uses them as often as this text is nearer.
+    both = quality.Languages({"a": frozenset(["la", "de", "un"]), "b": frozenset(["la", "de", "es"])}, {"a": {"la": 0.3, "de": 0.05, "un": 0.1}, "b": {"la": 0.05, "de": 0.3, "es": 0.1}})
+    assert both.nearest(Counter({"la": 3, "de": 1, "casa": 6}), 10) == ("a", 4) and both.nearest(Counter({"de": 3, "la": 1, "casa": 6}), 10) == ("b", 4)
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, PROSE * 3000), (2, "a" * 300_000), (3, None), (4, ""), (5, "\x00퟿"), (5, PROSE), (None, PROSE)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("structure", F.lit("clash"))
@@ -412,10 +444,10 @@ def test_quality_of_odd_rows(spark):
 def test_nearest_profile_is_that_of_least_divergence():
     for text in (PROSE, "- a\n- b\n- c", "xq zvkw 0000 !!!!"):
         form, part = next(quality.stretches(text))
-        p, q = quality._distribution(quality.word_classes(part, form, COMMON)[0]), quality._distribution(quality.char_classes(part))
+        own = quality.measure(part, form, PROFILES.languages)[0]
         k = len(quality.WORDS)
-        d = [quality.divergence(p, row[:k]) + quality.divergence(q, row[k:]) for row in quality._TABLE.tolist()]
-        assert quality.structure(form, part, COMMON)[0] == quality._KINDS[d.index(min(d))]
+        d = [quality.divergence(own[:k], row[:k]) + quality.divergence(own[k:], row[k:]) if kind != "code" else 9.0 for kind, row in zip(PROFILES.kinds, PROFILES.table.tolist())]
+        assert PROFILES.nearest([form], np.array([own])) == [PROFILES.kinds[d.index(min(d))]]
 
 
 def test_divergence():
