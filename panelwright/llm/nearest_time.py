@@ -45,11 +45,13 @@ def match_nearest_time(
     numbers; further columns, also of the same names on both sides, are not looked at.  Empty sides give no match.
 
     Shuffles: right times by entity and bucket, then intervals and left times by entity and bucket.  A hot entity
-    is cut into buckets; within a bucket the work is one sort.
+    is cut into buckets; within a bucket the work is one sort, which spills.  A bucket is at least four tolerances
+    long, so a right time is in one bucket or two, whatever the tolerance is.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     unit = lambda c: F.unix_micros(as_col(c).cast("timestamp"))
-    bucket, tolerance = bucket_hours * 3_600_000_000, int(round(tolerance_seconds * 1_000_000))
+    tolerance = int(round(tolerance_seconds * 1_000_000))
+    bucket = max(bucket_hours * 3_600_000_000, 4 * tolerance, 1)
     right = right.select(as_col(right_entity).alias("entity"), unit(right_time).alias("t"), F.col(right_id).cast("long").alias("id"))
     intervals = nearest_intervals(right.where("entity is not null and t is not null and id is not null"), tolerance, bucket)
     left = left.select(as_col(left_entity).alias("entity"), unit(left_time).alias("at"), F.col(left_id).cast("long").alias("left"))

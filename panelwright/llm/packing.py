@@ -80,21 +80,23 @@ def pack_items(df: DataFrame, key: str, size: str, capacity: int, seed: int = 42
     bin)`` names a container.  A null or negative size counts 0; an item of size 0 is placed like any other.  Rows
     that repeat a key are items of their own; rows with null key too.  An empty table gives no rows.
 
-    Only key and sizes are shuffled, once; the number of shards follows the number of pieces, so no task gets
-    more than some SHARD_ITEMS of them (spread by a hash, also of the row's place, so copies of one row do not meet).
+    Only keys and sizes are shuffled, counted first; the number of shards follows the number of pieces, so no task gets
+    more than some SHARD_ITEMS of them.  A shard is packed by itself, which wastes about one container in each.
     """
     kind = df.schema[key].dataType
     units = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).cast("long")
-    pieces = materialise(df.select(F.col(key).alias("key"), units.alias("size")))
+    # Rows that repeat key and size are counted first and numbered, so that copies of one row do not meet in a shard,
+    # and shards are the same however the rows are stored.
+    items = materialise(df.groupBy(F.col(key).alias("key"), units.alias("size")).agg(F.count(F.lit(1)).alias("copies")))
     whole = F.greatest(F.ceil(F.col("size") / F.lit(capacity)), F.lit(1)).cast("long")
-    n = pieces.agg(F.sum(whole)).first()[0] or 0
+    n = items.agg(F.sum(whole * F.col("copies"))).first()[0] or 0
     shards = max(1, -(-int(n) // SHARD_ITEMS))
-    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), c - 1))
+    pieces = items.withColumn("copy", upto(F.col("copies"))).withColumn("piece", upto(whole))
     start = F.col("piece") * capacity
-    pieces = pieces.select("key", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(capacity)).cast("long").alias("length"))
-    # A third of all rows may be copies of one row; they are told apart by where they were read.
-    spot = F.xxhash64(F.lit(seed), "key", "piece", "length", F.monotonically_increasing_id()) if shards > 1 else F.lit(0).cast("long")
-    pieces = pieces.withColumn("shard", F.pmod(spot, F.lit(shards)).cast("long"))
+    length = F.least(F.col("size") - start, F.lit(capacity)).cast("long")
+    shard = F.pmod(F.xxhash64(F.lit(seed), "key", "size", "copy", "piece"), F.lit(shards)).cast("long")
+    pieces = pieces.select("key", "piece", start.alias("start"), length.alias("length"), shard.alias("shard"))
 
     def pack(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["length", "key", "piece"], ascending=[False, True, True], kind="stable")

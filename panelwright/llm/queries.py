@@ -105,6 +105,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return bins.agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), used.alias("tokens"), F.round(used / (F.count(F.lit(1)) * CAPACITY), 6).alias("filled"))
 
 
+def p7_characters(spark: SparkSession, d: str) -> DataFrame:
+    """The texts packed by characters, which SQL can count too: pieces and characters of each document, and whether all
+    its pieces lie in containers that are not overfull."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    packed = pack_items(sizes, "doc_id", "n", 8192)
+    bins = packed.groupBy("shard", "bin").agg(F.sum("length").alias("used"))
+    rows = packed.join(bins, ["shard", "bin"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("length").alias("characters"), F.max("used").alias("most"))
+    return rows.select("doc_id", "pieces", "characters", (F.col("most") <= 8192).alias("fits"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing(spark, d).where("piece = 1").select("doc_id")
 
@@ -190,6 +200,12 @@ def p5_similar_days(spark: SparkSession, d: str) -> DataFrame:
     return runs.select(F.col("entity").alias("maskedMatchId"), _day(F.col("run_start")).alias("runStart"), _day(F.col("run_end")).alias("runEnd"), "n_events", "duration", F.round("mean_hours", 6).alias("hours"))
 
 
+def p5_similar_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of :func:`p5_similar_days`, per member: that the runs hold every row once and every day from first to last once."""
+    runs = p5_similar_days(spark, d).groupBy("maskedMatchId")
+    return runs.agg(F.sum("n_events").alias("events"), F.sum("duration").alias("days"), F.min("runStart").alias("first"), F.max("runEnd").alias("last"))
+
+
 _ID = canonical_id_sql("maskedMatchId")
 
 _P2 = f"""
@@ -240,13 +256,16 @@ SQL = {
     "p2_found": _P2 + """SELECT person AS "maskedMatchId" FROM p WHERE person IS NOT NULL GROUP BY person HAVING count(DISTINCT fold_id) > 1""",
     "p4_nearest_shift": _P4 + """SELECT swipe_id, shift_id, CAST(seconds_apart AS DOUBLE) AS seconds_apart FROM k""",
     "p4_found": _P4 + """SELECT swipe_id, shift_id FROM k WHERE shift_id IS NOT NULL""",
+    "p7_characters": """SELECT doc_id, CAST(greatest(ceil(coalesce(length(text), 0) / 8192.0), 1) AS BIGINT) AS pieces, CAST(coalesce(length(text), 0) AS BIGINT) AS characters, true AS fits FROM documents""",
+    "p5_similar_cover": f"""SELECT m AS "maskedMatchId", count(*) AS events, CAST(max(d) - min(d) + 1 AS BIGINT) AS days, strftime(min(d), '%Y-%m-%d') AS "first", strftime(max(d), '%Y-%m-%d') AS "last"
+        FROM (SELECT DISTINCT {_ID} AS m, CAST(date AS DATE) AS d FROM attendance WHERE date IS NOT NULL) WHERE m IS NOT NULL GROUP BY m""",
     "p5_stretches": _P5 + """SELECT m AS "maskedMatchId", strftime(lo, '%Y-%m-%d') AS "runStart", strftime(hi, '%Y-%m-%d') AS "runEnd", n AS days FROM r""",
     "p5_found": _P5 + """SELECT m AS "maskedMatchId", strftime(lo, '%Y-%m-%d') AS "runStart", strftime(hi, '%Y-%m-%d') AS "runEnd" FROM r WHERE n >= 2""",
 }
 
 QUERIES = {
     "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_split_people": p2_split_people, "p2_split_quotas": p2_split_quotas, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
-    "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found, "p5_similar_days": p5_similar_days,
-    "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_tree_shares": p8_tree_shares, "p8_characters": p8_characters, "p8_found": p8_found,
+    "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found, "p5_similar_days": p5_similar_days, "p5_similar_cover": p5_similar_cover,
+    "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_characters": p7_characters, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_tree_shares": p8_tree_shares, "p8_characters": p8_characters, "p8_found": p8_found,
     "p9_statistics": p9_statistics, "p9_structure": p9_structure, "p9_found": p9_found,
 }

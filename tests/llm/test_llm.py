@@ -118,6 +118,17 @@ def test_clashing_columns_are_replaced(spark):
 
 # --- nearest in time ----------------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("hours", [3, 400])
+def test_a_right_time_is_in_few_buckets_whatever_the_tolerance(spark, hours):
+    t0 = dt.datetime(2024, 1, 1)
+    right = spark.createDataFrame([(i, "e", t0 + dt.timedelta(hours=7 * i)) for i in range(60)], "id long, e string, t timestamp_ntz")
+    left = spark.createDataFrame([(i, "e", t0 + dt.timedelta(hours=5 * i - 20, minutes=1)) for i in range(100)], "x long, e string, t timestamp_ntz")
+    out = {r["x"]: r["id"] for r in match_nearest_time(left, right, "x", "e", "t", "id", "e", "t", hours * 3600).collect()}
+    at = lambda i: 5 * i - 20 + 1 / 60
+    near = {i: min(range(60), key=lambda k: (abs(at(i) - 7 * k), k)) for i in range(100)}
+    assert out == {i: (k if abs(at(i) - 7 * k) <= hours else None) for i, k in near.items()}
+
+
 @pytest.mark.parametrize("bucket", [3, 12])
 def test_nearest_against_brute_force(spark, bucket):
     rng = random.Random(bucket)
