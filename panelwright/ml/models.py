@@ -156,8 +156,8 @@ def evaluate(model: PipelineModel, test: DataFrame, family: str, target: str, pa
 
 
 def select_features(df: DataFrame, columns: Sequence[str], target: str, weight: str | None = None, classifier: bool = True, n: int = 60, trees: int = 200, depth: int = 10, seed: int = 42) -> tuple[list[str], DataFrame]:
-    """The ``n`` most important columns of a forest, and feature, importance, importance_pct, rank, cumulative_pct,
-    selected.  Nulls in numbers are taken as 0."""
+    """The ``n`` most important columns of a forest, and feature, importance, importance_pct, rank, cumulative_pct (both
+    parts of 1), selected.  Nulls in numbers are taken as 0."""
     if not columns:
         raise ValueError("no features given")
     stages = [VectorAssembler(inputCols=list(columns), outputCol="features")]
@@ -166,7 +166,7 @@ def select_features(df: DataFrame, columns: Sequence[str], target: str, weight:
     whole, run, rows = sum(v for _, v in values) or 1.0, 0.0, []
     for rank, (name, v) in enumerate(values, 1):
         run += v
-        rows.append((name, float(v), 100 * v / whole, rank, 100 * run / whole, "✓" if rank <= n else ""))
+        rows.append((name, float(v), v / whole, rank, run / whole, "✓" if rank <= n else ""))
     table = df.sparkSession.createDataFrame(rows, "feature string, importance double, importance_pct double, rank int, cumulative_pct double, selected string")
     return [r[0] for r in rows[:n]], table
 

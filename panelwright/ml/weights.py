@@ -25,8 +25,14 @@ def balanced(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 
 def custom(df: DataFrame, label: str, weights: dict, out: str = "weight") -> DataFrame:
-    table = F.create_map(*[x for k, v in weights.items() for x in (F.lit(str(k)), F.lit(float(v)))])
-    return df.withColumn(out, F.coalesce(table[F.col(label).cast("string")], F.lit(1.0)))
+    """The weight given for a label; 1 for one that is not given, or null.  Labels that are numbers are compared as
+    numbers (1, 1.0, "1"), others as text."""
+    number = dict(df.dtypes)[label] in ("tinyint", "smallint", "int", "bigint", "float", "double") or dict(df.dtypes)[label].startswith("decimal")
+    value: Column = F.lit(1.0)
+    for k, v in weights.items():
+        same = F.col(label).cast("double") == float(k) if number else F.col(label).cast("string") == str(k)
+        value = F.when(same, F.lit(float(v))).otherwise(value)
+    return df.withColumn(out, value)
 
 
 def focal_loss(df: DataFrame, label: str, prediction: str, probability: str, gamma: float = 2.0, out: str = "weight") -> DataFrame:

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.dedupe import latest_per_key
 from panelwright.operators.frames import ratio, trailing_rows
-from panelwright.operators.joins import interval_nearest_join, pair_sequences
+from panelwright.operators.joins import asof_join, interval_nearest_join, pair_sequences
 from panelwright.session import materialise
 
 KEY = ["member", "workDate"]
 SHIFT_STARTS = {"First": 5, "Second": 14, "Third": 21}  # nominal hours
 SHIFT_HOURS = {"First": (3, 15), "Second": (12, 24), "Third": (20, 32)}  # widest start and end, from midnight of the work day
+# The weight of each kind of anomaly.
 SEVERITY = {
-    "extreme_long_shift": 5, "missing_clockout": 4, "very_short_shift": 4, "excessive_meal_break": 3, "missing_clockin": 2,
-    "meal_without_full_shift": 2, "incomplete_meal_break": 2, "no_meal_break_full_day": 1, "normal": 0,
+    "extreme_long_shift": 5, "missing_clockout": 4, "missing_clockin": 4, "meal_without_full_shift": 3, "no_meal_break_full_day": 2,
+    "excessive_meal_break": 2, "very_short_shift": 2, "incomplete_meal_break": 1, "normal": 0,
 }
 
 
@@ -86,13 +87,18 @@ def clock_pairs(ins: DataFrame, outs: DataFrame) -> DataFrame:
 
 
 def attach_meals(meals: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``member, workDate, at``: each meal event goes to the day whose clock pair holds it; an open side reaches 16
-    hours.  Of several days the one clocked in last before the meal."""
-    lo = F.coalesce(F.col("clockIn"), F.col("clockOut") - hours(16))
-    hi = F.coalesce(F.col("clockOut"), F.col("clockIn") + hours(16))
-    days = pairs.withColumns({"_lo": lo, "_hi": hi, "_id": F.unix_date("workDate")})
-    found = interval_nearest_join(meals, "event_id", "member", "at", days, "_id", F.col("_lo"), F.col("_hi"), F.col("_lo"))
-    return found.where("_id is not null").select("member", F.date_from_unix_date(F.col("_id").cast("int")).alias("workDate"), _moment("at").alias("at"))
+    """``member, workDate, at``: each meal event goes to the day whose clock pair holds it, and of several to the one
+    clocked in last before the meal.  A pair without clock-out reaches 16 hours from its clock-in.  A pair without
+    clock-in has no lower bound and comes after all others: such a meal goes to the pair clocked out first after it."""
+    full = pairs.where("clockIn is not null").withColumns({"_hi": F.coalesce(F.col("clockOut"), F.col("clockIn") + hours(16)), "_id": F.unix_date("workDate")})
+    found = interval_nearest_join(meals, "event_id", "member", "at", full, "_id", F.col("clockIn"), F.col("_hi"), F.col("clockIn"))
+    day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
+    held = found.where("_id is not null").select("member", day("_id").alias("workDate"), _moment("at").alias("at"))
+    # Backwards in time, the next clock-out is the last one before; of pairs clocked out at once the earlier day.
+    rest = found.where("_id is null and member is not null").select("member", "at", (-F.col("at")).alias("back"))
+    outs = pairs.where("clockIn is null and clockOut is not null").select("member", (-F.unix_micros(F.col("clockOut").cast("timestamp"))).alias("_u"), F.unix_date("workDate").alias("_day"), (-F.unix_date("workDate")).alias("_tie"))
+    late = asof_join(rest, outs, ["member"], "back", "_u", ["_day"], tie=["_tie"], bucket=64 * 86_400_000_000)
+    return held.unionByName(late.where("_day is not null").select("member", day("_day").alias("workDate"), _moment("at").alias("at")))
 
 
 def meal_breaks(meal_ins: DataFrame, meal_outs: DataFrame) -> DataFrame:

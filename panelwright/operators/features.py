@@ -77,6 +77,11 @@ def lag_statistics(metrics: Sequence[str], windows: Sequence[int] = (7, 30)) ->
     return out
 
 
+def leak_safe(df: DataFrame, same_day: Sequence[str]) -> DataFrame:
+    """``df`` without the columns that are known only once the day is over; those it does not have are no matter."""
+    return df.drop(*[c for c in same_day if c in df.columns])
+
+
 def target_leads(flag: str, days: Sequence[int]) -> dict[str, Column]:
     """What happens n rows ahead; null past the end."""
     w = ordered(BY, DAY)

@@ -10,21 +10,58 @@ from pyspark.sql import functions as F
 from panelwright.operators.frames import ordered
 
 
-def hierarchical_fill(df: DataFrame, value: str, levels: Sequence[Sequence[str]], default: float, out: str, only: Column | None = None) -> DataFrame:
+def hierarchical_fill(df: DataFrame, value: str, levels: Sequence[Sequence[str]], default: float, out: str, only: Column | None = None, lookup: dict[str, str] | None = None) -> DataFrame:
     """``out``: the value, else the average of the finest level (group of columns) that has one, else the default.
-    ``only`` says which rows may be filled.  A level is aggregated before it is joined, so hot groups are no matter;
+    ``only`` says which rows may be filled; ``lookup`` names, for a level's column, the column a row is looked up by
+    instead.  A level is aggregated before it is joined, so hot groups are no matter;
     rows with a null in a level's columns get nothing from it."""
     filled, source = df, []
     for i, level in enumerate(levels):
         known = df.where(" and ".join(f"`{c}` is not null" for c in [*level, value]))
         means = known.groupBy(*level).agg(F.avg(value).alias(f"_avg{i}"))
-        filled = filled.join(means, list(level), "left")
+        by = [(lookup or {}).get(c, c) for c in level]
+        filled = filled.join(means.toDF(*by, f"_avg{i}"), by, "left")
         source.append(F.col(f"_avg{i}"))
     best = F.coalesce(F.col(value), *source, F.lit(default))
     best = best if only is None else F.when(F.coalesce(only, F.lit(False)), best).otherwise(F.col(value))
     return filled.withColumn(out, best).select(*df.columns, *([out] if out not in df.columns else []))
 
 
+def categorise_days(days: DataFrame, shifts: DataFrame, swipes: DataFrame) -> DataFrame:
+    """``days`` (member, day, shift, dur, vac, unpaid, noshow, sick; one or more rows a day) with ``category``, ``work``
+    and ``firstSwipe``.  ``shifts``: member, day of real shifts; ``swipes``: member, day, at of clock-ins.
+
+    real_shift: a shift exists for the member and day, whatever else is said; else planned_absence: vacation or unpaid;
+    else expected_work: both flags are known to be off, and the day has a no-show, sick time, a shift or a swipe; else
+    other_days.  Expected work is complete with shift and duration, needs_filling without one of them but with a
+    swipe, else incomplete.  Both lookups are one row per member and day before they are joined.
+    """
+    key = ["member", "day"]
+    real = shifts.select(*key).where("member is not null and day is not null").distinct().withColumn("_real", F.lit(True))
+    first = swipes.where("member is not null and day is not null").groupBy(*key).agg(F.min("at").alias("firstSwipe"))
+    joined = days.join(real, key, "left").join(first, key, "left")
+    swiped = F.col("firstSwipe").isNotNull()
+    off = (F.col("vac") != 1) & (F.col("unpaid") != 1)  # null, so false, where a flag is unknown
+    expected = off & (F.coalesce(F.col("noshow") == 1, F.lit(False)) | F.coalesce(F.col("sick") == 1, F.lit(False)) | F.col("shift").isNotNull() | swiped)
+    category = F.when(F.col("_real"), "real_shift").when((F.col("vac") == 1) | (F.col("unpaid") == 1), "planned_absence").when(expected, "expected_work").otherwise("other_days")
+    known = F.col("shift").isNotNull() & F.col("dur").isNotNull()
+    work = F.when(F.col("category") == "expected_work", F.when(known, "complete").when(swiped, "needs_filling").otherwise("incomplete"))
+    return joined.withColumn("category", category).withColumn("work", work).drop("_real")
+
+
+def infer_shifts(days: DataFrame, shift_of: Column, default: float = 8.5) -> DataFrame:
+    """Of :func:`categorise_days`: ``shift`` and ``hours`` as they are to be used.  Days that need filling get the shift
+    ``shift_of`` (from their first swipe) if they have none, and the average length of that shift on that day in their department and
+    site, else in their site, else the default.  Planned absence has neither; all other days stay as they are."""
+    needs = F.coalesce(F.col("work") == "needs_filling", F.lit(False))
+    updated = F.when(needs, F.coalesce("shift", shift_of)).otherwise(F.col("shift"))
+    given = days.withColumn("_shift", updated)
+    levels = [["dept", "loc", "shift", "day"], ["loc", "shift", "day"]]
+    out = hierarchical_fill(given, "dur", levels, default, "_hours", only=needs, lookup={"shift": "_shift"})
+    away = F.col("category") == "planned_absence"
+    return out.withColumns({"shift": F.when(~away, F.col("_shift")), "hours": F.when(~away, F.col("_hours"))}).drop("_shift", "_hours")
+
+
 def neighbours(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], value: str, steps: int = 2) -> DataFrame:
     """``_prev1.., _next1..``: the value up to ``steps`` rows before and after within the group, whatever its size.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.ids import canonical_id, canonical_id_sql
 from panelwright.operators import clocking as C
 from panelwright.operators.joins import prefer
+from panelwright.plans.panel import FACTS, facts_days
 from panelwright.sources.tables import table
 
 _ID = canonical_id_sql("maskedMatchId")
@@ -29,8 +30,14 @@ def _facts_days(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "facts").select(canonical_id("maskedMatchId").alias("member"), F.col("date").alias("workDate"), F.initcap(F.trim("shift")).alias("shift"))
 
 
-def _metrics(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return C.clock_metrics(swipes(spark, d), real_schedule(spark, d))
+def schedule(spark: SparkSession, d: str) -> DataFrame:
+    """One shift a member and day: the real one, else the one made from the shift the day was given."""
+    given = facts_days(spark, d).select("member", F.col("day").alias("workDate"), "shift")
+    return prefer(real_schedule(spark, d), C.synthetic_schedule(given), C.KEY)
+
+
+def metrics(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return C.clock_metrics(swipes(spark, d), schedule(spark, d))
 
 
 def _t(*cols: str) -> list:
@@ -61,7 +68,7 @@ def anti_precedence_union(spark, d):
 
 
 def _matched(spark, d, code, kind):
-    return C.match_to_shifts(swipes(spark, d).where(F.col("code") == code).select("event_id", "member", "at"), real_schedule(spark, d), kind)
+    return C.match_to_shifts(swipes(spark, d).where(F.col("code") == code).select("event_id", "member", "at"), schedule(spark, d), kind)
 
 
 def interval_join_nearest_in(spark, d):
@@ -77,40 +84,40 @@ def full_outer_envelope(spark, d):
 
 
 def meal_attach_disjunctive(spark, d):
-    m = _metrics(spark, d)
+    m = metrics(spark, d)
     both = m["meal_ins"].withColumn("side", F.lit("in")).unionByName(m["meal_outs"].withColumn("side", F.lit("out")))
     return both.groupBy("member", "workDate", "side").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")).select("member", "workDate", "side", "n", *_t("first_at", "last_at"))
 
 
 def sequence_pairing(spark, d):
-    return _metrics(spark, d)["meals"].where("completeness = 3").select("member", "workDate", *_t("mealIn", "mealOut"))
+    return metrics(spark, d)["meals"].where("completeness = 3").select("member", "workDate", *_t("mealIn", "mealOut"))
 
 
 def orphans_anti(spark, d):
-    return _metrics(spark, d)["meals"].where("completeness < 3").select("member", "workDate", *_t("mealIn", "mealOut"))
+    return metrics(spark, d)["meals"].where("completeness < 3").select("member", "workDate", *_t("mealIn", "mealOut"))
 
 
 def completeness_merge(spark, d):
-    return _metrics(spark, d)["meals"].groupBy("completeness").agg(F.count(F.lit(1)).alias("days"))
+    return metrics(spark, d)["meals"].groupBy("completeness").agg(F.count(F.lit(1)).alias("days"))
 
 
 _DAY_COLS = ["dayDuration", "mealDuration", "mealStartDiff", "hoursWorked", "lateArrival", "earlyArrival"]
 
 
 def anomaly_classify(spark, d):
-    return _metrics(spark, d)["days"].select("member", "workDate", "anomalyType", "anomalySeverity", "clockAnomaly", "missedClockOut")
+    return metrics(spark, d)["days"].select("member", "workDate", "anomalyType", "anomalySeverity", "clockAnomaly", "missedClockOut")
 
 
 def duration_metrics(spark, d):
-    return _metrics(spark, d)["days"].select("member", "workDate", *[F.round(c, 6).alias(c) for c in _DAY_COLS])
+    return metrics(spark, d)["days"].select("member", "workDate", *[F.round(c, 6).alias(c) for c in _DAY_COLS])
 
 
 def trailing30_consistency(spark, d):
-    return _metrics(spark, d)["days"].select("member", "workDate", "clockInMinuteOfDay", "clockOutMinuteOfDay", F.round("clockInConsistency", 5).alias("clockInConsistency"), F.round("anomalyRate", 6).alias("anomalyRate"))
+    return metrics(spark, d)["days"].select("member", "workDate", "clockInMinuteOfDay", "clockOutMinuteOfDay", F.round("clockInConsistency", 5).alias("clockInConsistency"), F.round("anomalyRate", 6).alias("anomalyRate"))
 
 
 def spine_union_distinct(spark, d):
-    return _metrics(spark, d)["days"].select("member", "workDate", F.col("clockIn").isNotNull().alias("has_in"), F.col("mealIn").isNotNull().alias("has_meal"))
+    return metrics(spark, d)["days"].select("member", "workDate", F.col("clockIn").isNotNull().alias("has_in"), F.col("mealIn").isNotNull().alias("has_meal"))
 
 
 _SW = f"""sw AS (SELECT swipe_id AS event_id, {_ID} AS member, swipeTimestampLocal AS "at", CASE WHEN payCode = 'CLOCK' AND type = 'SWIPE_IN' THEN 1 WHEN payCode = 'BREAK' AND type = 'TRANSFER_PAY' THEN 2
@@ -120,7 +127,8 @@ _SC = f"""sc AS (SELECT member, workDate, s AS "start", e AS "end" FROM (SELECT
 _SY = f"""sy AS (SELECT DISTINCT member, workDate, workDate + to_hours(f) AS "start", workDate + to_hours(t) AS "end" FROM (SELECT {_ID} AS member, CAST(date AS TIMESTAMP) AS wd, CAST(date AS DATE) AS workDate,
     CASE upper(trim(shift)) WHEN 'FIRST' THEN 3 WHEN 'SECOND' THEN 12 WHEN 'THIRD' THEN 20 END AS f, CASE upper(trim(shift)) WHEN 'FIRST' THEN 15 WHEN 'SECOND' THEN 24 WHEN 'THIRD' THEN 32 END AS t FROM facts) WHERE f IS NOT NULL)"""
 _FALL = """CAST("at" AS DATE) - CASE WHEN hour("at") < 6 THEN 1 ELSE 0 END"""
-_CHAIN = f"""WITH {_SW}, {_SC},
+CHAIN = f"""WITH {_SW}, {FACTS}, {_SC.replace('sc AS', 'rs AS', 1)}, gs AS (SELECT member, day AS workDate, CASE shift WHEN 'First' THEN 3 WHEN 'Second' THEN 12 WHEN 'Third' THEN 20 END AS f, CASE shift WHEN 'First' THEN 15 WHEN 'Second' THEN 24 WHEN 'Third' THEN 32 END AS t FROM fct),
+sc AS (SELECT member, workDate, "start", "end" FROM rs UNION ALL SELECT member, workDate, workDate + to_hours(f), workDate + to_hours(t) FROM gs WHERE f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rs WHERE rs.member = gs.member AND rs.workDate = gs.workDate)),
 ci AS (SELECT event_id, s.workDate, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(w."at") - epoch_us(s."start")), s."start", s.workDate) AS rn FROM sw w JOIN sc s ON w.member = s.member
     AND w."at" >= s."start" - INTERVAL 18 HOUR AND w."at" <= s."start" + INTERVAL 6 HOUR WHERE code = 1),
 ins AS (SELECT w.event_id, member, "at", coalesce(ci.workDate, {_FALL}) AS workDate, ci.workDate IS NOT NULL AS matched FROM sw w LEFT JOIN ci ON w.event_id = ci.event_id AND rn = 1 WHERE code = 1),
@@ -129,8 +137,8 @@ co AS (SELECT event_id, s.workDate, row_number() OVER (PARTITION BY event_id ORD
 outs AS (SELECT w.event_id, member, "at", coalesce(co.workDate, {_FALL}) AS workDate, co.workDate IS NOT NULL AS matched FROM sw w LEFT JOIN co ON w.event_id = co.event_id AND rn = 1 WHERE code = 4),
 pairs AS (SELECT coalesce(i.member, o.member) AS member, coalesce(i.workDate, o.workDate) AS workDate, clockIn, clockOut FROM (SELECT member, workDate, min("at") AS clockIn FROM ins GROUP BY 1, 2) i
     FULL OUTER JOIN (SELECT member, workDate, max("at") AS clockOut FROM outs GROUP BY 1, 2) o ON i.member = o.member AND i.workDate = o.workDate),
-span AS (SELECT member, workDate, coalesce(clockIn, clockOut - INTERVAL 16 HOUR) AS lo, coalesce(clockOut, clockIn + INTERVAL 16 HOUR) AS hi FROM pairs),
-ml AS (SELECT code, w.member, w."at", s.workDate, row_number() OVER (PARTITION BY event_id ORDER BY epoch_us(w."at") - epoch_us(lo), s.workDate) AS rn FROM sw w JOIN span s ON w.member = s.member AND w."at" >= lo AND w."at" <= hi WHERE code IN (2, 3)),
+ml AS (SELECT code, w.member, w."at", s.workDate, row_number() OVER (PARTITION BY event_id ORDER BY clockIn IS NULL, clockIn DESC, clockOut, s.workDate) AS rn FROM sw w JOIN pairs s ON w.member = s.member AND (clockIn IS NULL OR w."at" >= clockIn)
+    AND w."at" <= coalesce(clockOut, clockIn + INTERVAL 16 HOUR) WHERE code IN (2, 3)),
 mi AS (SELECT member, workDate, "at" FROM ml WHERE rn = 1 AND code = 2), mo AS (SELECT member, workDate, "at" FROM ml WHERE rn = 1 AND code = 3),
 mp AS (SELECT *, row_number() OVER (PARTITION BY member, workDate ORDER BY mealIn, mealOut) AS rn FROM (SELECT i.member, i.workDate, i."at" AS mealIn, o."at" AS mealOut FROM mi i JOIN mo o ON i.member = o.member AND i.workDate = o.workDate
     WHERE epoch(o."at") - epoch(i."at") BETWEEN 300 AND 7200)),
@@ -162,20 +170,20 @@ SQL = {
     "synthetic_schedule": f"WITH {_SY} SELECT member, workDate, {_ts('start', 'end')} FROM sy",
     "anti_precedence_union": f"""WITH {_SC}, {_SY} SELECT member, workDate, {_ts('start', 'end')}, 'real' AS origin FROM sc
         UNION ALL SELECT member, workDate, {_ts('start', 'end')}, 'synthetic' FROM sy WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.member = sy.member AND sc.workDate = sy.workDate)""",
-    "interval_join_nearest_in": _CHAIN + "SELECT event_id, member, workDate, matched FROM ins",
-    "interval_join_nearest_out": _CHAIN + "SELECT event_id, member, workDate, matched FROM outs",
-    "full_outer_envelope": _CHAIN + f"SELECT member, workDate, {_ts('clockIn', 'clockOut')} FROM pairs",
-    "meal_attach_disjunctive": _CHAIN + f"""SELECT member, workDate, side, n, {_ts('first_at', 'last_at')} FROM (SELECT member, workDate, 'in' AS side, count(*) AS n, min("at") AS first_at, max("at") AS last_at FROM mi GROUP BY 1, 2
+    "interval_join_nearest_in": CHAIN + "SELECT event_id, member, workDate, matched FROM ins",
+    "interval_join_nearest_out": CHAIN + "SELECT event_id, member, workDate, matched FROM outs",
+    "full_outer_envelope": CHAIN + f"SELECT member, workDate, {_ts('clockIn', 'clockOut')} FROM pairs",
+    "meal_attach_disjunctive": CHAIN + f"""SELECT member, workDate, side, n, {_ts('first_at', 'last_at')} FROM (SELECT member, workDate, 'in' AS side, count(*) AS n, min("at") AS first_at, max("at") AS last_at FROM mi GROUP BY 1, 2
         UNION ALL SELECT member, workDate, 'out', count(*), min("at"), max("at") FROM mo GROUP BY 1, 2)""",
-    "sequence_pairing": _CHAIN + f"SELECT member, workDate, {_ts('mealIn', 'mealOut')} FROM meals WHERE completeness = 3",
-    "orphans_anti": _CHAIN + f"SELECT member, workDate, {_ts('mealIn', 'mealOut')} FROM meals WHERE completeness < 3",
-    "completeness_merge": _CHAIN + "SELECT completeness, count(*) AS days FROM meals GROUP BY 1",
-    "spine_union_distinct": _CHAIN + "SELECT member, workDate, ci IS NOT NULL AS has_in, mi IS NOT NULL AS has_meal FROM d0",
-    "anomaly_classify": _CHAIN + """SELECT member, workDate, anomalyType, CASE anomalyType WHEN 'extreme_long_shift' THEN 5 WHEN 'missing_clockout' THEN 4 WHEN 'very_short_shift' THEN 4 WHEN 'excessive_meal_break' THEN 3
-        WHEN 'no_meal_break_full_day' THEN 1 WHEN 'normal' THEN 0 ELSE 2 END AS anomalySeverity, anomalyType <> 'normal' AS clockAnomaly, ci IS NOT NULL AND co IS NULL AS missedClockOut FROM d6""",
-    "duration_metrics": _CHAIN + """SELECT member, workDate, round(dd, 6) AS dayDuration, round(md, 6) AS mealDuration, round(CASE WHEN mi IS NOT NULL AND ci IS NOT NULL THEN (epoch(mi) - epoch(ci)) / 3600.0 ELSE 0.0 END, 6) AS mealStartDiff,
+    "sequence_pairing": CHAIN + f"SELECT member, workDate, {_ts('mealIn', 'mealOut')} FROM meals WHERE completeness = 3",
+    "orphans_anti": CHAIN + f"SELECT member, workDate, {_ts('mealIn', 'mealOut')} FROM meals WHERE completeness < 3",
+    "completeness_merge": CHAIN + "SELECT completeness, count(*) AS days FROM meals GROUP BY 1",
+    "spine_union_distinct": CHAIN + "SELECT member, workDate, ci IS NOT NULL AS has_in, mi IS NOT NULL AS has_meal FROM d0",
+    "anomaly_classify": CHAIN + """SELECT member, workDate, anomalyType, CASE WHEN anomalyType = 'extreme_long_shift' THEN 5 WHEN anomalyType IN ('missing_clockin', 'missing_clockout') THEN 4 WHEN anomalyType = 'meal_without_full_shift' THEN 3
+        WHEN anomalyType IN ('no_meal_break_full_day', 'excessive_meal_break', 'very_short_shift') THEN 2 WHEN anomalyType = 'incomplete_meal_break' THEN 1 ELSE 0 END AS anomalySeverity, anomalyType <> 'normal' AS clockAnomaly, ci IS NOT NULL AND co IS NULL AS missedClockOut FROM d6""",
+    "duration_metrics": CHAIN + """SELECT member, workDate, round(dd, 6) AS dayDuration, round(md, 6) AS mealDuration, round(CASE WHEN mi IS NOT NULL AND ci IS NOT NULL THEN (epoch(mi) - epoch(ci)) / 3600.0 ELSE 0.0 END, 6) AS mealStartDiff,
         round(hw, 6) AS hoursWorked, round(greatest(coalesce((epoch(ci) - epoch(st)) / 60.0, 0.0), 0.0), 6) AS lateArrival, round(greatest(coalesce((epoch(st) - epoch(ci)) / 60.0, 0.0), 0.0), 6) AS earlyArrival FROM d6""",
-    "trailing30_consistency": _CHAIN + """SELECT member, workDate, CAST(cim AS INT) AS clockInMinuteOfDay, CAST(com AS INT) AS clockOutMinuteOfDay, round(coalesce(stddev_samp(cim) OVER w, 0.0), 5) AS clockInConsistency,
+    "trailing30_consistency": CHAIN + """SELECT member, workDate, CAST(cim AS INT) AS clockInMinuteOfDay, CAST(com AS INT) AS clockOutMinuteOfDay, round(coalesce(stddev_samp(cim) OVER w, 0.0), 5) AS clockInConsistency,
         round(sum(CASE WHEN anomalyType <> 'normal' THEN 1.0 ELSE 0.0 END) OVER w / count(*) OVER w, 6) AS anomalyRate FROM d6 WINDOW w AS (PARTITION BY member ORDER BY workDate ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
 }
 

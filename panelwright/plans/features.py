@@ -43,11 +43,11 @@ _F = f"WITH {FACTS} "
 
 # --- rows of a member in trailing calendar days, rates and fallbacks ---------------------------------------------
 
-@query(_F + "SELECT member, day, " + ", ".join(f"count(*) OVER {_days('member', n)} AS rows_{n}d" for n in (7, 30, 90)) + f", count(*) OVER {_days('member', 7)} = 0 AS is_new_7d FROM fct")
+@query(_F + "SELECT member, day, " + ", ".join(f"count(*) OVER {_days('member', n)} AS rows_{n}d" for n in (7, 30, 90)) + "".join(f", count(*) OVER {_days('member', n)} = 0 AS is_new_{n}d" for n in (7, 30)) + " FROM fct")
 def rolling_days_range(spark, d):
     f = facts_days(spark, d)
     counts = {f"rows_{n}d": F.count(F.lit(1)).over(trailing_days(BY, "day", n)) for n in (7, 30, 90)}
-    return f.select(*KEY, *[c.alias(k) for k, c in counts.items()], (counts["rows_7d"] == 0).alias("is_new_7d"))
+    return f.select(*KEY, *[c.alias(k) for k, c in counts.items()], *[(counts[f"rows_{n}d"] == 0).alias(f"is_new_{n}d") for n in (7, 30)])
 
 
 @query(_F + "SELECT member, day, " + ", ".join(f"CAST(coalesce(sum(vac) OVER {_days('member', n)}, 0) AS BIGINT) AS approvals_{n}d, CAST(coalesce(sum(unpaid) OVER {_days('member', n)}, 0) AS BIGINT) AS rejections_{n}d, round(sum(vac) OVER {_days('member', n)} / nullif(sum(vac + unpaid) OVER {_days('member', n)}, 0), 6) AS approval_rate_{n}d" for n in (7, 30, 90)) + " FROM fct")
@@ -79,16 +79,40 @@ def alltime_history(spark, d):
     return s.select(*KEY, F.col("rows_all").alias("shifts_alltime"), F.col("a_sum_all").cast("long").alias("approvals_alltime"), F.col("r_sum_all").cast("long").alias("rejections_alltime"))
 
 
-@query(_F + f""", r AS (SELECT *, sum(vac) OVER {_days('member', 30)} / nullif(sum(vac + unpaid) OVER {_days('member', 30)}, 0) AS rate FROM fct)
-    SELECT member, day, round(coalesce(rate, CASE WHEN mgr IS NOT NULL THEN avg(rate) OVER {_days('mgr', 30)} END, CASE WHEN dept IS NOT NULL THEN avg(rate) OVER {_days('dept', 30)} END, 0), 6) AS approval_rate FROM r""")
+_RATES = ", ".join(f"sum(vac) OVER {_days('member', n)} / nullif(sum(vac + unpaid) OVER {_days('member', n)}, 0) AS rate_{n}d" for n in (7, 30, 90))
+
+
+@query(_F + f", r AS (SELECT *, {_RATES} FROM fct) SELECT member, day, " + ", ".join(f"round(coalesce(rate_{n}d, CASE WHEN mgr IS NOT NULL AND dept IS NOT NULL THEN avg(rate_{n}d) OVER {_days('mgr, dept', n)} END, CASE WHEN dept IS NOT NULL THEN avg(rate_{n}d) OVER {_days('dept', n)} END, 0), 6) AS approval_rate_{n}d" for n in (7, 30, 90)) + " FROM r")
 def hierarchical_rate_fallback(spark, d):
+    """A member's own rate, else the mean of the manager's team, else of the department, else 0, each over the same days."""
+    f, ns = facts_days(spark, d), (7, 30, 90)
+    s = trailing_group_stats(f, BY, "day", {"a": F.col("vac"), "w": F.col("vac") + F.col("unpaid")}, ns)
+    f = f.join(s.select(*KEY, *[ratio(F.col(f"a_sum_{n}d"), F.col(f"w_sum_{n}d"), None).alias(f"rate_{n}d") for n in ns]), KEY)
+    for i, level in enumerate((["mgr", "dept"], ["dept"])):
+        means = trailing_group_stats(f, level, "day", {f"rate_{n}d": F.col(f"rate_{n}d") for n in ns}, ns)
+        f = f.join(means.select(*level, "day", *[F.col(f"rate_{n}d_avg_{n}d").alias(f"_{i}_{n}") for n in ns]), [*level, "day"], "left")
+    return f.select(*KEY, *[F.round(F.coalesce(f"rate_{n}d", f"_0_{n}", f"_1_{n}", F.lit(0.0)), 6).alias(f"approval_rate_{n}d") for n in ns])
+
+
+_TIME_OFF = ", ".join(f"CAST(sum(vac) OVER {_days('mgr, dept', n)} AS BIGINT) AS a{n}, CAST(sum(unpaid) OVER {_days('mgr, dept', n)} AS BIGINT) AS r{n}" for n in (7, 30, 90))
+
+
+@query(_F + f", t AS (SELECT DISTINCT mgr, dept, day, {_TIME_OFF} FROM fct WHERE mgr IS NOT NULL AND dept IS NOT NULL) SELECT mgr, dept, day, " + ", ".join(f"coalesce(a{n}, 0) AS approvals_{n}d, coalesce(r{n}, 0) AS rejections_{n}d, round(coalesce(a{n} / nullif(a{n} + r{n}, 0), 0), 6) AS approval_rate_{n}d" for n in (7, 30, 90)) + " FROM t")
+def manager_time_off(spark, d):
+    """Requests approved (vacation) and rejected (unpaid stands in) in a manager's team, and the share approved; 0 without any."""
+    s = trailing_group_stats(facts_days(spark, d), ["mgr", "dept"], "day", {"a": F.col("vac"), "r": F.col("unpaid")}, (7, 30, 90))
+    cols = []
+    for n in (7, 30, 90):
+        a, r = F.col(f"a_sum_{n}d"), F.col(f"r_sum_{n}d")
+        cols += [a.cast("long").alias(f"approvals_{n}d"), r.cast("long").alias(f"rejections_{n}d"), F.round(ratio(a, a + r), 6).alias(f"approval_rate_{n}d")]
+    return s.select("mgr", "dept", "day", *cols)
+
+
+@query(_F + ", s AS (SELECT day, dept, loc, count(DISTINCT member) AS department_size FROM fct WHERE dept IS NOT NULL AND loc IS NOT NULL GROUP BY day, dept, loc) SELECT member, fct.day, s.department_size FROM fct LEFT JOIN s ON fct.day = s.day AND fct.dept = s.dept AND fct.loc = s.loc")
+def department_size_joined(spark, d):
     f = facts_days(spark, d)
-    s = trailing_group_stats(f, BY, "day", {"a": F.col("vac"), "w": F.col("vac") + F.col("unpaid")}, (30,))
-    f = f.join(s.select(*KEY, ratio(F.col("a_sum_30d"), F.col("w_sum_30d"), None).alias("rate")), KEY)
-    for level in ("mgr", "dept"):
-        means = trailing_group_stats(f, [level], "day", {"rate": F.col("rate")}, (30,)).select(level, "day", F.col("rate_avg_30d").alias(f"_{level}"))
-        f = f.join(means, [level, "day"], "left")
-    return f.select(*KEY, F.round(F.coalesce("rate", "_mgr", "_dept", F.lit(0.0)), 6).alias("approval_rate"))
+    sizes = f.where("dept is not null and loc is not null").groupBy("day", "dept", "loc").agg(F.countDistinct("member").alias("department_size"))
+    return f.join(sizes, ["day", "dept", "loc"], "left").select(*KEY, "department_size")
 
 
 @query(_F + "SELECT day, dept, loc, count(DISTINCT member) AS department_size FROM fct WHERE dept IS NOT NULL AND loc IS NOT NULL GROUP BY day, dept, loc")
@@ -262,12 +286,16 @@ def conditional_trailing_rates(spark, d):
     return attendance_days(spark, d).select(*KEY, *[F.round(v, 6).alias(k) for k, v in c.items()])
 
 
-@query(_A + f", t AS (SELECT *, sick = 1 AND coalesce(lead(noshow) OVER {_O}, 0) = 1 AS sickThenNoShow, noshow = 1 AND coalesce(lead(sick) OVER {_O}, 0) = 1 AS noShowThenSick, noshow = 1 AND coalesce(lag(sick) OVER {_O}, 0) = 1 AS a, sick = 1 AND coalesce(lag(noshow) OVER {_O}, 0) = 1 AS b FROM att) SELECT member, day, sickThenNoShow, noShowThenSick, {_tr('a', 'sick = 1', 30, 'sickToNoShowRate_30d')}, {_tr('b', 'noshow = 1', 30, 'noShowToSickRate_30d')} FROM t")
+@query(_A + f""", l AS (SELECT *, lag(sick) OVER {_O} AS ps, lead(sick) OVER {_O} AS ns FROM att), t AS (SELECT *, coalesce(ps = 1 AND noshow = 1, false) AS sickThenNoShow, coalesce(noshow = 1 AND ns = 1, false) AS noShowThenSick FROM l)
+    SELECT member, day, sickThenNoShow, noShowThenSick, {_tr('sickThenNoShow', 'ps = 1', 30, 'sickToNoShowRate_30d')}, {_tr('noShowThenSick', 'noshow = 1', 30, 'noShowToSickRate_30d')} FROM t""")
 def transition_rate(spark, d):
-    w, sick, ns = ordered(BY, DAY), F.col("sick") == 1, F.col("noshow") == 1
-    one = lambda c: F.coalesce(c.over(w), F.lit(0)) == 1
-    a = attendance_days(spark, d).withColumns({"sickThenNoShow": sick & one(F.lead("noshow")), "noShowThenSick": ns & one(F.lead("sick")), "a": ns & one(F.lag("sick")), "b": sick & one(F.lag("noshow"))})
-    c = X.trailing_ratio("sickToNoShowRate_30d", F.col("a"), sick, 30) | X.trailing_ratio("noShowToSickRate_30d", F.col("b"), ns, 30)
+    """A no-show after a day of sick time, and before one.  The second flag looks a row ahead, so on its own row it is
+    no feature to predict from; its rate is over the 30 rows before, which it does not reach beyond."""
+    w, none = ordered(BY, DAY), F.lit(False)
+    a = attendance_days(spark, d).withColumns({"ps": F.lag("sick").over(w), "ns": F.lead("sick").over(w)})
+    ns = F.col("noshow") == 1
+    a = a.withColumns({"sickThenNoShow": F.coalesce((F.col("ps") == 1) & ns, none), "noShowThenSick": F.coalesce(ns & (F.col("ns") == 1), none)})
+    c = X.trailing_ratio("sickToNoShowRate_30d", F.col("sickThenNoShow"), F.coalesce(F.col("ps") == 1, none), 30) | X.trailing_ratio("noShowToSickRate_30d", F.col("noShowThenSick"), ns, 30)
     return a.select(*KEY, "sickThenNoShow", "noShowThenSick", *[F.round(v, 6).alias(k) for k, v in c.items()])
 
 

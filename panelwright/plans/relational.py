@@ -9,7 +9,7 @@ from panelwright.operators.assembly import assemble_days
 from panelwright.operators.clocking import hours_between
 from panelwright.operators.dedupe import latest_per_key, top_k_per_group
 from panelwright.operators.groups import trailing_group_stats
-from panelwright.operators.impute import group_first_fill, hierarchical_fill, neighbour_repair
+from panelwright.operators.impute import categorise_days, group_first_fill, infer_shifts, neighbour_repair
 from panelwright.operators.joins import asof_join
 from panelwright.operators.profile import profile, profile_all
 from panelwright.operators.requests import request_metrics
@@ -104,6 +104,17 @@ def asof_job_history(spark, d):
     return asof_join(days, _jobs(spark, d), ["member"], "day", "eff", ["eff", "hrStatus", "department", "locationId", "payType"], forward_fallback=True)
 
 
+_AS_OF = SQL["asof_job_history"]
+
+
+@query("SELECT member, day, department, locationId, hrStatus FROM (" + _AS_OF.replace("b AS (SELECT att.member", "b AS (SELECT j1.employmentType, att.member").replace("AS hrStatus, min_by", "AS hrStatus, min_by(coalesce(employmentType, chr(1)), eff) AS employmentType, min_by", 1).replace("SELECT b.member, b.day,", "SELECT b.member, b.day, CASE WHEN b.eff IS NOT NULL THEN b.employmentType ELSE f.employmentType END AS employmentType,") + ") WHERE payType = 'H' AND employmentType = 'MEMBER-US'")
+def asof_hourly_members(spark, d):
+    """Job history as of each day, of members paid by the hour and employed in the country only."""
+    columns = ["eff", "hrStatus", "department", "locationId", "payType", "employmentType"]
+    found = asof_join(attendance_days(spark, d).select(*KEY), _jobs(spark, d), ["member"], "day", "eff", columns, forward_fallback=True)
+    return found.where("payType = 'H' and employmentType = 'MEMBER-US'").select(*KEY, "department", "locationId", "hrStatus")
+
+
 @query(f"""WITH {_JOBS}, {ATT}, s AS ({_SWIPE_DAYS}), l AS (SELECT member, max(eff) AS last_eff, max_by(coalesce(hrStatus, '-'), eff) AS st FROM j1 GROUP BY member)
     SELECT att.member, day FROM att JOIN s ON s.member = att.member JOIN l ON l.member = att.member WHERE day >= first_day AND (st <> 'T' OR day <= last_eff)""")
 def employment_bounded_timeline(spark, d):
@@ -142,38 +153,46 @@ def neighbour_repair_hours(spark, d):
     return fixed.select("shift_id", F.round("hours", 6).alias("hours"))
 
 
-_CATEGORY = """CASE WHEN vac IS NULL OR unpaid IS NULL THEN 'other_days' WHEN dur > 0 AND shift IN ('First', 'Second', 'Third') THEN 'real_shift' WHEN vac = 1 OR unpaid = 1 THEN 'planned_absence' WHEN shift IN ('First', 'Second', 'Third') OR dur > 0 THEN 'expected_work' ELSE 'other_days' END"""
-_RAW = f"raw AS (SELECT row_id, {_ID} AS member, CAST(date AS DATE) AS day, isVacationTime AS vac, isUnpaidTime AS unpaid, CASE WHEN NOT isnan(shiftDurationHrs) THEN shiftDurationHrs END AS dur, upper(left(trim(shift), 1)) || lower(substr(trim(shift), 2)) AS shift, nullif(upper(trim(department)), '') AS dept, nullif(upper(trim(locationId)), '') AS loc, managersMatchValue AS mgr FROM facts)"
+_RAW = f"""raw AS (SELECT row_id, {_ID} AS member, CAST(date AS DATE) AS day, isVacationTime AS vac, isUnpaidTime AS unpaid, noShow AS noshow, isSickTime AS sick, CASE WHEN NOT isnan(shiftDurationHrs) AND shiftDurationHrs > 0 AND shiftDurationHrs <= 24 THEN shiftDurationHrs END AS dur,
+    CASE WHEN lower(trim(shift)) IN ('first', 'second', 'third') THEN upper(left(trim(shift), 1)) || lower(substr(trim(shift), 2)) END AS shift, nullif(upper(trim(department)), '') AS dept, nullif(upper(trim(locationId)), '') AS loc, managersMatchValue AS mgr FROM facts)"""
 
 
 def _raw(spark, d):
     up = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    hours, shift = F.col("shiftDurationHrs"), F.initcap(F.trim("shift"))
     return table(spark, d, "facts").select(
-        "row_id", canonical_id("maskedMatchId").alias("member"), F.col("date").alias("day"), F.col("isVacationTime").alias("vac"), F.col("isUnpaidTime").alias("unpaid"), F.when(~F.isnan("shiftDurationHrs"), F.col("shiftDurationHrs")).alias("dur"),
-        F.initcap(F.trim("shift")).alias("shift"), up("department").alias("dept"), up("locationId").alias("loc"), F.col("managersMatchValue").alias("mgr"),
+        "row_id", canonical_id("maskedMatchId").alias("member"), F.col("date").alias("day"), F.col("isVacationTime").alias("vac"), F.col("isUnpaidTime").alias("unpaid"), F.col("noShow").alias("noshow"), F.col("isSickTime").alias("sick"),
+        F.when((hours > 0) & (hours <= 24), hours).alias("dur"), F.when(shift.isin("First", "Second", "Third"), shift).alias("shift"), up("department").alias("dept"), up("locationId").alias("loc"), F.col("managersMatchValue").alias("mgr"),
     )
 
 
-def _category() -> F.Column:
-    known, worked = F.col("shift").isin("First", "Second", "Third"), F.col("dur") > 0
-    away = (F.col("vac") == 1) | (F.col("unpaid") == 1)
-    return F.when(F.col("vac").isNull() | F.col("unpaid").isNull(), "other_days").when(worked & known, "real_shift").when(away, "planned_absence").when(known | worked, "expected_work").otherwise("other_days")
+def _categories(spark, d):
+    real = table(spark, d, "shift").select(canonical_id("maskedMatchId").alias("member"), F.to_date("startAtTimestampLocal").alias("day"))
+    ins = table(spark, d, "swipe").where("type = 'SWIPE_IN'").select(canonical_id("maskedMatchId").alias("member"), F.col("swipeDate").alias("day"), F.col("swipeTimestampLocal").alias("at"))
+    return categorise_days(_raw(spark, d), real, ins)
 
 
-@query(f"WITH {_RAW}, c AS (SELECT *, {_CATEGORY} AS category FROM raw) SELECT category, CASE WHEN category = 'real_shift' THEN 'complete' WHEN category = 'expected_work' THEN CASE WHEN shift IN ('First', 'Second', 'Third') THEN 'needs_filling' ELSE 'incomplete' END ELSE 'none' END AS work, count(*) AS n FROM c GROUP BY 1, 2")
+_CATEGORIES = f"""WITH {_RAW}, rd AS (SELECT DISTINCT {_ID} AS member, CAST(startAtTimestampLocal AS DATE) AS day FROM shift), fs AS (SELECT {_ID} AS member, CAST(swipeDate AS DATE) AS day, min(swipeTimestampLocal) AS sw FROM swipe WHERE type = 'SWIPE_IN' GROUP BY 1, 2),
+    k AS (SELECT raw.*, sw, CASE WHEN rd.member IS NOT NULL THEN 'real_shift' WHEN vac = 1 OR unpaid = 1 THEN 'planned_absence'
+        WHEN vac IS NOT NULL AND unpaid IS NOT NULL AND (coalesce(noshow, 0) = 1 OR coalesce(sick, 0) = 1 OR shift IS NOT NULL OR sw IS NOT NULL) THEN 'expected_work' ELSE 'other_days' END AS category
+        FROM raw LEFT JOIN rd ON raw.member = rd.member AND raw.day = rd.day LEFT JOIN fs ON raw.member = fs.member AND raw.day = fs.day),
+    c AS (SELECT *, CASE WHEN category <> 'expected_work' THEN NULL WHEN shift IS NOT NULL AND dur IS NOT NULL THEN 'complete' WHEN sw IS NOT NULL THEN 'needs_filling' ELSE 'incomplete' END AS work FROM k)"""
+
+
+@query(_CATEGORIES + " SELECT category, work, count(*) AS n FROM c GROUP BY 1, 2")
 def day_categorise(spark, d):
-    c = _raw(spark, d).withColumn("category", _category())
-    work = F.when(F.col("category") == "real_shift", "complete").when(F.col("category") == "expected_work", F.when(F.col("shift").isin("First", "Second", "Third"), "needs_filling").otherwise("incomplete")).otherwise("none")
-    return c.groupBy("category", work.alias("work")).agg(F.count(F.lit(1)).alias("n"))
+    return _categories(spark, d).groupBy("category", "work").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_RAW}, v AS (SELECT *, CASE WHEN dur > 0 AND dur <= 24 THEN dur END AS h FROM raw), a AS (SELECT dept, loc, shift, day, avg(h) AS m FROM v WHERE h IS NOT NULL GROUP BY ALL), b AS (SELECT loc, shift, day, avg(h) AS m FROM v WHERE h IS NOT NULL GROUP BY ALL)
-    SELECT row_id, round(CASE WHEN coalesce(vac = 1 OR unpaid = 1, false) THEN NULL ELSE coalesce(h, a.m, b.m, 8.5) END, 10) AS hours FROM v LEFT JOIN a ON v.dept = a.dept AND v.loc = a.loc AND v.shift = a.shift AND v.day = a.day LEFT JOIN b ON v.loc = b.loc AND v.shift = b.shift AND v.day = b.day""")
+@query(_CATEGORIES + """, u AS (SELECT *, CASE WHEN work = 'needs_filling' THEN coalesce(shift, CASE WHEN hour(sw) <= 9 THEN 'First' WHEN hour(sw) <= 17 THEN 'Second' ELSE 'Third' END) ELSE shift END AS us FROM c),
+    a AS (SELECT dept, loc, shift, day, avg(dur) AS m FROM raw WHERE dur IS NOT NULL GROUP BY ALL), b AS (SELECT loc, shift, day, avg(dur) AS m FROM raw WHERE dur IS NOT NULL GROUP BY ALL)
+    SELECT row_id, category, CASE WHEN category <> 'planned_absence' THEN us END AS shift, round(CASE WHEN category = 'planned_absence' THEN NULL WHEN work = 'needs_filling' THEN coalesce(dur, a.m, b.m, 8.5) ELSE dur END, 10) AS hours
+    FROM u LEFT JOIN a ON u.dept = a.dept AND u.loc = a.loc AND u.us = a.shift AND u.day = a.day LEFT JOIN b ON u.loc = b.loc AND u.us = b.shift AND u.day = b.day""")
 def hierarchical_avg_fill(spark, d):
-    v = _raw(spark, d).withColumn("h", F.when((F.col("dur") > 0) & (F.col("dur") <= 24), F.col("dur")))
-    out = hierarchical_fill(v, "h", [["dept", "loc", "shift", "day"], ["loc", "shift", "day"]], 8.5, "hours")
-    away = F.coalesce((F.col("vac") == 1) | (F.col("unpaid") == 1), F.lit(False))
-    return out.select("row_id", F.round(F.when(~away, F.col("hours")), 10).alias("hours"))
+    from panelwright.operators.clocking import shift_of_hour
+
+    out = infer_shifts(_categories(spark, d), shift_of_hour(F.col("firstSwipe")))
+    return out.select("row_id", "category", "shift", F.round("hours", 10).alias("hours"))
 
 
 @query(f"WITH {_RAW}, g AS (SELECT day, loc, dept, min(mgr) AS m FROM raw WHERE mgr IS NOT NULL GROUP BY ALL) SELECT row_id, coalesce(mgr, g.m, 'EMPTY') AS manager FROM raw LEFT JOIN g ON raw.day = g.day AND raw.loc = g.loc AND raw.dept = g.dept")

@@ -166,3 +166,60 @@ def test_feature_selection_and_names(spark):
     assert chosen == ["signal"] and table.where("selected = '✓'").count() == 1
     out = models.evaluate(models.train(df, "rf", "y", models.feature_stages(["signal"], categorical=["c"]), {"numTrees": 3}), df, "rf", "y", {"numTrees": 3})
     assert out["importances"].first()["feature"].startswith("_scaled") and out["confusion"].count() == 2
+
+
+def test_every_kind_of_anomaly_has_its_weight(spark):
+    from panelwright.operators.clocking import day_metrics
+
+    t = lambda h: None if h is None else dt.datetime(2024, 3, 4) + dt.timedelta(hours=h)
+    cases = {  # clock-in, clock-out, meal-in, meal-out
+        ("extreme_long_shift", 5): (6, 23, 12, 12.5), ("missing_clockout", 4): (8, None, None, None), ("very_short_shift", 2): (8, 8.2, None, None), ("excessive_meal_break", 2): (8, 16, 11, 13.5),
+        ("missing_clockin", 4): (None, 16, None, None), ("meal_without_full_shift", 3): (None, None, 12, 12.5), ("incomplete_meal_break", 1): (8, 13, 11, None), ("no_meal_break_full_day", 2): (8, 15, None, None), ("normal", 0): (8, 12, None, None),
+    }
+    rows = [(f"m{i}", dt.date(2024, 3, 4), *map(t, c)) for i, c in enumerate(cases.values())]
+    days = spark.createDataFrame(rows, "member string, workDate date, clockIn timestamp_ntz, clockOut timestamp_ntz, mealIn timestamp_ntz, mealOut timestamp_ntz")
+    plan = spark.createDataFrame([], "member string, workDate date, start timestamp_ntz, end timestamp_ntz")
+    out = {r["member"]: (r["anomalyType"], r["anomalySeverity"]) for r in day_metrics(days, plan).collect()}
+    assert [out[f"m{i}"] for i in range(len(cases))] == list(cases)
+
+
+def test_meals_go_to_the_last_clock_in_and_to_pairs_without_one_last(spark):
+    from panelwright.operators.clocking import attach_meals
+
+    t = lambda d, h: None if h is None else dt.datetime(2024, 3, d) + dt.timedelta(hours=h)
+    pairs = spark.createDataFrame(
+        [("a", dt.date(2024, 3, 4), t(4, 8), t(4, 16)), ("a", dt.date(2024, 3, 5), None, t(5, 15)), ("a", dt.date(2024, 3, 9), None, t(9, 15)), ("a", dt.date(2024, 3, 6), t(6, 8), None), ("b", dt.date(2024, 3, 4), None, t(4, 1))],
+        "member string, workDate date, clockIn timestamp_ntz, clockOut timestamp_ntz",
+    )
+    at = {1: ("a", t(4, 12)), 2: ("a", t(1, 12)), 3: ("a", t(6, 23)), 4: ("a", t(7, 12)), 5: ("a", t(10, 12)), 6: ("b", t(4, 2)), 7: ("c", t(4, 2)), 8: (None, t(4, 12)), 9: ("a", None)}
+    meals = spark.createDataFrame([(k, *v) for k, v in at.items()], "event_id long, member string, at timestamp_ntz")
+    out = sorted((r["member"], r["at"], r["workDate"].day) for r in attach_meals(meals, pairs).collect())
+    assert out == [("a", t(1, 12), 5), ("a", t(4, 12), 4), ("a", t(6, 23), 6), ("a", t(7, 12), 9)]
+
+
+def test_categories_of_days(spark):
+    from panelwright.operators.impute import categorise_days, infer_shifts
+
+    d = dt.date(2024, 3, 4)
+    rows = {  # shift, dur, vac, unpaid, noshow, sick
+        "real": (None, None, 1, 0, 0, 0), "away": ("First", 8.0, 0, 1, 0, 0), "done": ("First", 7.0, 0, 0, 0, 0), "fill": (None, 9.0, 0, 0, 0, 0), "length": ("First", None, 0, 0, 0, 0), "sick": (None, None, 0, 0, 0, 1),
+        "absent": (None, None, 0, 0, 1, 0), "free": (None, None, 0, 0, 0, 0), "unknown": ("First", 8.0, None, 0, 0, 0),
+    }
+    days = spark.createDataFrame([(k, d, "D", "L", *v) for k, v in rows.items()], "member string, day date, dept string, loc string, shift string, dur double, vac int, unpaid int, noshow int, sick int")
+    shifts = spark.createDataFrame([("real", d), ("real", d), (None, d)], "member string, day date")
+    swipes = spark.createDataFrame([(m, d, dt.datetime(2024, 3, 4, h)) for m in ("fill", "length") for h in (15, 21)], "member string, day date, at timestamp_ntz")
+    done = categorise_days(days, shifts, swipes)
+    out = {r["member"]: (r["category"], r["work"]) for r in done.collect()}
+    assert out == {
+        "real": ("real_shift", None), "away": ("planned_absence", None), "done": ("expected_work", "complete"), "fill": ("expected_work", "needs_filling"), "length": ("expected_work", "needs_filling"),
+        "sick": ("expected_work", "incomplete"), "absent": ("expected_work", "incomplete"), "free": ("other_days", None), "unknown": ("other_days", None),
+    }
+    got = {r["member"]: (r["shift"], r["hours"]) for r in infer_shifts(done, F.when(F.hour("firstSwipe") < 17, "Second")).collect()}
+    assert got["fill"] == ("Second", 9.0) and got["away"] == (None, None) and got["sick"] == (None, None) and got["unknown"] == ("First", 8.0)
+    assert got["length"] == ("First", (8.0 + 7.0 + 8.0) / 3)  # of that shift in its department and site
+
+
+def test_custom_weights_compare_numbers_as_numbers(spark):
+    df = spark.createDataFrame([(1.0, "x"), (0.0, "y"), (None, None)], "a double, b string")
+    assert [r["weight"] for r in weights.custom(df, "a", {1: 8.0, "0": 2.0}).collect()] == [8.0, 2.0, 1.0]
+    assert [r["weight"] for r in weights.custom(df, "b", {"x": 3.0}).collect()] == [3.0, 1.0, 1.0]
