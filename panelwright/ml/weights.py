@@ -70,7 +70,7 @@ def quantile_based(df: DataFrame, label: str, buckets: int = 4, out: str = "weig
     floating number is weighted by class instead."""
     if dict(df.dtypes)[label] not in ("float", "double"):
         return inverse_class_frequency(df, label, out)
-    cuts = sorted({float(x) for x in df.agg(F.percentile(label, [i / buckets for i in range(1, buckets)])).first()[0] or []})
+    cuts = sorted({float(x) for x in df.agg(F.percentile_approx(label, [i / buckets for i in range(1, buckets)], 100_000)).first()[0] or []})
     at = F.lit(len(cuts))
     for i, c in reversed(list(enumerate(cuts))):
         at = F.when(F.col(label) < c, i).otherwise(at)

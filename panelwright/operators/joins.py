@@ -16,17 +16,21 @@ from pyspark.sql import functions as F
 from panelwright.operators.blocks import numbers, whole_groups
 
 
+HOT_ROWS = 200_000  # rows of one key that are too many for one task
+MOST_HOT = 1 << 16
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str],
-    tie: Sequence[str] = (), forward_fallback: bool = False, bucket: int = 64, salts: int = 4,
+    tie: Sequence[str] = (), forward_fallback: bool = False, bucket: int = 64,
 ) -> DataFrame:
     """``left`` with ``values`` of the right row of equal ``by`` that is latest at or before the left time; with
     ``forward_fallback`` the earliest later one where there is none.  Times are dates or whole numbers.
 
     Of right rows at one time the one greatest in ``tie`` is taken, before left rows at that time are served.  Left
     rows without partner, with null time or null keys keep nulls.  A long-lived key is cut into buckets of time; what
-    a bucket inherits comes from the last (first) right row of the buckets before (after), one small row each.  A key
-    on which left rows pile up is spread over ``salts`` tasks, and the right side, the smaller one, copied as often.
+    a bucket inherits comes from the last (first) right row of the buckets before (after), one small row each.  Buckets
+    in which left rows pile up are spread over more tasks, and only their right rows copied as often.
     """
     number = lambda df, c: F.unix_date(c).cast("long") if dict(df.dtypes)[c] == "date" else F.col(c).cast("long")
     group = [*by, "_b", "_salt"]
@@ -45,7 +49,6 @@ def asof_join(
     kind_row, kind_v = wanted.select(row.alias("r")).schema["r"].dataType, rows.schema["_v"].dataType
     none_row, none_v = F.lit(None).cast(kind_row).alias("_row"), F.lit(None).cast(kind_v).alias("_v")
     edge = lambda side: F.lit(side).alias("_side")
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_salt")
     parts = [
         rows.select(*by, "_b", "_t", edge(1), "_v", none_row),
         stops.where("_in is not null").select(*by, "_b", (F.col("_b") * bucket - 1).alias("_t"), edge(0), F.col("_in").alias("_v"), none_row),
@@ -55,8 +58,9 @@ def asof_join(
     swept = parts[0]
     for p in parts[1:]:
         swept = swept.unionByName(p)
-    swept = swept.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    swept = swept.unionByName(wanted.select(*by, "_b", salt, "_t", edge(2), none_v, row.alias("_row")))
+    asked = wanted.select(*by, "_b", "_t", edge(2), none_v, row.alias("_row"))
+    heavy = heavy_keys(wanted, [*by, "_b"])
+    swept = with_salt(swept, [*by, "_b"], heavy, copy=True).unionByName(with_salt(asked, [*by, "_b"], heavy, copy=False))
     hit = F.last("_v", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     if forward_fallback:
         hit = F.coalesce(hit, F.last("_v", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
@@ -66,13 +70,33 @@ def asof_join(
     return swept.withColumn("_hit", F.when(placed, hit)).where("_row is not null").select("_row.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
-def salted_lookup(df: DataFrame, table: DataFrame, key: str, salts: int = 8) -> DataFrame:
+def heavy_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by, _copies``: the keys with more than HOT_ROWS rows, the heaviest MOST_HOT of them, and by how many tasks each
+    is to be shared so that none has more; keys beyond those have less than a MOST_HOT-th of all rows.  Counted
+    on the map side, so a hot key is one row a task; small enough to broadcast."""
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS)
+    return counts.orderBy(F.desc("_n")).limit(MOST_HOT).select(*by, F.least(F.ceil(F.col("_n") / HOT_ROWS), F.lit(4096)).cast("int").alias("_copies"))
+
+
+def with_salt(df: DataFrame, by: Sequence[str], heavy: DataFrame, copy: bool) -> DataFrame:
+    """``df`` with ``_salt``: rows of a heavy key spread by a hash, or, with ``copy``, repeated for every salt; 0 elsewhere."""
+    names = [f"_h{i}" for i in range(len(by))]
+    same = F.lit(True)
+    for c, h in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(h))
+    tagged = df.join(F.broadcast(heavy.toDF(*names, "_copies")), same, "left")
+    copies = F.coalesce("_copies", F.lit(1))
+    salt = F.explode(F.sequence(F.lit(0), copies - 1)) if copy else F.pmod(F.xxhash64(*df.columns), copies).cast("int")
+    return tagged.withColumn("_salt", salt).drop(*names, "_copies")
+
+
+def salted_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``df`` LEFT JOIN ``table`` on ``key``, where the table has each key once and the rows may pile up on one key
-    (null included): rows are spread over ``salts`` tasks by a hash of the row, and the table, which is smaller, is
-    copied as often."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-    copies = table.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return df.withColumn("_salt", spread).join(copies, [key, "_salt"], "left").drop("_salt")
+    (null included): the rows of heavy keys are spread over as many tasks as their number asks for, and only the
+    table's rows of those keys are copied as often."""
+    heavy = heavy_keys(df, [key])
+    spread, copies = with_salt(df, [key], heavy, copy=False), with_salt(table, [key], heavy, copy=True)
+    return spread.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
 def _first_at_or_below(tree: np.ndarray, leaves: int, begin: np.ndarray, limit: np.ndarray) -> np.ndarray:

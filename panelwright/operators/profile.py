@@ -8,9 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+ACCURACY = 100_000
 LEVELS = [(95, "VERY_HIGH"), (80, "HIGH"), (50, "MEDIUM"), (10, "LOW")]
 
 
+def _fences(df: DataFrame, columns: list[tuple[int, str]]) -> DataFrame:
+    """``i, q1, q3, m``: quartiles (by a sketch of ACCURACY, exact for that many values) and mean of numeric columns."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "i int, q1 double, q3 double, m double")
+    value = {i: F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for i, c in columns}
+    one = df.agg(*[F.percentile_approx(v, [0.25, 0.75], ACCURACY).alias(f"q{i}") for i, v in value.items()], *[F.avg(v).alias(f"m{i}") for i, v in value.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.get(f"q{i}", F.lit(0)).alias("q1"), F.get(f"q{i}", F.lit(1)).alias("q3"), F.col(f"m{i}").alias("m")) for i in value])))
+
+
 def profile(df: DataFrame, dataset: str) -> DataFrame:
     """One row per column: counts, distinct values, ranges, moments, outliers by quartile fences, average length, most
     frequent value, flags.  Null counts as a distinct value and can be most frequent; the mode of several equally
@@ -28,11 +38,11 @@ def profile(df: DataFrame, dataset: str) -> DataFrame:
     counts = df.select(cells.alias("c")).select("c.*").groupBy("i", "column_name", "v", "x").agg(F.count(F.lit(1)).alias("n"))
     real = F.when(~F.isnan("x"), F.col("x"))
     weighted = lambda c: F.sum(c * F.col("n"))
-    fence = counts.groupBy("i").agg(F.expr("percentile(CASE WHEN NOT isnan(x) THEN x END, 0.25, n)").alias("q1"), F.expr("percentile(CASE WHEN NOT isnan(x) THEN x END, 0.75, n)").alias("q3"))
+    fence = _fences(df, [(i, f.name) for i, f in enumerate(df.schema) if f.name in numeric])
     held = F.when(real.isNotNull(), F.col("n"))
-    stats = counts.join(F.broadcast(fence), "i").groupBy("i", "column_name").agg(  # one row per column
+    stats = counts.join(F.broadcast(fence), "i", "left").groupBy("i", "column_name").agg(  # one row per column
         F.sum("n").alias("total_rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.count(F.lit(1)).alias("distinct_count"),
-        F.min(real).alias("lo"), F.max(real).alias("hi"), (weighted(real) / F.nullif(F.sum(held).cast("double"), F.lit(0.0))).alias("mean"), weighted(real * real).alias("sq"), F.sum(held).alias("k"),
+        F.min(real).alias("lo"), F.max(real).alias("hi"), F.max("m").alias("mean"), weighted((real - F.col("m")) * (real - F.col("m"))).alias("sq"), F.sum(held).alias("k"),
         weighted(F.when((real < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (real > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))), 1).otherwise(0)).alias("outliers"),
         (weighted(F.length("v")) / F.nullif(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).cast("double"), F.lit(0.0))).alias("avg_length"),
         F.max("n").alias("mode_count"), F.min_by("v", F.struct(-F.col("n"), F.col("v").isNotNull(), "v")).alias("mode_value"),
@@ -40,7 +50,7 @@ def profile(df: DataFrame, dataset: str) -> DataFrame:
     total = F.col("total_rows")
     pct = lambda c: F.coalesce(F.round(100.0 * c / F.nullif(total.cast("double"), F.lit(0.0)), 2), F.lit(0.0))
     is_number, is_text = F.col("column_name").isin(*numeric, ""), F.col("column_name").isin(*texts, "")
-    spread = F.sqrt(F.greatest(F.col("sq") - F.col("k") * F.col("mean") * F.col("mean"), F.lit(0.0)) / F.nullif((F.col("k") - 1).cast("double"), F.lit(0.0)))
+    spread = F.sqrt(F.col("sq") / F.nullif((F.col("k") - 1).cast("double"), F.lit(0.0)))
     share = pct(F.col("distinct_count"))
     level: Column = F.lit("VERY_LOW")
     for least, name in LEVELS[::-1]:

@@ -6,23 +6,29 @@ are rows put in order; a row's place is the bucket's offset and its place in the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
 
 
 def _bucketed(df: DataFrame, key: str, buckets: int, descending: bool = False) -> DataFrame:
-    """``_b``: which of the equal ranges between the least and the greatest key a row lies in; nulls come last."""
-    lo, hi = df.agg(F.min(F.col(key).cast("double")), F.max(F.col(key).cast("double"))).first()
-    if lo is None or lo == hi:
-        at: Column = F.lit(0)
+    """``_b``: which of the ranges of about equally many keys a row lies in; not-a-numbers come first or last as they
+    sort, nulls last.  Borders are taken from a quantile sketch, so ranges stay even however the keys are skewed."""
+    number = df.withColumn("_key", F.col(key).cast("double"))
+    borders = sorted(set(number.approxQuantile("_key", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    splits = [-math.inf, *[x for x in borders if math.isfinite(x)], math.inf]
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_b", handleInvalid="keep").transform(number)
     else:
-        at = F.floor((F.col(key).cast("double") - F.lit(lo)) / F.lit(hi - lo) * (buckets - 1)).cast("int")
-        at = F.lit(buckets - 1) - at if descending else at
-    return df.withColumn("_b", F.when(F.col(key).isNull(), buckets).otherwise(at))
+        placed = number.withColumn("_b", F.when(F.isnan("_key"), 1.0).otherwise(0.0))
+    at = F.col("_b").cast("int")
+    at = F.lit(buckets) - at if descending else at
+    return placed.withColumn("_b", F.when(F.col(key).isNull(), buckets + 1).otherwise(at)).drop("_key")
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], key: str, out: str, buckets: int = BUCKETS) -> DataFrame:
@@ -43,7 +49,7 @@ def running_sums(df: DataFrame, key: str, sums: Sequence[str], descending: bool
     ``key``."""
     df = _bucketed(df, key, buckets, descending)
     order = F.desc(key) if descending else F.asc(key)
-    totals = df.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # at most buckets + 1 rows
+    totals = df.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # at most buckets + 2 rows
     run = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(run), F.lit(0)).alias(f"_o_{c}") for c in sums])
     inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -40,7 +40,7 @@ def _profile_sql(t: str, columns: dict[str, str]) -> str:
         x = f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END" if number else "CAST(NULL AS DOUBLE)"
         parts.append(f"""SELECT '{c}' AS column_name, count(*) AS total_rows, count({c}) AS non_null, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS distinct_count, round(avg({x}), 4) AS mean_value, round(stddev_samp({x}), 4) AS std_value,
             min({x}) AS min_value, max({x}) AS max_value, CAST({'sum(CASE WHEN ' + x + ' < q1 - 1.5 * (q3 - q1) OR ' + x + ' > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END)' if number else 'NULL'} AS BIGINT) AS outlier_count, {f'round(avg(length({c})), 2)' if k == 's' else 'CAST(NULL AS DOUBLE)'} AS avg_length
-            FROM {t}, (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM {t})""")
+            FROM {t}, (SELECT quantile_disc({x}, 0.25) AS q1, quantile_disc({x}, 0.75) AS q3 FROM {t})""")
     modes = " UNION ALL ".join(f"(SELECT '{c}' AS column_name, count(*) AS mode_count FROM {t} GROUP BY {c} ORDER BY count(*) DESC LIMIT 1)" for c in columns)
     return f"""SELECT column_name, total_rows, non_null, total_rows - non_null AS null_count, round(100.0 * (total_rows - non_null) / total_rows, 2) AS null_pct, CAST(distinct_count AS BIGINT) AS distinct_count, round(100.0 * distinct_count / total_rows, 2) AS distinct_pct,
         CASE WHEN round(100.0 * distinct_count / total_rows, 2) >= 95 THEN 'VERY_HIGH' WHEN round(100.0 * distinct_count / total_rows, 2) >= 80 THEN 'HIGH' WHEN round(100.0 * distinct_count / total_rows, 2) >= 50 THEN 'MEDIUM' WHEN round(100.0 * distinct_count / total_rows, 2) >= 10 THEN 'LOW' ELSE 'VERY_LOW' END AS cardinality,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators.dedupe import latest_per_key
+from panelwright.operators import joins
 from panelwright.operators.joins import asof_join, interval_nearest_join, nearest_holding, pair_sequences, prefer, salted_lookup
 
 T0 = dt.datetime(2024, 1, 1)
@@ -72,7 +73,9 @@ def test_prefer_and_latest(spark):
     assert sorted(map(tuple, latest_per_key(rows, ["k"], ["t", "v"]).fillna(-1).collect())) == [(-1, 1, "n"), (1, 3, "z")]
 
 
-def test_salted_lookup_is_a_left_join(spark):
+@pytest.mark.parametrize("hot", [3, 200_000])
+def test_salted_lookup_is_a_left_join(spark, monkeypatch, hot):
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
     rows = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(40)], "i int, k string")
     table = spark.createDataFrame([("a", 1), ("c", 3)], "k string, v int")
     assert sorted(map(tuple, salted_lookup(rows, table, "k").select("i", "k", "v").collect()), key=str) == sorted(map(tuple, rows.join(table, "k", "left").select("i", "k", "v").collect()), key=str)

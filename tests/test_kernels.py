@@ -92,6 +92,17 @@ def test_row_numbers_and_running_sums(spark):
     assert sums == {k: sum(v for a, _, v in rows if a >= k) for k, _, _ in rows}
 
 
+def test_ranges_of_skewed_keys_are_even(spark):
+    """A rare positive class gives scores near 0; no range may hold most of them."""
+    from panelwright.operators.ranking import _bucketed
+
+    df = spark.range(20000).select((F.pow(F.rand(1), 12) + F.col("id") * 1e-12).alias("k"))
+    sizes = [r["count"] for r in _bucketed(df, "k", 64).groupBy("_b").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 20000 / 64
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-1.0,), (2.0,)], "k double")
+    assert [r["k"] for r in row_numbers(odd, [], "k", "n").orderBy("n").where("k is not null and not isnan(k)").collect()] == [-1.0, 2.0, float("inf")]
+
+
 def test_curves_with_ties_and_one_class(spark):
     df = spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate([(0.9, 1), (0.9, 0), (0.5, 1), (0.1, 0), (None, 1), (0.2, None)])], "id int, s double, y int")
     assert curves.roc_auc(df, "y", "s").first()[0] == pytest.approx((0.5 + 1 + 0 + 1) / 4)
