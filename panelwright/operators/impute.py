@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators.frames import ordered
+from panelwright.operators.joins import join_spreading_nulls
 
 
 def hierarchical_fill(df: DataFrame, value: str, levels: Sequence[Sequence[str]], default: float, out: str, only: Column | None = None, lookup: dict[str, str] | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def hierarchical_fill(df: DataFrame, value: str, levels: Sequence[Sequence[str]]
         known = df.where(" and ".join(f"`{c}` is not null" for c in [*level, value]))
         means = known.groupBy(*level).agg(F.avg(value).alias(f"_avg{i}"))
         by = [(lookup or {}).get(c, c) for c in level]
-        filled = filled.join(means.toDF(*by, f"_avg{i}"), by, "left")
+        filled = join_spreading_nulls(filled, means.toDF(*by, f"_avg{i}"), by)
         source.append(F.col(f"_avg{i}"))
     best = F.coalesce(F.col(value), *source, F.lit(default))
     best = best if only is None else F.when(F.coalesce(only, F.lit(False)), best).otherwise(F.col(value))
@@ -92,4 +93,4 @@ def neighbour_repair(df: DataFrame, by: Sequence[str], bucket: Column, order: Se
 def group_first_fill(df: DataFrame, value: str, group: Sequence[str], default: str, out: str) -> DataFrame:
     """The value, else the smallest of its group (deterministic, unlike "any"), else the default."""
     least = df.where(f"`{value}` is not null").groupBy(*group).agg(F.min(value).alias("_least"))
-    return df.join(least, list(group), "left").withColumn(out, F.coalesce(value, "_least", F.lit(default))).drop("_least")
+    return join_spreading_nulls(df, least, list(group)).withColumn(out, F.coalesce(value, "_least", F.lit(default))).drop("_least")

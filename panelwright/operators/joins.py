@@ -99,6 +99,15 @@ def salted_lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return spread.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
+def join_spreading_nulls(df: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` LEFT JOIN ``table`` on ``by``; rows with a null there match nothing and are spread instead of meeting in one task."""
+    missing = F.lit(False)
+    for c in by:
+        missing = missing | F.col(c).isNull()
+    spread = df.withColumn("_null", F.when(missing, F.pmod(F.xxhash64(*df.columns), F.lit(1024)) + 1).otherwise(0).cast("int"))
+    return spread.join(table.withColumn("_null", F.lit(0)), [*by, "_null"], "left").drop("_null")
+
+
 def _first_at_or_below(tree: np.ndarray, leaves: int, begin: np.ndarray, limit: np.ndarray) -> np.ndarray:
     """For every query the first leaf >= begin whose value is <= limit, or ``leaves``; all queries climb and descend
     the min-tree together."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -57,6 +58,24 @@ def ks_2samp(df: DataFrame, value: str, group: Column) -> DataFrame:
     return c.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.max(gap).alias("statistic"))
 
 
+def two_sample_p_values(df: DataFrame, value: str, group: Column) -> DataFrame:
+    """One row: u and its two-sided p (normal approximation with ties and continuity), the distance of the
+    distributions and its p (limit of Kolmogorov's distribution).  Null where a sample is empty.  The driver gets four sums."""
+    c = _two_samples(df, value, group)
+    t = F.col("a") + F.col("b")
+    u, ks = mann_whitney_u(df, value, group).first(), ks_2samp(df, value, group).first()
+    ties = c.agg(F.sum(t.cast("double") * t * t - t)).first()[0]
+    n1, n2, out = int(u["n1"] or 0), int(u["n2"] or 0), [None, None, None, None]
+    if n1 and n2:
+        n = n1 + n2
+        spread = math.sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))) if n > 1 else 0.0
+        z = max(abs(float(u["u"]) - n1 * n2 / 2) - 0.5, 0.0) / spread if spread else 0.0
+        x = math.sqrt(n1 * n2 / n) * float(ks["statistic"])
+        far = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)) if x > 0.2 else 1.0
+        out = [float(u["u"]), math.erfc(z / math.sqrt(2)), float(ks["statistic"]), min(max(far, 0.0), 1.0)]
+    return df.sparkSession.createDataFrame([tuple(out)], "u double, u_p double, distance double, distance_p double")
+
+
 def rates_by_category(df: DataFrame, category: str, target: Column, k: int | None = None) -> DataFrame:
     """category, rate, n: mean of the target per category; the k highest rates if asked for."""
     out = df.groupBy(category).agg(F.avg(target.cast("double")).alias("rate"), F.count(F.lit(1)).alias("n"))

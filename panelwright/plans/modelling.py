@@ -255,6 +255,34 @@ def gain_lookup(spark, d):
     return out
 
 
+@query(_W + "SELECT label, count(*) AS n, round(avg(CASE WHEN age <= 30 THEN 1.0 ELSE 0.0 END), 6) AS recent_share, round(avg(CASE WHEN age <= 30 THEN age END), 6) AS recent_mean, round(avg(CASE WHEN age >= 60 THEN 1.0 ELSE 0.0 END), 6) AS dormant_share, round(avg(CASE WHEN age >= 60 THEN age END), 6) AS dormant_mean FROM cv2 GROUP BY label")
+def subset_shares(spark, d):
+    """Of each class the share and mean of the rows near the reference day, and of those far from it."""
+    age = F.col("age")
+    parts = {"recent": age <= 30, "dormant": age >= 60}
+    cols = [x for k, c in parts.items() for x in (F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6).alias(f"{k}_share"), F.round(F.avg(F.when(c, age)), 6).alias(f"{k}_mean"))]
+    return _cv(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *cols)
+
+
+@query("SELECT percentile, lift FROM (" + SQL["lift_chart"] + ") ORDER BY lift DESC, percentile LIMIT 1")
+def max_lift(spark, d):
+    """The percentile at which the lift is greatest; of equal ones the first."""
+    lift = lift_chart(spark, d)
+    return lift.agg(F.min_by(F.struct("percentile", "lift"), F.struct(-F.col("lift"), "percentile")).alias("b")).select("b.*")
+
+
+@query("SELECT CAST(t AS INT) AS target_pct, count(*) FILTER (cumulative_pct < t) + 1 AS n FROM (" + SQL["cumulative_importance"] + "), (VALUES (80), (90), (95)) v(t) GROUP BY t")
+def features_for_share(spark, d):
+    """How many of the most important features together reach 80, 90 and 95 % of all importance."""
+    counts = cumulative_importance(spark, d).agg(*[F.sum((F.col("cumulative_pct") < t).cast("long")).alias(f"n{t}") for t in (80, 90, 95)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(t).alias("target_pct"), (F.coalesce(f"n{t}", F.lit(0)) + 1).alias("n")) for t in (80, 90, 95)])))
+
+
+@query()
+def two_sample_p_values(spark, d):
+    return stats.two_sample_p_values(_cv(spark, d), "rate", F.col("label") == 1)
+
+
 # --- models: no SQL says them; they are tested on held-out rows ---------------------------------------------------
 
 def _rows(spark, d):

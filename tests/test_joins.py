@@ -13,8 +13,9 @@ T0 = dt.datetime(2024, 1, 1)
 M = dt.timedelta(minutes=1)
 
 
-@pytest.mark.parametrize("fallback", [False, True])
-def test_asof(spark, fallback):
+@pytest.mark.parametrize("fallback,hot", [(False, 200_000), (True, 200_000), (True, 4)])
+def test_asof(spark, monkeypatch, fallback, hot):
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
     rng = random.Random(1)
     right = [(rng.choice("ab"), rng.randrange(-300, 600), rng.randrange(99)) for _ in range(25)] + [("a", None, 1), (None, 5, 1)]
     left = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-400, 700, 7)])) for i in range(200)]

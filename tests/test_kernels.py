@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -234,3 +235,15 @@ def test_custom_weights_compare_numbers_as_numbers(spark):
     df = spark.createDataFrame([(1.0, "x"), (0.0, "y"), (None, None)], "a double, b string")
     assert [r["weight"] for r in weights.custom(df, "a", {1: 8.0, "0": 2.0}).collect()] == [8.0, 2.0, 1.0]
     assert [r["weight"] for r in weights.custom(df, "b", {"x": 3.0}).collect()] == [3.0, 1.0, 1.0]
+
+
+def test_p_values_of_two_samples(spark):
+    from panelwright.operators import stats
+
+    rows = [(float(i), True) for i in (1, 2, 3, 4, 5, 6, 7, 8)] + [(float(i), False) for i in (5, 6, 7, 8, 9, 10, 11, 12)]
+    df = spark.createDataFrame(rows, "v double, g boolean")
+    r = stats.two_sample_p_values(df, "v", F.col("g")).first()
+    # By hand: U = 8, mean 32, variance 64 / 12 * (17 - 24 / 240); distance 0.5.
+    z = (24 - 0.5) / (64 / 12 * (17 - 24 / 240)) ** 0.5
+    assert r["u"] == 8.0 and r["u_p"] == pytest.approx(math.erfc(z / 2**0.5)) and r["distance"] == 0.5 and 0.2 < r["distance_p"] < 0.3
+    assert stats.two_sample_p_values(df.where("g"), "v", F.col("g")).first()["u_p"] is None
