@@ -327,3 +327,21 @@ def target_leads(spark, d):
 @query(f"WITH {FACTS}, c AS (SELECT member, coalesce(min(CASE WHEN status = 'T' THEN day END), max(CASE WHEN dur > 0 THEN day END), DATE '2099-12-31') AS cut FROM fct GROUP BY member) SELECT member, day, status FROM fct JOIN c USING (member) WHERE day <= cut + 1")
 def tail_clip(spark, d):
     return X.clip_tail(facts_days(spark, d), F.col("status") == "T", F.col("dur") > 0).select(*KEY, "status")
+
+
+_WHOLE = ("rolling_rows_rate", "rolling_worked_avg_std", "trailing_flag_counts", "year_to_date", "weekday_history_rate", "month_history_rate", "conditional_trailing_rates", "forward_window", "lag1_features", "target_leads")
+
+
+@query("SELECT * FROM (" + SQL[_WHOLE[0]] + ") q0 " + " ".join(f"JOIN ({SQL[n]}) q{i} USING (member, day)" for i, n in enumerate(_WHOLE[1:], 1)))
+def attendance_feature_set(spark, d):
+    """The attendance features in one projection: one exchange by member, and as many windows as there are frames."""
+    ns, sick, w = F.col("noshow"), F.col("sick") == 1, F.col("worked")
+    six = lambda cols, places=6: {k: F.round(v, places) for k, v in cols.items()}
+    c = six(X.work_rates()) | six(X.on_worked_days(_M, (7, 30), "avg"), 7) | six(X.on_worked_days(_M, (7, 30), "std"), 5)
+    c |= X.trailing_counts({k: F.expr(v) for k, v in _FLAGS.items()}, (7, 30, 90)) | X.year_to_date("sickDaysThisYear", sick) | X.year_to_date("noShowsThisYear", ns == 1)
+    weekdays = {f"day{k}": F.col("dow") == k for k in range(1, 8)}
+    c |= six(X.history_rates("sickRate", sick, weekdays) | X.history_rates("noShowRate", ns == 1, weekdays | {f"month{k}": F.col("month") == k for k in range(1, 13)}))
+    c |= six(X.trailing_ratio("noShowRate_30d", ns == 1, w | (ns != 0), 30) | X.trailing_ratio("noShowRate_90d", ns == 1, w | (ns != 0), 90))
+    c |= six(X.trailing_ratio("sickBeforeWeekendRate_30d", sick & (F.col("dow") == 6), F.col("dow") == 6, 30) | X.trailing_ratio("sickAfterWeekendRate_30d", sick & (F.col("dow") == 2), F.col("dow") == 2, 30))
+    c |= X.coming_sum("holidaysNext7Days", F.col("holiday") == 1, 7) | X.coming_sum("holidaysNext14Days", F.col("holiday") == 1, 14) | X.lag_columns(_LAGGED) | X.target_leads("noshow", range(1, 8))
+    return attendance_days(spark, d).select(*KEY, *[v.alias(k) for k, v in c.items()])

@@ -16,7 +16,7 @@ from panelwright.operators.requests import request_metrics
 from panelwright.plans.clocking import shifts
 from panelwright.plans.panel import FACTS, KEY, attendance_days, facts_days
 from panelwright.plans.panel import ATTENDANCE as ATT
-from panelwright.sources.tables import table, values
+from panelwright.sources.tables import table, values, write_tables
 
 QUERIES, SQL = {}, {}
 _ID = canonical_id_sql("maskedMatchId")
@@ -41,29 +41,41 @@ def _profile_sql(t: str, columns: dict[str, str]) -> str:
         parts.append(f"""SELECT '{c}' AS column_name, count(*) AS total_rows, count({c}) AS non_null, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS distinct_count, round(avg({x}), 4) AS mean_value, round(stddev_samp({x}), 4) AS std_value,
             min({x}) AS min_value, max({x}) AS max_value, CAST({'sum(CASE WHEN ' + x + ' < q1 - 1.5 * (q3 - q1) OR ' + x + ' > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END)' if number else 'NULL'} AS BIGINT) AS outlier_count, {f'round(avg(length({c})), 2)' if k == 's' else 'CAST(NULL AS DOUBLE)'} AS avg_length
             FROM {t}, (SELECT quantile_disc({x}, 0.25) AS q1, quantile_disc({x}, 0.75) AS q3 FROM {t})""")
-    modes = " UNION ALL ".join(f"(SELECT '{c}' AS column_name, count(*) AS mode_count FROM {t} GROUP BY {c} ORDER BY count(*) DESC LIMIT 1)" for c in columns)
+    # The text of a number or a time is written differently by the engines, so only texts and whole numbers are compared.
+    modes = " UNION ALL ".join(f"(SELECT '{c}' AS column_name, count(*) AS mode_count, {f'substr(CAST({c} AS VARCHAR), 1, 50)' if k in 'is' else 'CAST(NULL AS VARCHAR)'} AS mode_value FROM {t} GROUP BY {c} ORDER BY count(*) DESC, {c} IS NOT NULL, CAST({c} AS VARCHAR) LIMIT 1)" for c, k in columns.items())
+    kinds = {"i": "bigint", "d": "double", "s": "string"}
+    types = "CASE column_name " + " ".join(f"WHEN '{c}' THEN '{kinds[k]}'" for c, k in columns.items() if k != "t") + " END"
     return f"""SELECT column_name, total_rows, non_null, total_rows - non_null AS null_count, round(100.0 * (total_rows - non_null) / total_rows, 2) AS null_pct, CAST(distinct_count AS BIGINT) AS distinct_count, round(100.0 * distinct_count / total_rows, 2) AS distinct_pct,
         CASE WHEN round(100.0 * distinct_count / total_rows, 2) >= 95 THEN 'VERY_HIGH' WHEN round(100.0 * distinct_count / total_rows, 2) >= 80 THEN 'HIGH' WHEN round(100.0 * distinct_count / total_rows, 2) >= 50 THEN 'MEDIUM' WHEN round(100.0 * distinct_count / total_rows, 2) >= 10 THEN 'LOW' ELSE 'VERY_LOW' END AS cardinality,
-        min_value, max_value, mean_value, std_value, outlier_count, avg_length, mode_count, CASE WHEN total_rows > non_null THEN 'Yes' ELSE 'No' END AS has_nulls, CASE WHEN distinct_count = total_rows THEN 'Yes' ELSE 'No' END AS potential_unique_key
+        min_value, max_value, mean_value, std_value, outlier_count, round(100.0 * outlier_count / total_rows, 2) AS outlier_pct, avg_length, mode_count, mode_value, CAST({len(columns)} AS INT) AS total_columns, {types} AS data_type,
+        CASE WHEN coalesce(outlier_count, 0) > 0 THEN 'Yes' ELSE 'No' END AS has_outliers, CASE WHEN round(100.0 * distinct_count / total_rows, 2) > 80 THEN 'Yes' ELSE 'No' END AS high_cardinality, CASE WHEN total_rows > non_null THEN 'Yes' ELSE 'No' END AS has_nulls, CASE WHEN distinct_count = total_rows THEN 'Yes' ELSE 'No' END AS potential_unique_key
         FROM ({' UNION ALL '.join(parts)}) JOIN ({modes}) USING (column_name)"""
 
 
-_PROFILED = ["column_name", "total_rows", "non_null", "null_count", "null_pct", "distinct_count", "distinct_pct", "cardinality", "min_value", "max_value", "mean_value", "std_value", "outlier_count", "avg_length", "mode_count", "has_nulls", "potential_unique_key"]
+_PROFILED = [
+    "column_name", "total_rows", "non_null", "null_count", "null_pct", "distinct_count", "distinct_pct", "cardinality", "min_value", "max_value", "mean_value", "std_value", "outlier_count", "outlier_pct", "avg_length",
+    "mode_count", "total_columns", "has_nulls", "has_outliers", "high_cardinality", "potential_unique_key",
+]
+
+
+def _profiled(df):
+    named = F.col("data_type").isin("int", "bigint", "double", "string")
+    return df.select(*_PROFILED, F.when(F.col("data_type").isin("int", "bigint", "string"), F.col("mode_value")).alias("mode_value"), F.when(named, F.regexp_replace("data_type", "^int$", "bigint")).alias("data_type"))
 
 
 @query(_profile_sql("events", {"event_id": "i", "ts": "t", "user_id": "i", "event_type": "s", "value": "d", "props": "s"}))
 def profile_events(spark, d):
-    return profile(table(spark, d, "events"), "events").select(*_PROFILED)
+    return _profiled(profile(table(spark, d, "events"), "events"))
 
 
 @query(_profile_sql("jobs", {"maskedMatchId": "s", "company": "s", "locationId": "s", "department": "s", "standardDailyHours": "d", "standardWeeklyHours": "d", "effectiveDate": "t", "managersMatchValue": "s", "payType": "s", "hrStatus": "s", "employmentType": "s", "accrualStartDate": "t"}))
 def profile_jobs(spark, d):
-    return profile(table(spark, d, "jobs"), "jobs").select(*_PROFILED)
+    return _profiled(profile(table(spark, d, "jobs"), "jobs"))
 
 
 @query()
 def profile_datasets(spark, d):
-    return profile_all(spark, {t: table(spark, d, t) for t in ("jobs", "shift", "swipe", "attendance", "facts", "cv")})
+    return profile_all(spark, {t: table(spark, d, t) for t in ("jobs", "shift", "swipe", "attendance", "facts", "cv", "member_alias", "org_units")})
 
 
 @query(f"WITH {FACTS} SELECT member, day, max(fnoshow) AS noShow, max(fsick) AS sick, max(unpaid) AS unpaid, max(vac) AS vacation FROM (SELECT {_ID} AS member, CAST(date AS DATE) AS day, noShow AS fnoshow, isSickTime AS fsick, isUnpaidTime AS unpaid, isVacationTime AS vac FROM facts) GROUP BY member, day")
@@ -266,6 +278,18 @@ def literal_relation(spark, d):
     return values(spark, [(k, *v) for k, v in SHIFT_HOURS.items()], "shift string, from_hour int, to_hour int")
 
 
+@query("SELECT 'nation' AS name, count(*) AS n, CAST(sum(n_regionkey) AS BIGINT) AS total FROM nation UNION ALL SELECT 'region', count(*), CAST(sum(r_regionkey) AS BIGINT) FROM region")
+def sink_roundtrip(spark, d):
+    """Two tables through the sink of named tables and back, in the folder of intermediate results."""
+    from panelwright.session import folder_of
+
+    where = f"{folder_of(spark)}/sink_roundtrip_{spark.sparkContext.applicationId}"
+    write_tables({name: table(spark, d, name) for name in ("nation", "region")}, where)
+    back = lambda name, c: table(spark, where, name).select(F.lit(name).alias("name"), F.col(c).alias("k"))
+    both = back("nation", "n_regionkey").unionByName(back("region", "r_regionkey"))
+    return both.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("k").cast("long").alias("total"))
+
+
 @query("SELECT CAST(range AS BIGINT) AS percentile FROM range(0, 101)")
 def series_generator(spark, d):
     return spark.range(0, 101).toDF("percentile")

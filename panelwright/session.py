@@ -28,18 +28,24 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def folder_of(spark: SparkSession) -> str:
+    """Where intermediate results are kept: the folder the cluster names in ``spark.checkpoint.dir``.  Where none is
+    named, a session on one machine (tests, a laptop) gets a temporary one; on a cluster that is an error, since machines
+    do not share such a folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "panelwright-checkpoints"))
+    return sc.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df`` with a reliable checkpoint in :func:`folder_of`.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where none is named, a session on one machine
-    (tests, a laptop) gets a temporary one; on a cluster that is an error, since machines do not share such a folder.
     With ``spark.cleaner.referenceTracking.cleanCheckpoints``, which has to be set when a session starts (``SETTINGS``),
     Spark removes the files once nothing refers to them.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "panelwright-checkpoints"))
+    folder_of(df.sparkSession)
     return df.checkpoint(eager=True)
