@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.session import materialise
 
+ONE_TASK = 100_000  # different links that one task puts together at once; more take rounds, with the same result
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links in one task: union by the smaller id, with path halving."""
+    up: dict = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(up.setdefault(u, u)), top(up.setdefault(v, v))
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), kind), pa.array([top(x) for x in up], kind)], ["id", "component"])
+
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``id, component``: every id of a link, with the smallest id it is linked to, directly or through others.
@@ -15,9 +39,15 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     that whole trees move on, and then takes its label's label, so chains halve.  It goes on until nothing changes:
     labels only fall, so it ends, whatever the links are.  A hub costs one pre-aggregated group.
     Links with a null end and links of an id to itself tie nothing; repeated links and either direction are one.
+
+    Up to ONE_TASK links, which is no more than a few MB, are put together by one task; that spares the rounds.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = materialise(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    once = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if once.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        kind = once.schema["u"].dataType.simpleString()
+        return once.coalesce(1).mapInArrow(_put_together, f"id {kind}, component {kind}")
+    both = once.unionByName(once.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("low")).select("id", F.least("id", "low").alias("label")))
     while True:
         heard = both.join(labels, F.col("v") == F.col("id")).groupBy(F.col("u").alias("id")).agg(F.min("label").alias("heard"))

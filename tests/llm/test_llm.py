@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm import mixture, packing, quality, runs, splits, tokens
+from panelwright.llm import components, mixture, packing, quality, runs, splits, tokens
 from panelwright.llm.components import connected_components
 from panelwright.llm.nearest_time import match_nearest_time
 
@@ -16,7 +16,9 @@ S = dt.timedelta(seconds=1)
 
 # --- splits -------------------------------------------------------------------------------------------------------
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)]
     star = [("hub", f"s{i}") for i in range(60)]
     links = [*chain, *chain[:9], *star, ("s1", "hub"), ("x", "x"), (None, "y"), ("z", None)]
@@ -27,7 +29,9 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
 
-def test_long_chains_of_ids_settle(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_long_chains_of_ids_settle(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     ids = [f"{i:03d}" for i in range(400)]
     random.Random(5).shuffle(ids)
     links = spark.createDataFrame(list(zip(ids, ids[1:])), "a string, b string").coalesce(1)
