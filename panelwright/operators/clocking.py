@@ -64,41 +64,44 @@ def one_shift_a_day(schedule: DataFrame) -> DataFrame:
     return usable.groupBy(*KEY).agg(first).select(*KEY, "s.start", "s.end")
 
 
-def match_to_shifts(events: DataFrame, schedule: DataFrame, kind: str) -> DataFrame:
-    """``events`` (event_id, member, at) with ``workDate``: clock-ins go to the shift whose start is nearest, from 18
-    hours before to 6 hours after it; clock-outs to the shift whose end is nearest, from its start to 12 hours after
-    its end; what fits no shift to its own date, or the day before if it is before 6 o'clock."""
-    shifts = schedule.withColumn("_id", F.unix_date("workDate"))
-    if kind == "in":
-        lo, hi, anchor = F.col("start") - hours(18), F.col("start") + hours(6), F.col("start")
-    else:
-        lo, hi, anchor = F.col("start"), F.col("end") + hours(12), F.col("end")
-    joined = interval_nearest_join(events, "event_id", "member", "at", shifts, "_id", lo, hi, anchor).withColumn("at", _moment("at"))
+def match_to_shifts(events: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``events`` (event_id, member, at, code: 1 clock-in, 4 clock-out) with ``workDate`` and ``matched``: clock-ins go to the
+    shift whose start is nearest, from 18 hours before to 6 hours after it; clock-outs to the shift whose end is nearest,
+    from its start to 12 hours after its end; what fits no shift to its own date, or the day before if it is before 6
+    o'clock.  Both are one pass: a member's clock-ins and clock-outs are two entities with intervals of their own."""
+    of = lambda code: F.concat(code.cast("string"), F.lit("|"), F.col("member"))
+    ways = [(1, F.col("start") - hours(18), F.col("start") + hours(6), F.col("start")), (4, F.col("start"), F.col("end") + hours(12), F.col("end"))]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), lo.alias("lo"), hi.alias("hi"), anchor.alias("anchor")) for c, lo, hi, anchor in ways])).alias("w")
+    shifts = schedule.select("member", F.unix_date("workDate").alias("_id"), each).select(of(F.col("w.code")).alias("who"), "_id", "w.lo", "w.hi", "w.anchor")
+    points = events.select("event_id", of(F.col("code")).alias("who"), "at")
+    joined = interval_nearest_join(points, "event_id", "who", "at", shifts, "_id", F.col("lo"), F.col("hi"), F.col("anchor")).withColumn("at", _moment("at"))
     own = F.date_sub(F.to_date("at"), F.when(F.hour("at") < 6, 1).otherwise(0))
-    return joined.select("event_id", "member", "at", F.coalesce(F.date_from_unix_date(F.col("_id").cast("int")), own).alias("workDate"), F.col("_id").isNotNull().alias("matched"))
+    day = F.coalesce(F.date_from_unix_date(F.col("_id").cast("int")), own)
+    code, member = F.substring("who", 1, 1).cast("int"), F.expr("substring(who, 3)")
+    return joined.select("event_id", member.alias("member"), "at", code.alias("code"), day.alias("workDate"), F.col("_id").isNotNull().alias("matched"))
 
 
-def clock_pairs(ins: DataFrame, outs: DataFrame) -> DataFrame:
+def clock_pairs(matched: DataFrame) -> DataFrame:
     """First clock-in and last clock-out of every member and work day that has either (a full outer join as one
-    aggregate over the union)."""
-    both = ins.select(*KEY, F.col("at").alias("clockIn"), F.lit(None).cast("timestamp_ntz").alias("clockOut"))
-    both = both.unionByName(outs.select(*KEY, F.lit(None).cast("timestamp_ntz").alias("clockIn"), F.col("at").alias("clockOut")))
-    return both.where("member is not null and workDate is not null").groupBy(*KEY).agg(F.min("clockIn").alias("clockIn"), F.max("clockOut").alias("clockOut"))
+    aggregate)."""
+    of = lambda code: F.when(F.col("code") == code, F.col("at"))
+    rows = matched.where("member is not null and workDate is not null")
+    return rows.groupBy(*KEY).agg(F.min(of(1)).alias("clockIn"), F.max(of(4)).alias("clockOut"))
 
 
 def attach_meals(meals: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``member, workDate, at``: each meal event goes to the day whose clock pair holds it, and of several to the one
+    """``event_id, member, workDate, at``: each meal event goes to the day whose clock pair holds it, and of several to the one
     clocked in last before the meal.  A pair without clock-out reaches 16 hours from its clock-in.  A pair without
     clock-in has no lower bound and comes after all others: such a meal goes to the pair clocked out first after it."""
     full = pairs.where("clockIn is not null").withColumns({"_hi": F.coalesce(F.col("clockOut"), F.col("clockIn") + hours(16)), "_id": F.unix_date("workDate")})
     found = interval_nearest_join(meals, "event_id", "member", "at", full, "_id", F.col("clockIn"), F.col("_hi"), F.col("clockIn"))
     day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
-    held = found.where("_id is not null").select("member", day("_id").alias("workDate"), _moment("at").alias("at"))
+    held = found.where("_id is not null").select("event_id", "member", day("_id").alias("workDate"), _moment("at").alias("at"))
     # Backwards in time, the next clock-out is the last one before; of pairs clocked out at once the earlier day.
-    rest = found.where("_id is null and member is not null").select("member", "at", (-F.col("at")).alias("back"))
+    rest = found.where("_id is null and member is not null").select("event_id", "member", "at", (-F.col("at")).alias("back"))
     outs = pairs.where("clockIn is null and clockOut is not null").select("member", (-F.unix_micros(F.col("clockOut").cast("timestamp"))).alias("_u"), F.unix_date("workDate").alias("_day"), (-F.unix_date("workDate")).alias("_tie"))
     late = asof_join(rest, outs, ["member"], "back", "_u", ["_day"], tie=["_tie"], bucket=64 * 86_400_000_000)
-    return held.unionByName(late.where("_day is not null").select("member", day("_day").alias("workDate"), _moment("at").alias("at")))
+    return held.unionByName(late.where("_day is not null").select("event_id", "member", day("_day").alias("workDate"), _moment("at").alias("at")))
 
 
 def meal_breaks(meal_ins: DataFrame, meal_outs: DataFrame) -> DataFrame:
@@ -161,10 +164,13 @@ def day_metrics(days: DataFrame, schedule: DataFrame) -> DataFrame:
 
 def clock_metrics(swipes: DataFrame, schedule: DataFrame) -> dict[str, DataFrame]:
     """The whole way; ``swipes``: event_id, member, at, code; ``schedule``: member, workDate, start, end (one a day)."""
-    of = lambda code: swipes.where(F.col("code") == code).select("event_id", "member", "at")
-    ins, outs = match_to_shifts(of(1), schedule, "in"), match_to_shifts(of(4), schedule, "out")
-    pairs = materialise(clock_pairs(ins, outs))  # each is read several times below
-    meal_ins, meal_outs = materialise(attach_meals(of(2), pairs)), materialise(attach_meals(of(3), pairs))
+    schedule = materialise(schedule)
+    matched = match_to_shifts(swipes.where("code in (1, 4)"), schedule)
+    pairs = materialise(clock_pairs(matched))  # read several times below
+    # Both meal events go one way; which they are is kept in their id.
+    meals = swipes.where("code in (2, 3)").select((F.col("event_id") * 4 + F.col("code")).alias("event_id"), "member", "at")
+    attached = materialise(attach_meals(meals, pairs).withColumn("code", F.pmod("event_id", F.lit(4))))
+    meal_ins, meal_outs = (attached.where(F.col("code") == code).select(*KEY, "at") for code in (2, 3))
     meals = meal_breaks(meal_ins, meal_outs)
     days = pairs.join(meals.drop("completeness"), KEY, "full_outer")
-    return {"ins": ins, "outs": outs, "pairs": pairs, "meal_ins": meal_ins, "meal_outs": meal_outs, "meals": meals, "days": day_metrics(days, schedule)}
+    return {"schedule": schedule, "matched": matched, "pairs": pairs, "meal_ins": meal_ins, "meal_outs": meal_outs, "meals": meals, "days": day_metrics(days, schedule)}

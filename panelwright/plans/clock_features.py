@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import features as X
 from panelwright.operators.frames import trailing_rows
 from panelwright.operators.groups import trailing_group_stats
-from panelwright.plans.clocking import CHAIN, metrics, schedule
+from panelwright.plans.clocking import CHAIN, metrics
 from panelwright.plans.features import _days, _rows
 from panelwright.plans.panel import KEY, facts_days
 
@@ -39,8 +39,9 @@ SAME_DAY = ("worked", "clockIn", "clockOut", "mealIn", "mealOut", *LAGGED[:13],
 
 def clock_panel(spark: SparkSession, d: str) -> DataFrame:
     """One row per member and clocked day: its metrics, exceptions, and what the facts of the day say."""
-    days = metrics(spark, d)["days"].withColumnRenamed("workDate", "day")
-    ends = schedule(spark, d).select("member", F.col("workDate").alias("day"), F.col("end").alias("_end"))
+    found = metrics(spark, d)
+    days = found["days"].withColumnRenamed("workDate", "day")
+    ends = found["schedule"].select("member", F.col("workDate").alias("day"), F.col("end").alias("_end"))
     facts = facts_days(spark, d).select(*KEY, "dept", "loc", "shift", "dur", F.col("fsick").alias("isSick"), F.col("unpaid").alias("isUnpaid"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     joined = days.join(ends, KEY, "left").join(facts, KEY, "left")

@@ -67,20 +67,20 @@ def anti_precedence_union(spark, d):
     return prefer(real, synthetic, C.KEY).select("member", "workDate", *_t("start", "end"), "origin")
 
 
-def _matched(spark, d, code, kind):
-    return C.match_to_shifts(swipes(spark, d).where(F.col("code") == code).select("event_id", "member", "at"), schedule(spark, d), kind)
+def _matched(spark, d, *codes):
+    return C.match_to_shifts(swipes(spark, d).where(F.col("code").isin(*codes)), schedule(spark, d))
 
 
 def interval_join_nearest_in(spark, d):
-    return _matched(spark, d, 1, "in").select("event_id", "member", "workDate", "matched")
+    return _matched(spark, d, 1).select("event_id", "member", "workDate", "matched")
 
 
 def interval_join_nearest_out(spark, d):
-    return _matched(spark, d, 4, "out").select("event_id", "member", "workDate", "matched")
+    return _matched(spark, d, 4).select("event_id", "member", "workDate", "matched")
 
 
 def full_outer_envelope(spark, d):
-    return C.clock_pairs(_matched(spark, d, 1, "in"), _matched(spark, d, 4, "out")).select("member", "workDate", *_t("clockIn", "clockOut"))
+    return C.clock_pairs(_matched(spark, d, 1, 4)).select("member", "workDate", *_t("clockIn", "clockOut"))
 
 
 def meal_attach_disjunctive(spark, d):

@@ -206,6 +206,7 @@ def test_meals_go_to_the_last_clock_in_and_to_pairs_without_one_last(spark):
     at = {1: ("a", t(4, 12)), 2: ("a", t(1, 12)), 3: ("a", t(6, 23)), 4: ("a", t(7, 12)), 5: ("a", t(10, 12)), 6: ("b", t(4, 2)), 7: ("c", t(4, 2)), 8: (None, t(4, 12)), 9: ("a", None)}
     meals = spark.createDataFrame([(k, *v) for k, v in at.items()], "event_id long, member string, at timestamp_ntz")
     out = sorted((r["member"], r["at"], r["workDate"].day) for r in attach_meals(meals, pairs).collect())
+    assert sorted(r["event_id"] for r in attach_meals(meals, pairs).collect()) == [1, 2, 3, 4]
     assert out == [("a", t(1, 12), 5), ("a", t(4, 12), 4), ("a", t(6, 23), 6), ("a", t(7, 12), 9)]
 
 
