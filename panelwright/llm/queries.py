@@ -154,14 +154,16 @@ def p8_tree_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_characters(spark: SparkSession, d: str) -> DataFrame:
     """A mixture by characters, which SQL can count too: what the sources can give, who is short, and that the mixture
-    is as large as all documents (less than 0.1 % away) and uses no document more often than its source allows."""
+    is as large as it is to be (less than a median document away) and uses no document more often than its source allows."""
     uses, report = _mixture(spark, d, by_chars=True)
     most = uses.groupBy("leaf").agg(F.max("uses").alias("uses"))
     names = report.select("source", "leaf").distinct()
     rows = _by_source(report).join(names, "source").join(most, "leaf", "left")
-    whole = F.sum("reached_share").over(Window.partitionBy(F.lit(1)))  # over one row per source
+    every = Window.partitionBy(F.lit(1))  # over one row per source
+    off = F.sum("budget_tokens").over(every) - F.sum("drawn_tokens").over(every)
+    typical = table(spark, d, "documents").agg(F.percentile_approx(F.length("text"), 0.5)).first()[0] or 0
     return rows.select(
-        "source", F.col("available_tokens").alias("available"), "short", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(whole - 1) < 0.001).alias("whole"),
+        "source", F.col("available_tokens").alias("available"), "short", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(off) <= typical).alias("whole"),
     )
 
 
