@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from panelwright.session import materialise
 
 HOT_CELLS = 100_000  # a group with more missing cells is hot: its message is copied, and its cells are spread over the copies
+FEW = 100_000  # groups of cells not yet settled that are handed to all tasks
 MOST_HOT = 1 << 18  # there are fewer hot groups than this, however many cells there are
 TIE_BITS = 6  # of a group's key
 ALL = (1 << TIE_BITS) - 1  # the tie of all records, for what is said overall
@@ -128,10 +129,14 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
         lacking = lacking | F.col(f"m_{f.name}")
     records = rows.where(lacking & F.col("_key").isNotNull()).groupBy("_key")
     records = materialise(records.agg(*[F.max(f"m_{c}").alias(f"m_{c}") for c in names], *[F.max(f"g_{i}").alias(f"g_{i}") for i in range(len(ties))]))
-    tied_to = lambda c: F.array(*[F.struct(F.col(f"g_{i}").alias("g"), F.lit(float(t.weight)).alias("w")) for i, t in enumerate(ties) if c in t.fields]).cast("array<struct<g:bigint,w:double>>")
-    cell_structs = [F.struct(F.lit(fid[c]).alias("fid"), F.col(f"m_{c}").alias("missing"), tied_to(c).alias("ties")) for c in names]
-    cells = records.select("_key", F.inline(F.array(*cell_structs))).where("missing")
-    tied = cells.select("_key", "fid", F.inline("ties")).where("g is not null")
+    missing = [F.struct(F.lit(fid[c]).alias("fid"), F.col(f"m_{c}").alias("missing")) for c in names]
+    cells = records.select("_key", F.inline(F.array(*missing))).where("missing").drop("missing")
+    ways = [(c, i, t) for i, t in enumerate(ties) for c in names if c in t.fields]
+    if ways:
+        each = [F.struct(F.lit(fid[c]).alias("fid"), F.when(F.col(f"m_{c}"), F.col(f"g_{i}")).alias("g"), F.lit(float(t.weight)).alias("w")) for c, i, t in ways]
+        tied = materialise(records.select("_key", F.inline(F.array(*each))).where("g is not null"))
+    else:
+        tied = df.sparkSession.createDataFrame([], cells.schema.add("g", "long").add("w", "double"))
     n_ties = tied.count()
     hot, by = None, ["g", "fid"]  # how ties and messages meet
     if n_ties > HOT_CELLS:
@@ -187,9 +192,12 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
             settled.append(before)
             break
         if done > 1:  # settled cells are never asked again; what they say stays with the groups of the others
-            fixed = tell(now.where(~rest), active)
-            active = materialise(active.join(now.where(~rest).select("_key", "fid").distinct(), ["_key", "fid"], "left_anti"))
-            observed = materialise(summed(observed.unionByName(fixed).join(active.select("g", "fid").distinct(), ["g", "fid"], "left_semi")))
+            rest_of = materialise(active.join(now.where(~rest).select("_key", "fid").distinct(), ["_key", "fid"], "left_anti"))
+            groups = rest_of.select("g", "fid").distinct()
+            groups = F.broadcast(groups) if rest_of.count() <= FEW else groups
+            fixed = tell(now.where(~rest), active.join(groups, ["g", "fid"], "left_semi"))
+            observed = materialise(summed(observed.join(groups, ["g", "fid"], "left_semi").unionByName(fixed)))
+            active = rest_of
         said = summed(observed.unionByName(tell(before, active)))
 
     # Greatest share first; shares are compared to nine places, so that the order of summation decides nothing.
