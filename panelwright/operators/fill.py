@@ -167,11 +167,10 @@ def propagate_fills(df: DataFrame, key: str, fields: Sequence[Field], ties: Sequ
     done = 0
     while rounds is None or done < rounds:
         done += 1
-        message = said.withColumn("total", F.when(is_number, F.col("mass") * mixed).otherwise(F.lit(0.0)))
-        message = message.groupBy("g", "fid").agg(F.sum("mass").alias("all"), F.collect_list(F.struct("value", "mass", "total")).alias("says"))
+        message = said.withColumns({"total": F.when(is_number, F.col("mass") * mixed).otherwise(F.lit(0.0)), "all": F.sum("mass").over(Window.partitionBy("g", "fid"))})
         if hot is not None:
             message = message.join(hot, ["g", "fid"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
-        heard = active.join(message, by).select("_key", "fid", "w", "all", F.inline("says"))
+        heard = active.join(message, by)
         scale = F.col("w") / F.col("all")
         none = F.lit(None).cast("double")
         heard = heard.select("_key", "fid", "value", (scale * F.col("mass")).alias("q"), (scale * F.col("total")).alias("x"), none.alias("was"), none.alias("was_number"))
