@@ -12,7 +12,7 @@ from panelwright.llm.packing import pack_items
 from panelwright.llm.quality import text_quality
 from panelwright.llm.runs import collapse_runs
 from panelwright.llm.splits import grouped_splits
-from panelwright.llm.tokens import with_token_counts
+from panelwright.llm.tokens import piece_contents, with_token_counts
 from panelwright.sources.tables import table
 
 CAPACITY = 2048
@@ -98,6 +98,13 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack_items(with_token_counts(table(spark, d, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
 
 
+def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the texts that had to be divided: their container, tokens and content."""
+    contents = piece_contents(table(spark, d, "documents"), "doc_id", "text", CAPACITY)
+    placed = p7_packing(spark, d).select("doc_id", "piece", "length", "shard", "bin")
+    return contents.join(placed, ["doc_id", "piece"]).select("doc_id", "piece", "n_tokens", "length", "shard", "bin", F.length("content").alias("bytes"), F.sha2("content", 256).alias("content_sha"))
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """How full the containers are, by the number of containers and tokens."""
     bins = p7_packing(spark, d).groupBy("shard", "bin").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("pieces"))
@@ -268,6 +275,6 @@ SQL = {
 QUERIES = {
     "p2_split_rows": p2_split_rows, "p2_split_report": p2_split_report, "p2_split_people": p2_split_people, "p2_split_quotas": p2_split_quotas, "p2_found": p2_found, "p4_nearest_shift": p4_nearest_shift,
     "p4_found": p4_found, "p5_stretches": p5_stretches, "p5_found": p5_found, "p5_similar_days": p5_similar_days, "p5_similar_cover": p5_similar_cover,
-    "p7_packing": p7_packing, "p7_containers": p7_containers, "p7_characters": p7_characters, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_tree_shares": p8_tree_shares, "p8_characters": p8_characters, "p8_found": p8_found,
+    "p7_packing": p7_packing, "p7_pieces": p7_pieces, "p7_containers": p7_containers, "p7_characters": p7_characters, "p7_found": p7_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p8_tree_shares": p8_tree_shares, "p8_characters": p8_characters, "p8_found": p8_found,
     "p9_statistics": p9_statistics, "p9_structure": p9_structure, "p9_found": p9_found,
 }

@@ -15,11 +15,12 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 PIECE = 20_000  # characters handed to the tokenizer at once
 
 
-def _counter(vocabulary: str) -> Callable[[str], int]:
-    """Loaded once per Python worker: kept beside the tokenizer's own module, since this one may travel by value."""
+def _coder(vocabulary: str) -> Callable[[str], Iterator[tuple[object, list[int]]]]:
+    """Loaded once per Python worker: kept beside the tokenizer's own module, since this one may travel by value.  Gives
+    the tokenizer with the tokens of one part of the text after the other."""
     import tiktoken
 
-    loaded = vars(tiktoken).setdefault("_loaded_counters", {})
+    loaded = vars(tiktoken).setdefault("_loaded_coders", {})
     if vocabulary not in loaded:
         import base64
 
@@ -31,20 +32,25 @@ def _counter(vocabulary: str) -> Callable[[str], int]:
         # A cut before white space that follows something else is a border of the pre-tokenizer too.
         border = regex.compile(r"(?<=\S)(?=\s\S)")
 
-        def count(text: str) -> int:
-            total, at = 0, 0
+        def parts(text: str) -> Iterator[tuple[object, list[int]]]:
+            at = 0
             while len(text) - at > PIECE:
                 cut = border.search(text, at + PIECE)
                 if cut is None:
                     break
-                total += len(coder.encode_ordinary(text[at : cut.start()]))
+                yield coder, coder.encode_ordinary(text[at : cut.start()])
                 at = cut.start()
-            return total + len(coder.encode_ordinary(text[at:]))
+            yield coder, coder.encode_ordinary(text[at:])
 
-        loaded[vocabulary] = count
+        loaded[vocabulary] = parts
     return loaded[vocabulary]
 
 
+def _counter(vocabulary: str) -> Callable[[str], int]:
+    parts = _coder(vocabulary)
+    return lambda text: sum(len(tokens) for _, tokens in parts(text))
+
+
 def with_token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns and ``n_tokens``: the number of tokens of the whole text; null and empty texts have 0.
 
@@ -60,3 +66,29 @@ def with_token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str
     rows = df.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]) + ", n_tokens long"
     return rows.mapInArrow(run, schema)
+
+
+def piece_contents(df: DataFrame, key: str, text: str, capacity: int, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``key, piece, n_tokens, content`` of every piece of the texts that are longer than ``capacity`` tokens: pieces of
+    ``capacity`` tokens and a rest, as :func:`panelwright.llm.packing.pack_items` counts them.
+
+    ``content`` holds the bytes of these tokens.  Joined in order of ``piece`` they are the text in UTF-8, byte for byte; a
+    piece by itself may begin or end within a character.  Null and short texts have no pieces; rows that repeat a key have
+    theirs each; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _coder(vocabulary)
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                tokens, coder = [], None
+                for coder, more in parts(t or ""):
+                    tokens += more
+                if len(tokens) <= capacity:
+                    continue
+                pieces = [tokens[k : k + capacity] for k in range(0, len(tokens), capacity)]
+                arrays = [pa.array(range(len(pieces)), pa.int64()), pa.array(map(len, pieces), pa.int64()), pa.array(map(coder.decode_bytes, pieces), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(pieces))), *arrays], [key, "piece", "n_tokens", "content"])
+
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[0].dataType.simpleString()}, piece long, n_tokens long, content binary")

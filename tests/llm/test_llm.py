@@ -379,9 +379,23 @@ def test_token_counts_of_pieces_are_exact(spark, monkeypatch):
     import tiktoken
 
     monkeypatch.setattr(tokens, "PIECE", 100)
-    vars(tiktoken).pop("_loaded_counters")
+    vars(tiktoken).pop("_loaded_coders")
     assert tokens._counter(tokens.VOCABULARY)(text) == a
-    vars(tiktoken).pop("_loaded_counters")
+    vars(tiktoken).pop("_loaded_coders")
+
+
+def test_pieces_joined_are_the_text(spark):
+    rng = random.Random(11)
+    text = "".join(rng.choice(["word", " word", "\n\n", "!?", " 123", "ünï", "日本", "🙂", " "]) for _ in range(3000))
+    rows = [(1, text), (2, None), (3, ""), (4, "short"), (1, "日" * 900)]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("piece", F.lit("clash"))
+    out = sorted(tokens.piece_contents(df, "id", "text", 100).collect(), key=lambda r: (r["id"], r["piece"]))
+    assert {r["id"] for r in out} == {1}
+    one = sorted(tokens.piece_contents(df.where("id = 1 and text like '%word%'"), "id", "text", 100).collect(), key=lambda r: r["piece"])
+    assert b"".join(bytes(r["content"]) for r in one) == text.encode() and [r["n_tokens"] for r in one[:-1]] == [100] * (len(one) - 1) and 0 < one[-1]["n_tokens"] <= 100
+    counted = tokens.with_token_counts(df.where("id = 1 and text like '%word%'"), "text", ["id"]).first()["n_tokens"]
+    assert sum(r["n_tokens"] for r in one) == counted
+    assert tokens.piece_contents(df.limit(0), "id", "text", 100).count() == 0
 
 
 # --- quality ------------------------------------------------------------------------------------------------------

@@ -45,6 +45,12 @@ def test_containers_hold_every_token_once(spark):
     assert packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("length").alias("x")).where("n > 1 and x <= 2048").count() == 0
 
 
+def test_pieces_are_those_that_were_packed(spark):
+    pieces = Q.p7_pieces(spark, str(FOLDER)).collect()
+    packed = Q.p7_packing(spark, str(FOLDER)).groupBy("doc_id").count().where("count > 1").collect()
+    assert len(pieces) == sum(r["count"] for r in packed) and all(r["n_tokens"] == r["length"] <= 2048 for r in pieces)
+
+
 def test_mixture_keeps_to_repeats(spark):
     uses, shares = Q.p8_mixture(spark, str(FOLDER)), Q.p8_shares(spark, str(FOLDER))
     targets = spark.read.parquet(f"{FOLDER}/source_targets.parquet")
