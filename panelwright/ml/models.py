@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.ml import evaluation, spaces
+from panelwright.ml import cells, evaluation, spaces
 from panelwright.ml.tuning import random_search, space_size
 
 @dataclass(frozen=True)
@@ -68,7 +68,8 @@ def feature_stages(continuous: Sequence[str] = (), binary: Sequence[str] = (), c
 
 
 def train(df: DataFrame, family: str, target: str, stages: Sequence, params: dict, weight: str | None = None, seed: int = 42, features: str = "features") -> PipelineModel:
-    """Stages and estimator fitted together; the list of stages is left as it is."""
+    """Stages and estimator fitted together; the list of stages is left as it is.  Forests and boosted trees of classes are
+    grown from counts of all rows by bins (:mod:`panelwright.ml.cells`), or by Spark where these would be too many."""
     fam = FAMILIES[family]
     settings = dict(params)
     if family == "mlp":
@@ -84,7 +85,12 @@ def train(df: DataFrame, family: str, target: str, stages: Sequence, params: dic
         estimator.setParams(seed=seed)
     if weight and fam.weights:
         estimator.setParams(weightCol=weight)
-    return Pipeline(stages=[*stages, estimator]).fit(df.withColumn(target, F.col(target).cast("double")))
+    df = df.withColumn(target, F.col(target).cast("double"))
+    if family in ("rf", "gbt"):
+        prepared = Pipeline(stages=list(stages)).fit(df)
+        ready = prepared.transform(df)
+        return PipelineModel([*prepared.stages, cells.fit(ready, estimator, family, target, weight, features) or estimator.fit(ready)])
+    return Pipeline(stages=[*stages, estimator]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, family: str) -> DataFrame:
@@ -95,9 +101,13 @@ def predict(model: PipelineModel, df: DataFrame, family: str) -> DataFrame:
 
 
 def metrics(pred: DataFrame, family: str, target: str) -> dict[str, float | None]:
-    if FAMILIES[family].classifier:
-        return evaluation.classification_metrics(pred, target, "prediction", "score")
-    return evaluation.regression_metrics(pred, target, "prediction")
+    """Of predictions that are made once, however many passes the metrics take."""
+    fam = FAMILIES[family]
+    kept = pred.select(target, "prediction", *(["score"] if fam.score else [])).persist()
+    try:
+        return evaluation.classification_metrics(kept, target, "prediction", "score") if fam.classifier else evaluation.regression_metrics(kept, target, "prediction")
+    finally:
+        kept.unpersist()
 
 
 def cross_validate(
