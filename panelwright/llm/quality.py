@@ -8,7 +8,7 @@ diverges least from the stretch's.  Basic counts stand beside.  A text counts as
 belong to.
 
 The structural profiles that everything starts from are set by hand.  The prose profiles of the languages, and how often each
-uses its function words, are fitted to the prose of a bounded sample of the very documents (``sample_rows``).
+uses its function words, are fitted to the prose of all the very documents, in a pass of their own.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -387,25 +388,64 @@ def fit_profiles(texts: Iterable[str | None], common_words: dict[str, Iterable[s
     """The profiles set by hand, and for every language with at least ``least`` stretches of eight or more words that
     are nearest to prose: their mean distributions as a further prose profile, and how often they use each of the
     language's function words."""
-    languages = Languages({lang: frozenset(words) for lang, words in common_words.items()})
-    profiles = Profiles(languages)
+    profiles = hand_set(common_words)
+    return _fitted(profiles, _prose(list(texts), profiles), least)
+
+
+_UNIT = 2**40  # shares are added as whole numbers of this part, so the sum does not depend on the order
+
+
+def hand_set(common_words: dict[str, Iterable[str]]) -> Profiles:
+    return Profiles(Languages({lang: frozenset(words) for lang, words in common_words.items()}))
+
+
+def _prose(texts: list[str | None], profiles: Profiles) -> Counter[tuple[str, str, str]]:
+    """Of the stretches nearest to prose, by language: ``count``, ``words``, ``share`` sums by place, ``used`` by function word."""
     parts = [(form, part) for text in texts for form, part in stretches(_lines(text)) if form != "fence"]
-    measured = [measure(part, form, languages) for form, part in parts]
-    kinds = profiles.nearest([form for form, _ in parts], np.array([m[0] for m in measured]))
+    measured = [measure(part, form, profiles.languages) for form, part in parts]
+    table = np.array([m[0] for m in measured])
     prose: dict[str, list[int]] = {}
-    for i, (kind, (_, lang, words)) in enumerate(zip(kinds, measured)):
+    for i, (kind, (_, lang, words)) in enumerate(zip(profiles.nearest([form for form, _ in parts], table), measured)):
         if kind == "prose" and lang and len(words) >= 8:
             prose.setdefault(lang, []).append(i)
+    out: Counter[tuple[str, str, str]] = Counter()
+    for lang, which in prose.items():
+        counts = Counter(chain.from_iterable(measured[i][2] for i in which))
+        out[lang, "count", ""], out[lang, "words", ""] = len(which), counts.total()
+        out.update({(lang, "share", str(i)): int(n) for i, n in enumerate(np.rint(table[which] * _UNIT).astype(np.int64).sum(axis=0)) if n})
+        out.update({(lang, "used", w): counts[w] for w in profiles.languages.words[lang] & counts.keys()})
+    return out
+
+
+def _fitted(profiles: Profiles, sums: dict[tuple[str, str, str], int], least: int = 20) -> Profiles:
+    languages = profiles.languages
     rows, used = [], {}
-    for lang, which in sorted(prose.items()):
-        if len(which) >= least:
-            rows.append(np.mean([measured[i][0] for i in which], axis=0))
-            counts = Counter(w for i in which for w in measured[i][2])
-            used[lang] = {w: counts[w] / counts.total() for w in languages.words[lang]}
+    for lang in sorted(languages.words):
+        n = sums.get((lang, "count", ""), 0)
+        if n and n >= least:
+            rows.append(np.array([sums.get((lang, "share", str(i)), 0) / (n * _UNIT) for i in range(len(WORDS) + len(CHARS))]))
+            used[lang] = {w: sums.get((lang, "used", w), 0) / sums[lang, "words", ""] for w in languages.words[lang]}
     table = np.vstack([profiles.table, *rows]) if rows else profiles.table
     return Profiles(Languages(languages.words, used), profiles.kinds + ["prose"] * len(rows), table)
 
 
+def fit_documents(df: DataFrame, text: str, common_words: dict[str, list[str]]) -> Profiles:
+    """:func:`fit_profiles` over all rows: sums per batch beside the scan, then per language and word; the driver gets one row of each."""
+    profiles = hand_set(common_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: Counter[tuple[str, str, str]] = Counter()
+            for at in range(0, batch.num_rows, 1000):
+                sums.update(_prose(batch.column(0).slice(at, 1000).to_pylist(), profiles))
+            if sums:
+                yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in sums], pa.string()) for i in range(3)], pa.array(sums.values(), pa.int64())], ["lang", "what", "name", "n"])
+
+    own = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(run, "lang string, what string, name string, n long")
+    found = own.groupBy("lang", "what", "name").agg(F.sum(F.col("n").cast("decimal(20,0)")).alias("n")).collect()
+    return _fitted(profiles, {(r["lang"], r["what"], r["name"]): int(r["n"]) for r in found})
+
+
 STRUCTURE = "language string, prose_chars long, list_chars long, table_chars long, junk_chars long, code_chars long, structure string"
 
 
@@ -462,24 +502,22 @@ def text_statistics(text: Column, common_words: dict[str, list[str]]) -> dict[st
     }
 
 
-def text_quality(df: DataFrame, key: str, text: str, common_words: dict[str, list[str]], counts: bool = True, structure: bool = True, sample_rows: int = 2000) -> DataFrame:
+def text_quality(df: DataFrame, key: str, text: str, common_words: dict[str, list[str]], counts: bool = True, structure: bool = True) -> DataFrame:
     """``key`` and, for every row: with ``counts`` those of :func:`text_statistics`; with ``structure`` the language (of
     most prose), the characters of each structure, and the structure with most.
 
     The whole text is read.  Null and empty texts have counts and shares 0, no language and structure ``empty``.
     Rows are described one by one: repeated rows and further columns change nothing; an empty table gives no rows.
-    One pass beside the scan, no shuffle; counts are Spark expressions, only the structure is found in Python.
+    Two passes beside the scan, the first to fit; counts are Spark expressions, only the structure is found in Python.
     ``common_words``: the frequent words of each language, a fixed list.
 
-    Language profiles are fitted to ``sample_rows`` rows, those with the least hash of key and text, wherever they are
-    stored; they are all the driver gets.
+    Language profiles are fitted to all rows (:func:`fit_documents`); the driver gets one row per language and function word.
     """
     statistics = text_statistics(F.col(text), common_words) if counts else {}
     rows = df.select(F.col(key), *[c.alias(n) for n, c in statistics.items()], F.col(text).cast("string").alias("_text"))
     if not structure:
         return rows.drop("_text")
-    hashed = df.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(key), F.col(text)).alias("_h"), F.col(text).cast("string").alias("_text"))
-    profiles = fit_profiles([r["_text"] for r in hashed.orderBy("_h", "_text").limit(sample_rows).collect()], common_words)
+    profiles = fit_documents(df, text, common_words)
     names = [x.split()[0] for x in STRUCTURE.split(", ")]
     kinds = [pa.int64() if x.endswith("long") else pa.string() for x in STRUCTURE.split(", ")]
 

@@ -481,3 +481,13 @@ def test_nearest_profile_is_that_of_least_divergence():
 
 def test_divergence():
     assert quality.divergence([1, 0], [0, 1]) == pytest.approx(1) and quality.divergence([0.5, 0.5], [0.5, 0.5]) == 0
+
+
+def test_profiles_are_fitted_to_all_documents(spark):
+    """The last of 2,300 documents count as much as the first; batches and files change nothing."""
+    texts = [f"the house of the man is {w} and it was in the {w} by the road to the town" for w in ("old", "new")] * 1140 + [None, ""] + ["when will you come with us and where are we to go from here"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(5)
+    fitted, whole = quality.fit_documents(df, "text", COMMON), quality.fit_profiles(texts, COMMON)
+    assert (fitted.table == whole.table).all() and fitted.kinds == whole.kinds and fitted.languages.used == whole.languages.used
+    out = {r["id"]: tuple(r)[1:] for r in quality.text_quality(df, "id", "text", COMMON, counts=False).collect()}
+    assert [out[i] for i in range(len(texts))] == quality.describe(texts, whole)
