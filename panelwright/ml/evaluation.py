@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.curves import average_precision, roc_auc
+from panelwright.operators.curves import areas
 
 
 def label_counts(pred: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -31,29 +31,46 @@ def confusion_pivot(pred: DataFrame, label: str, prediction: str) -> DataFrame:
     return c.groupBy("actual").pivot("predicted").sum("n").fillna(0).withColumnRenamed("actual", label)
 
 
+def classification_metrics_by(pred: DataFrame, by: str, label: str, prediction: str, score: str | None) -> dict[int, dict[str, float | None]]:
+    """For each value of ``by``: accuracy, weighted precision, recall and f1; auROC and auPR if there is a score and both
+    classes occur."""
+    known = pred.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    counts = known.groupBy(by, F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pair of classes
+    both = {g for g in {r[by] for r in counts} if len({r["actual"] for r in counts if r[by] == g}) == 2}
+    under = {r[by]: r for r in areas(pred, label, score, by)} if score and both else {}
+    found = {}
+    for g in {r[by] for r in counts}:
+        rows = [r for r in counts if r[by] == g]
+        n = sum(r["n"] for r in rows)
+        out: dict[str, float | None] = dict.fromkeys(("auROC", "auPR", "accuracy", "precision", "recall", "f1", "rmse", "mae", "r2"))
+        weighted = [0.0, 0.0, 0.0]
+        for c in {r["actual"] for r in rows}:
+            hit = sum(r["n"] for r in rows if r["actual"] == r["predicted"] == c)
+            a, p = sum(r["n"] for r in rows if r["actual"] == c), sum(r["n"] for r in rows if r["predicted"] == c)
+            precision, recall = hit / p if p else 0.0, hit / a
+            f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+            weighted = [w + a / n * x for w, x in zip(weighted, (precision, recall, f1))]
+        out |= {"accuracy": sum(r["n"] for r in rows if r["actual"] == r["predicted"]) / n, "precision": weighted[0], "recall": weighted[1], "f1": weighted[2]}
+        if g in both and g in under:
+            out["auROC"], out["auPR"] = under[g]["auc"], under[g]["average_precision"]
+        found[g] = out
+    return found
+
+
 def classification_metrics(pred: DataFrame, label: str, prediction: str, score: str | None) -> dict[str, float | None]:
-    """accuracy, weighted precision, recall and f1; auROC and auPR if there is a score and both classes occur."""
-    rows = label_counts(pred, label, prediction).collect()  # one row per pair of classes
-    n = sum(r["n"] for r in rows)
-    out: dict[str, float | None] = dict.fromkeys(("auROC", "auPR", "accuracy", "precision", "recall", "f1", "rmse", "mae", "r2"))
-    if not n:
-        return out
-    weighted = [0.0, 0.0, 0.0]
-    for c in {r["actual"] for r in rows}:
-        hit = sum(r["n"] for r in rows if r["actual"] == r["predicted"] == c)
-        a, p = sum(r["n"] for r in rows if r["actual"] == c), sum(r["n"] for r in rows if r["predicted"] == c)
-        precision, recall = hit / p if p else 0.0, hit / a
-        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-        weighted = [w + a / n * x for w, x in zip(weighted, (precision, recall, f1))]
-    out |= {"accuracy": sum(r["n"] for r in rows if r["actual"] == r["predicted"]) / n, "precision": weighted[0], "recall": weighted[1], "f1": weighted[2]}
-    if score and len({r["actual"] for r in rows}) == 2:
-        out["auROC"], out["auPR"] = roc_auc(pred, label, score).first()[0], average_precision(pred, label, score).first()[0]
-    return out
+    found = classification_metrics_by(pred.withColumn("_of", F.lit(0)), "_of", label, prediction, score)
+    return found.get(0) or dict.fromkeys(("auROC", "auPR", "accuracy", "precision", "recall", "f1", "rmse", "mae", "r2"))
 
 
-def regression_metrics(pred: DataFrame, label: str, prediction: str) -> dict[str, float | None]:
+def regression_metrics_by(pred: DataFrame, by: str, label: str, prediction: str) -> dict[int, dict[str, float | None]]:
     y, e = F.col(label).cast("double"), F.col(label).cast("double") - F.col(prediction)
-    r = pred.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("rss"), (F.sum(y * y) - F.count(y) * F.avg(y) * F.avg(y)).alias("tss")).first()
-    out: dict[str, float | None] = dict.fromkeys(("auROC", "auPR", "accuracy", "precision", "recall", "f1"))
-    mse = r["mse"]
-    return out | {"rmse": None if mse is None else mse**0.5, "mae": r["mae"], "r2": None if not r["tss"] else 1 - r["rss"] / r["tss"]}
+    found = {}
+    for r in pred.groupBy(by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("rss"), (F.sum(y * y) - F.count(y) * F.avg(y) * F.avg(y)).alias("tss")).collect():
+        out: dict[str, float | None] = dict.fromkeys(("auROC", "auPR", "accuracy", "precision", "recall", "f1"))
+        found[r[by]] = out | {"rmse": None if r["mse"] is None else r["mse"] ** 0.5, "mae": r["mae"], "r2": None if not r["tss"] else 1 - r["rss"] / r["tss"]}
+    return found
+
+
+def regression_metrics(pred: DataFrame, label: str, prediction: str) -> dict[str, float | None]:
+    found = regression_metrics_by(pred.withColumn("_of", F.lit(0)), "_of", label, prediction)
+    return found.get(0) or dict.fromkeys(("auROC", "auPR", "accuracy", "precision", "recall", "f1", "rmse", "mae", "r2"))

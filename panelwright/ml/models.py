@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -19,8 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.ml import cells, evaluation, spaces
-from panelwright.ml.tuning import random_search, space_size
+from panelwright.ml import cells, evaluation, nets, spaces
+from panelwright.ml.tuning import METRICS, random_search, space_size
 
 @dataclass(frozen=True)
 class Family:
@@ -67,15 +67,10 @@ def feature_stages(continuous: Sequence[str] = (), binary: Sequence[str] = (), c
     return [*stages, VectorAssembler(inputCols=parts, outputCol=out)]
 
 
-def train(df: DataFrame, family: str, target: str, stages: Sequence, params: dict, weight: str | None = None, seed: int = 42, features: str = "features") -> PipelineModel:
-    """Stages and estimator fitted together; the list of stages is left as it is.  Forests and boosted trees of classes are
-    grown from counts of all rows by bins (:mod:`panelwright.ml.cells`), or by Spark where these would be too many."""
+def _estimator(family: str, target: str, params: dict, weight: str | None, seed: int, features: str, width: int = 0, classes: int = 2) -> Estimator:
     fam = FAMILIES[family]
     settings = dict(params)
     if family == "mlp":
-        prepared = Pipeline(stages=list(stages)).fit(df)
-        width = len(prepared.transform(df).select(features).first()[0])
-        classes = int(df.agg(F.max(F.col(target).cast("int"))).first()[0]) + 1
         settings["layers"] = [width, *settings.pop("hidden", (16,)), max(classes, 2)]
     if family == "glm" and settings.get("family") != "tweedie":
         settings.pop("variancePower", None)
@@ -85,12 +80,31 @@ def train(df: DataFrame, family: str, target: str, stages: Sequence, params: dic
         estimator.setParams(seed=seed)
     if weight and fam.weights:
         estimator.setParams(weightCol=weight)
+    return estimator
+
+
+def _shape(ready: DataFrame, family: str, target: str, features: str) -> dict[str, int]:
+    """Inputs and classes of a net."""
+    if family != "mlp":
+        return {}
+    return {"width": len(ready.select(features).first()[0]), "classes": int(ready.agg(F.max(F.col(target).cast("int"))).first()[0]) + 1}
+
+
+def train(df: DataFrame, family: str, target: str, stages: Sequence, params: dict, weight: str | None = None, seed: int = 42, features: str = "features") -> PipelineModel:
+    """Stages and estimator fitted together; the list of stages is left as it is.  Forests and boosted trees of classes are
+    grown from counts of all rows by bins (:mod:`panelwright.ml.cells`), or by Spark where these would be too many; nets are
+    fitted by :mod:`panelwright.ml.nets`."""
     df = df.withColumn(target, F.col(target).cast("double"))
-    if family in ("rf", "gbt"):
+    if family in ("rf", "gbt", "mlp"):
         prepared = Pipeline(stages=list(stages)).fit(df)
         ready = prepared.transform(df)
-        return PipelineModel([*prepared.stages, cells.fit(ready, estimator, family, target, weight, features) or estimator.fit(ready)])
-    return Pipeline(stages=[*stages, estimator]).fit(df)
+        estimator = _estimator(family, target, params, weight, seed, features, **_shape(ready, family, target, features))
+        if family == "mlp":
+            model = nets.fit_all([ready], [(0, estimator)], target, features)[0] if nets.can_fit(estimator) else estimator.fit(ready)
+        else:
+            model = cells.fit(ready, estimator, family, target, weight, features) or estimator.fit(ready)
+        return PipelineModel([*prepared.stages, model])
+    return Pipeline(stages=[*stages, _estimator(family, target, params, weight, seed, features)]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, family: str) -> DataFrame:
@@ -100,16 +114,21 @@ def predict(model: PipelineModel, df: DataFrame, family: str) -> DataFrame:
     return out if fam.score is None else out.withColumn("score", vector_to_array(fam.score)[1])
 
 
-def metrics(pred: DataFrame, family: str, target: str) -> dict[str, float | None]:
-    """Of predictions that are made once, however many passes the metrics take."""
+def metrics_by(pred: DataFrame, by: str, family: str, target: str) -> dict[int, dict[str, float | None]]:
+    """Metrics of the predictions of each of ``by``, which are made once, however many passes the metrics take."""
     fam = FAMILIES[family]
-    kept = pred.select(target, "prediction", *(["score"] if fam.score else [])).persist()
+    kept = pred.select(by, target, "prediction", *(["score"] if fam.score else [])).persist()
     try:
-        return evaluation.classification_metrics(kept, target, "prediction", "score") if fam.classifier else evaluation.regression_metrics(kept, target, "prediction")
+        return evaluation.classification_metrics_by(kept, by, target, "prediction", "score" if fam.score else None) if fam.classifier else evaluation.regression_metrics_by(kept, by, target, "prediction")
     finally:
         kept.unpersist()
 
 
+def metrics(pred: DataFrame, family: str, target: str) -> dict[str, float | None]:
+    found = metrics_by(pred.withColumn("_of", F.lit(0)), "_of", family, target)
+    return found.get(0) or dict.fromkeys(METRICS)
+
+
 def cross_validate(
     df: DataFrame, family: str, target: str, stages: Sequence, fold: str = "fold_id", weight: str | None = None, n: int = 50, overrides: dict[str, Sequence] | None = None, seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
@@ -123,17 +142,40 @@ def cross_validate(
     combos = random_search(space, min(n, max(1, int(space_size(space) * fam.share))), seed)
     df = df.cache()
     folds = sorted(r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().collect())
+    ready: dict[int, tuple[PipelineModel, DataFrame, dict[str, int]]] = {}
+
+    def prepare(k: int) -> None:  # what does not depend on the parameters, once a fold
+        training, test = df.where(F.col(fold) != k).withColumn(target, F.col(target).cast("double")), df.where(F.col(fold) == k)
+        if not (training.isEmpty() or test.isEmpty()):
+            prepared = Pipeline(stages=list(stages)).fit(training)
+            rows = prepared.transform(training)
+            ready[k] = prepared, rows, _shape(rows, family, target, "features")
 
-    def one(job: tuple[dict, int]) -> dict | None:
+    def one(job: tuple[dict, int]) -> Model:
         combo, k = job
-        training, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        if training.isEmpty() or test.isEmpty():
-            return None
-        model = train(training, family, target, stages, combo, weight, seed)
-        return {**{p: json.dumps(v) if isinstance(v, tuple) else str(v) for p, v in combo.items()}, "fold": k, **metrics(predict(model, test, family), family, target)}
+        estimator = _estimator(family, target, combo, weight, seed, "features", **ready[k][2])
+        own = cells.fit(ready[k][1], estimator, family, target, weight) if family in ("rf", "gbt") else None
+        return own or estimator.fit(ready[k][1])
 
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = [r for r in pool.map(one, [(c, k) for c in combos for k in folds]) if r]
+        list(pool.map(prepare, folds))
+        folds = [k for k in folds if k in ready]
+        jobs = [(c, k) for c in combos for k in folds]
+        made: dict[int, Model] = {}
+        if family == "mlp" and jobs:
+            estimators = {i: _estimator(family, target, c, weight, seed, "features", **ready[k][2]) for i, (c, k) in enumerate(jobs)}
+            own = [i for i, e in estimators.items() if nets.can_fit(e)]
+            if own:
+                made = dict(zip(own, nets.fit_all([ready[k][1] for k in folds], [(folds.index(jobs[i][1]), estimators[i]) for i in own], target)))
+        rest = [i for i in range(len(jobs)) if i not in made]
+        made |= dict(zip(rest, pool.map(one, [jobs[i] for i in rest])))
+    pred = None
+    for i, (_, k) in enumerate(jobs):
+        tested = predict(PipelineModel([*ready[k][0].stages, made[i]]), df.where(F.col(fold) == k), family)
+        tested = tested.select(F.lit(i).alias("_of"), F.col(target), "prediction", *(["score"] if fam.score else []))
+        pred = tested if pred is None else pred.unionByName(tested)
+    measured = metrics_by(pred, "_of", family, target) if jobs else {}
+    rows = [{**{p: json.dumps(v) if isinstance(v, tuple) else str(v) for p, v in combo.items()}, "fold": k, **measured.get(i, {})} for i, (combo, k) in enumerate(jobs)]
     df.unpersist()
     schema = ", ".join([*(f"{p} string" for p in space), "fold int", *(f"{m} double" for m in ("auROC", "auPR", "accuracy", "precision", "recall", "f1", "rmse", "mae", "r2"))])
     names = [x.split()[0] for x in schema.split(", ")]
@@ -149,20 +191,23 @@ def importances(model: PipelineModel, pred: DataFrame, features: str = "features
     return pred.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def evaluate(model: PipelineModel, test: DataFrame, family: str, target: str, params: dict) -> dict[str, DataFrame | None]:
-    """``performance`` (one row), ``predictions``, ``class_metrics``, ``confusion`` and ``importances`` (else None)."""
+def evaluate(model: PipelineModel, test: DataFrame, family: str, target: str, params: dict, parts: Sequence[str] | None = None) -> dict[str, DataFrame | None]:
+    """``performance`` (one row), ``predictions``, ``class_metrics``, ``confusion`` and ``importances`` (else None); only
+    ``parts``, if they are named, as some take passes over the predictions before anybody reads them."""
     pred = predict(model, test, family)
-    spark = test.sparkSession
-    m = metrics(pred, family, target)
-    row = {**{p: str(v) for p, v in params.items()}, **m}
-    schema = ", ".join(f"{k} {'string' if k in params else 'double'}" for k in row)
     fam = FAMILIES[family]
-    return {
-        "performance": spark.createDataFrame([tuple(row.values())], schema), "predictions": pred,
-        "class_metrics": evaluation.class_metrics(pred, target, "prediction") if fam.classifier else None,
-        "confusion": evaluation.confusion_pivot(pred, target, "prediction") if fam.classifier else None,
-        "importances": importances(model, pred) if hasattr(model.stages[-1], "featureImportances") else None,
+
+    def performance() -> DataFrame:
+        row = {**{p: str(v) for p, v in params.items()}, **metrics(pred, family, target)}
+        return test.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if k in params else 'double'}" for k in row))
+
+    made = {
+        "performance": performance, "predictions": lambda: pred,
+        "class_metrics": lambda: evaluation.class_metrics(pred, target, "prediction") if fam.classifier else None,
+        "confusion": lambda: evaluation.confusion_pivot(pred, target, "prediction") if fam.classifier else None,
+        "importances": lambda: importances(model, pred) if hasattr(model.stages[-1], "featureImportances") else None,
     }
+    return {k: f() for k, f in made.items() if parts is None or k in parts}
 
 
 def select_features(df: DataFrame, columns: Sequence[str], target: str, weight: str | None = None, classifier: bool = True, n: int = 60, trees: int = 200, depth: int = 10, seed: int = 42) -> tuple[list[str], DataFrame]:

@@ -29,11 +29,12 @@ def reduce_features(df: DataFrame, target: str, columns: Sequence[str], categori
 
 
 def run_model(
-    df: DataFrame, family: str, target: str, stages: Sequence, key: str, params: dict | None = None, n: int = 4, metric: str | None = None, weight: str | None = "weight", seed: int = 42, **search,
+    df: DataFrame, family: str, target: str, stages: Sequence, key: str, params: dict | None = None, n: int = 4, metric: str | None = None, weight: str | None = "weight", seed: int = 42, parts: Sequence[str] | None = None, **search,
 ) -> dict[str, DataFrame | None]:
     """Over rows of :func:`prepare_training`: ``search`` results (unless ``params`` are given), ``performance``,
     ``predictions``, ``class_metrics``, ``confusion``, ``importances`` and, for classifiers, ``pr_curve``,
-    ``roc_curve``, ``lift`` and ``threshold_counts`` of the holdout, by score, not by hard prediction."""
+    ``roc_curve``, ``lift`` and ``threshold_counts`` of the holdout, by score, not by hard prediction.
+    ``parts``: the names of those that are wanted, if not all."""
     training, holdout = df.where("is_test = 0"), df.where("is_test = 1")
     out: dict[str, DataFrame | None] = {"search": None}
     if params is None:
@@ -42,8 +43,12 @@ def run_model(
         best = tuning.best_parameters(out["search"], models.FAMILIES[family].classifier, metric)["parameters"]
         params = {p: next(v for v in space[p] if str(v) == str(best[p]) or str(list(v) if isinstance(v, tuple) else v) == str(best[p])) for p in space}
     model = models.train(training, family, target, stages, params, weight, seed)
-    out |= models.evaluate(model, holdout, family, target, params)
+    out |= models.evaluate(model, holdout, family, target, params, parts)
     if models.FAMILIES[family].classifier:
-        pred = out["predictions"]
-        out |= {"pr_curve": curves.pr_curve(pred, target, "score"), "roc_curve": curves.roc_curve(pred, target, "score"), "lift": curves.lift_chart(pred, target, "score", key), "threshold_counts": curves.confusion(pred, target, "score")}
+        pred = models.predict(model, holdout, family)
+        made = {
+            "pr_curve": lambda: curves.pr_curve(pred, target, "score"), "roc_curve": lambda: curves.roc_curve(pred, target, "score"),
+            "lift": lambda: curves.lift_chart(pred, target, "score", key), "threshold_counts": lambda: curves.confusion(pred, target, "score"),
+        }
+        out |= {k: f() for k, f in made.items() if parts is None or k in parts}
     return out

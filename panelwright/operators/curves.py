@@ -3,7 +3,7 @@ accumulated, so the curve's size is the number of different scores and no window
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.ranking import row_numbers, running_sums
@@ -82,6 +82,23 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     return c.agg(F.sum(_share(F.col("pos"), F.col("all_pos")) * (precision + prior) / 2).alias("average_precision"))
 
 
+def areas(df: DataFrame, label: str, score: str, by: str) -> list[Row]:
+    """``by``, auc, average_precision, one row for each value of ``by``, of which there are few: what :func:`roc_auc` and
+    :func:`average_precision` say of its rows."""
+    rows = df.select(F.col(by), F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label")).where("score is not null and not isnan(score) and label is not null")
+    points = rows.groupBy(by, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")).persist()
+    try:
+        c = running_sums(points, "score", ["pos", "neg"], by=[by])
+        tp, fp = F.col("cum_pos"), F.col("cum_neg")
+        pos0, neg0 = tp - F.col("pos"), fp - F.col("neg")
+        precision = _share(tp, tp + fp)
+        prior = F.coalesce(_share(pos0, pos0 + neg0), precision)
+        wins = F.sum(F.col("neg") * (tp - F.col("pos") / 2.0))
+        return c.groupBy(by).agg(_share(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"), _share(F.sum(F.col("pos") * (precision + prior) / 2), F.sum("pos")).alias("average_precision")).collect()
+    finally:
+        points.unpersist()
+
+
 def calibration(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """bin (1..bins over the scores' range), rows, mean score, share of positives."""
     rows = df.select(F.col(score).cast("double").alias("s"), (F.col(label) == 1).cast("int").alias("y")).where("s is not null and not isnan(s) and y is not null")

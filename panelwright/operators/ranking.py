@@ -44,14 +44,14 @@ def row_numbers(df: DataFrame, by: Sequence[str], key: str, out: str, buckets: i
     return placed.withColumn(out, F.col(out) + F.col("_before")).drop("_b", "_ob", "_before", *[f"_by{i}" for i in range(len(by))])
 
 
-def running_sums(df: DataFrame, key: str, sums: Sequence[str], descending: bool = True, buckets: int = BUCKETS) -> DataFrame:
+def running_sums(df: DataFrame, key: str, sums: Sequence[str], descending: bool = True, buckets: int = BUCKETS, by: Sequence[str] = ()) -> DataFrame:
     """``cum_{c}`` for each of ``sums``: its total over all rows up to this one in the order of the numeric, unique
-    ``key``."""
+    ``key``; within each group of ``by``, if that is given (few groups, none null)."""
     df = _bucketed(df, key, buckets, descending)
     order = F.desc(key) if descending else F.asc(key)
-    totals = df.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # at most buckets + 2 rows
-    run = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(run), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    inside = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), "_b")
+    totals = df.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # at most buckets + 2 rows a group
+    run = Window.partitionBy(*by or [F.lit(0)]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{c}").over(run), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), [*by, "_b"])
     return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_o_{c}") for c in sums}).drop("_b", *[f"_o_{c}" for c in sums])

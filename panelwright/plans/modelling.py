@@ -311,7 +311,7 @@ def _run(family: str):
         folds = materialise(encode.temporal_folds(cv.drop("fold_id"), "date", "label", "row_id"))
         target, inputs = ("label", _FEATURES) if models.FAMILIES[family].classifier else ("hours", _HOURS)
         search = {} if family in FIXED else {"n": SETS, "overrides": NARROWED.get(family, {})}
-        return runs.run_model(folds, family, target, models.feature_stages(**inputs), "row_id", FIXED.get(family), **search)["performance"]
+        return runs.run_model(folds, family, target, models.feature_stages(**inputs), "row_id", FIXED.get(family), parts=["performance"], **search)["performance"]
 
     f.__name__ = f"train_{family}"
     return f
