@@ -152,37 +152,51 @@ def _split(w: np.ndarray, layers: list[int]) -> list[np.ndarray]:
 
 
 def loss(w: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """The sum of the cross entropy over the rows, and then of its gradient."""
-    parts, total = _split(w, layers), 0.0
-    sums = [np.zeros_like(p) for p in parts]
+    """The sum of the cross entropy over the rows, and then of its gradient.
+
+    Rows are columns here.  A sigmoid is (1 + tanh(z / 2)) / 2; what is kept is the tanh, the rest goes into the weights.
+    """
+    parts, total, last = _split(w, layers), 0.0, len(layers) - 2
+    heads = []
+    for i, p in enumerate(parts):
+        of, bias = (p[:-1], p[-1]) if not i else (p[:-1] / 2, p[-1] + p[:-1].sum(axis=0) / 2)
+        scale = 0.5 if i < last else 1.0
+        heads.append(np.ascontiguousarray(np.vstack([of, bias]).T) * scale)
+    sums = [np.zeros((q, p + 1)) for p, q in zip(layers, layers[1:])]
+    turned = np.ascontiguousarray(x.T)
+    chunk = min(chunk, len(y))
+    kept = [np.ones((q + 1, chunk)) for q in layers[1:-1]]  # with a last row of ones, as the rows have
+    slopes, backs = ([np.empty((q, chunk)) for q in layers[1:-1]] for _ in range(2))
     for at in range(0, len(y), chunk):
-        a, label = [x[at : at + chunk]], y[at : at + chunk]
-        for i, p in enumerate(parts):
-            z = a[-1] @ p if not i else a[-1] @ p[:-1] + p[-1]
-            if i < len(parts) - 1:
-                z *= 0.5
+        label, n = y[at : at + chunk], min(chunk, len(y) - at)
+        a = [turned[:, at : at + chunk], *[k[:, :n] for k in kept]]
+        for i, h in enumerate(heads):
+            if i < last:
+                z = a[i + 1][:-1]
+                np.matmul(h, a[i], out=z)
                 np.tanh(z, out=z)
-                z += 1
-                z *= 0.5
-                a.append(z)
-        z -= z.max(axis=1, keepdims=True)
+            else:
+                z = h @ a[i]
+        z -= z.max(axis=0)
         rows = np.arange(len(label))
-        mine = z[rows, label]
+        mine = z[label, rows]
         np.exp(z, out=z)
-        whole = z.sum(axis=1)
+        whole = z.sum(axis=0)
         total += float((np.log(whole) - mine).sum())
-        z /= whole[:, None]
-        z[rows, label] -= 1
-        for i in range(len(parts) - 1, -1, -1):
+        z /= whole
+        z[label, rows] -= 1
+        for i in range(last, -1, -1):
+            sums[i] += z @ a[i].T
             if i:
-                sums[i][:-1] += a[i].T @ z
-                sums[i][-1] += z.sum(axis=0)
-                z = z @ parts[i][:-1].T
-                z *= a[i]
-                z *= 1 - a[i]
-            else:
-                sums[0] += a[0].T @ z
-    return np.concatenate([[total], *[s.ravel() for s in sums]])
+                t = a[i][:-1]
+                slope, back = slopes[i - 1][:, :n], backs[i - 1][:, :n]
+                np.matmul(parts[i][:-1] / 4, z, out=back)  # the slope of the sigmoid is (1 - t * t) / 4
+                np.multiply(t, t, out=slope)
+                np.subtract(1.0, slope, out=slope)
+                z = np.multiply(slope, back, out=slope)
+    for s in sums[1:]:
+        s[:, :-1] = (s[:, :-1] + s[:, -1:]) / 2
+    return np.concatenate([[total], *[s.T.ravel() for s in sums]])
 
 
 def _read(link: socket.socket, n: int) -> bytes:
