@@ -50,3 +50,15 @@ def test_stream_drops_copies_and_closes_windows(spark, tmp_path):
         q.stop()
     batch = spark.createDataFrame(rows[1:], "id int, k string, ts timestamp")
     assert sorted(r["n_events"] for r in sessions(batch, "ts", "1 hour", ["k"]).collect()) == [1, 1, 2]
+
+
+def test_only_the_parts_asked_for_are_computed(spark, monkeypatch):
+    def never(*rest):
+        raise AssertionError("computed, but not asked for")
+
+    for name in ("pr_curve", "roc_curve", "lift_chart", "confusion"):
+        monkeypatch.setattr(runs.curves, name, never)
+    monkeypatch.setattr(models.evaluation, "confusion_pivot", never)
+    df = spark.createDataFrame([(i, float(i % 7), int(i % 7 > 3), i % 3 // 2) for i in range(120)], "id long, x double, y int, is_test int")
+    out = runs.run_model(df, "lr", "y", models.feature_stages(["x"]), "id", {"maxIter": 5}, weight=None, parts=["performance"])
+    assert set(out) == {"search", "performance"} and out["performance"].first()["auROC"] == 1.0
