@@ -7,10 +7,13 @@ else is shared.  Scaling and encoding are fitted on the training folds only.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -19,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.ml import cells, evaluation, nets, spaces
+from panelwright.ml import cells, evaluation, linear, nets, spaces
 from panelwright.ml.tuning import METRICS, random_search, space_size
 
 @dataclass(frozen=True)
@@ -129,6 +132,47 @@ def metrics(pred: DataFrame, family: str, target: str) -> dict[str, float | None
     return found.get(0) or dict.fromkeys(METRICS)
 
 
+def _together(family: str, frames: list[DataFrame], fits: dict[int, tuple[int, Estimator]], target: str, weight: str | None) -> dict[int, Callable[[np.ndarray], tuple]]:
+    """Of the fits that can be made side by side in one stage what gives predictions and scores of rows of features."""
+    kind = {"mlp": nets, "lr": linear, "svm": linear}.get(family)
+    fits = {i: (k, e) for i, (k, e) in fits.items() if kind and kind.can_fit(e)}
+    if not fits:
+        return {}
+    given, out = list(fits.values()), {}
+    found = nets.weights_all(frames, given, target) if family == "mlp" else linear.fit_all(family, frames, given, target, weight)
+    for (i, (_, e)), w in zip(fits.items(), found):
+        if w is not None:
+            out[i] = partial(_net_scores, w, list(e.getOrDefault("layers"))) if family == "mlp" else partial(_linear_scores, family, w, e.getOrDefault("threshold"))
+    return out
+
+
+def _net_scores(w: np.ndarray, layers: list[int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = nets.outputs(w, layers, x)
+    return p.argmax(axis=1).astype(float), p[:, 1]
+
+
+def _linear_scores(family: str, w: np.ndarray, threshold: float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    m = x @ w[:-1] + w[-1]
+    if family == "svm":
+        return (m > threshold).astype(float), m
+    with np.errstate(over="ignore", divide="ignore"):
+        return (m > (np.log(threshold / (1 - threshold)) if threshold < 1 else np.inf)).astype(float), 1 / (1 + np.exp(-m))
+
+
+def _scored(test: DataFrame, target: str, scores: dict[int, Callable[[np.ndarray], tuple]]) -> DataFrame:
+    """``_of``, target, prediction and score of every row by each of ``scores``, in one pass over the rows."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for i, f in scores.items():
+                    said, value = f(x)
+                    yield pa.record_batch([pa.array(np.full(len(x), i, np.int32)), batch.column(1), pa.array(said), pa.array(value)], ["_of", target, "prediction", "score"])
+
+    return test.select(vector_to_array("features").alias("x"), F.col(target).cast("double").alias(target)).mapInArrow(score, f"_of int, `{target}` double, prediction double, score double")
+
+
 def cross_validate(
     df: DataFrame, family: str, target: str, stages: Sequence, fold: str = "fold_id", weight: str | None = None, n: int = 50, overrides: dict[str, Sequence] | None = None, seed: int = 42, parallelism: int = 4,
 ) -> DataFrame:
@@ -162,18 +206,18 @@ def cross_validate(
         folds = [k for k in folds if k in ready]
         jobs = [(c, k) for c in combos for k in folds]
         made: dict[int, Model] = {}
-        if family == "mlp" and jobs:
-            estimators = {i: _estimator(family, target, c, weight, seed, "features", **ready[k][2]) for i, (c, k) in enumerate(jobs)}
-            own = [i for i, e in estimators.items() if nets.can_fit(e)]
-            if own:
-                made = dict(zip(own, nets.fit_all([ready[k][1] for k in folds], [(folds.index(jobs[i][1]), estimators[i]) for i in own], target)))
-        rest = [i for i in range(len(jobs)) if i not in made]
+        own = _together(family, [ready[k][1] for k in folds], {i: (folds.index(k), _estimator(family, target, c, weight, seed, "features", **ready[k][2])) for i, (c, k) in enumerate(jobs)}, target, weight)
+        rest = [i for i in range(len(jobs)) if i not in own]
         made |= dict(zip(rest, pool.map(one, [jobs[i] for i in rest])))
     pred = None
-    for i, (_, k) in enumerate(jobs):
-        tested = predict(PipelineModel([*ready[k][0].stages, made[i]]), df.where(F.col(fold) == k), family)
-        tested = tested.select(F.lit(i).alias("_of"), F.col(target), "prediction", *(["score"] if fam.score else []))
-        pred = tested if pred is None else pred.unionByName(tested)
+    for k in folds:
+        test = ready[k][0].transform(df.where(F.col(fold) == k))
+        tested = [_scored(test, target, {i: own[i] for i in own if jobs[i][1] == k})] if own else []
+        for i in (i for i in rest if jobs[i][1] == k):
+            scored = predict(PipelineModel([made[i]]), test, family)
+            tested.append(scored.select(F.lit(i).alias("_of"), F.col(target), "prediction", *(["score"] if fam.score else [])))
+        for one_part in tested:
+            pred = one_part if pred is None else pred.unionByName(one_part)
     measured = metrics_by(pred, "_of", family, target) if jobs else {}
     rows = [{**{p: json.dumps(v) if isinstance(v, tuple) else str(v) for p, v in combo.items()}, "fold": k, **measured.get(i, {})} for i, (combo, k) in enumerate(jobs)]
     df.unpersist()

@@ -13,11 +13,12 @@ import math
 import pickle
 import secrets
 import socket
-from collections.abc import Generator, Iterator
+from collections.abc import Callable, Generator, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext, StorageLevel
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 _SETTINGS = {"labelCol", "featuresCol", "layers", "maxIter", "tol", "blockSize", "solver", "stepSize", "seed"}
 _CORRECTIONS, _MEMORY, _TRIES = 10, 20, 10
 _TASKS, _ROWS, _WAIT = 64, 4096, 900  # at most so many tasks; rows in a block; seconds until a task that does not answer is given up
+_TOGETHER, _KEPT = 1024, 128_000_000  # values of columns that are put together; bytes of rows that a task keeps as they are
 
 
 class _Stuck(Exception):
@@ -124,22 +126,71 @@ def _search(x: np.ndarray, value: float, grad: np.ndarray, direction: np.ndarray
     raise _Stuck
 
 
-def _pack(x: np.ndarray, y: np.ndarray) -> bytes:
-    """A block of rows: columns as places in their own values."""
+def _pack(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> bytes:
+    """A block of rows: columns and weights as places in their own values."""
     columns = []
-    for c in x.T:
+    for c in (*x.T, *([] if w is None else [w])):
         values, at = np.unique(c, return_inverse=True)
         columns.append((values, at.astype(np.uint8 if len(values) <= 256 else np.uint16 if len(values) <= 65536 else np.uint32)))
-    return pickle.dumps((columns, y), 5)
-
-
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with a last column of ones, and labels."""
-    columns, y = pickle.loads(block)
-    x = np.ones((len(y), len(columns) + 1))
-    for i, (values, at) in enumerate(columns):
-        x[:, i] = values[at]
-    return x, y
+    return pickle.dumps((columns, y, w is not None), 5)
+
+
+class _Rows:
+    """The rows of a task and a frame, their columns put together to few groups, of which a row has a place in each: ``tables``
+    have the parts of rows by place.  The last column is ones."""
+
+    def __init__(self, blocks: list[bytes]):
+        parts = [pickle.loads(b) for b in blocks]
+        self.y = np.concatenate([y for _, y, _ in parts])
+        columns = []
+        self.w = np.concatenate([values[at] for values, at in (c.pop() for c, _, _ in parts)]) if parts[0][2] else None
+        for i in range(len(parts[0][0])):
+            values = np.unique(np.concatenate([c[i][0] for c, _, _ in parts]))
+            columns.append((len(values), i, values, np.concatenate([np.searchsorted(values, c[i][0])[c[i][1]] for c, _, _ in parts])))
+        self.width = len(columns) + 1
+        self.columns, self.tables, self.places = [[self.width - 1]], [np.ones((1, 1))], [np.zeros(len(self.y), np.int64)]
+        for n, i, values, at in sorted(columns, key=lambda c: c[:2]):
+            both, place = np.unique(self.places[-1] * n + at, return_inverse=True)
+            if len(both) <= _TOGETHER:
+                self.tables[-1] = np.column_stack([self.tables[-1][both // n], values[both % n]])
+                self.columns[-1].append(i)
+                self.places[-1] = place.ravel()
+            else:
+                self.tables.append(values[:, None])
+                self.columns.append([i])
+                self.places.append(at)
+        self.places = [p.astype(np.uint16 if len(t) <= 65536 else np.uint32) for p, t in zip(self.places, self.tables)]
+        self.few = sum(map(len, self.tables)) <= len(self.y) / 2
+        self.whole = self._rows(self.places) if 8 * self.width * len(self.y) <= _KEPT else None
+
+    def _rows(self, places: list[np.ndarray]) -> np.ndarray:
+        x = np.empty((len(places[0]), self.width))
+        for columns, table, place in zip(self.columns, self.tables, places):
+            for i, values in zip(columns, table.T):
+                x[:, i] = values[place]
+        return x
+
+    def chunks(self, size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Rows, labels and places, so many at a time."""
+        for at in range(0, len(self.y), size):
+            places = [p[at : at + size].astype(np.intp) for p in self.places]
+            yield self._rows(places) if self.whole is None else self.whole[at : at + size], self.y[at : at + size], places
+
+    def powers(self, p: np.ndarray) -> list[np.ndarray] | None:
+        """exp(-z) of the parts that the groups have in the first layer's z, by place; None where the product of a row's parts may not be a number."""
+        if not self.few:
+            return None
+        parts = [table @ p[columns] for columns, table in zip(self.columns, self.tables)]
+        return [np.exp(-z) for z in parts] if sum(np.abs(z).max() for z in parts) < 600 else None
+
+    def loss(self, wanted: dict[int, np.ndarray], layers: list[list[int]]) -> dict[int, np.ndarray]:
+        """For each of the weights what :func:`loss` says of the rows."""
+        heads = {i: self.powers(_split(w, layers[i])[0]) if len(layers[i]) > 2 else None for i, w in wanted.items()}
+        sums, kept = {i: np.zeros(1 + len(w)) for i, w in wanted.items()}, {}
+        for x, y, places in self.chunks():
+            for i, w in wanted.items():
+                sums[i] += loss(w, layers[i], x, y, heads[i], places, kept)
+        return sums
 
 
 def _split(w: np.ndarray, layers: list[int]) -> list[np.ndarray]:
@@ -151,52 +202,76 @@ def _split(w: np.ndarray, layers: list[int]) -> list[np.ndarray]:
     return out
 
 
-def loss(w: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, chunk: int = 512) -> np.ndarray:
-    """The sum of the cross entropy over the rows, and then of its gradient.
+def loss(w: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, powers: list[np.ndarray] | None = None, places: list[np.ndarray] | None = None, kept: dict | None = None) -> np.ndarray:
+    """The sum of the cross entropy over the rows ``x``, which end with a one, and then of its gradient.
 
-    Rows are columns here.  A sigmoid is (1 + tanh(z / 2)) / 2; what is kept is the tanh, the rest goes into the weights.
+    With ``powers`` (see :class:`_Rows`) the exponentials of the first layer are products of those of its parts, which are looked up.
+    ``kept`` keeps arrays from call to call.
     """
-    parts, total, last = _split(w, layers), 0.0, len(layers) - 2
-    heads = []
-    for i, p in enumerate(parts):
-        of, bias = (p[:-1], p[-1]) if not i else (p[:-1] / 2, p[-1] + p[:-1].sum(axis=0) / 2)
-        scale = 0.5 if i < last else 1.0
-        heads.append(np.ascontiguousarray(np.vstack([of, bias]).T) * scale)
-    sums = [np.zeros((q, p + 1)) for p, q in zip(layers, layers[1:])]
-    turned = np.ascontiguousarray(x.T)
-    chunk = min(chunk, len(y))
-    kept = [np.ones((q + 1, chunk)) for q in layers[1:-1]]  # with a last row of ones, as the rows have
-    slopes, backs = ([np.empty((q, chunk)) for q in layers[1:-1]] for _ in range(2))
-    for at in range(0, len(y), chunk):
-        label, n = y[at : at + chunk], min(chunk, len(y) - at)
-        a = [turned[:, at : at + chunk], *[k[:, :n] for k in kept]]
-        for i, h in enumerate(heads):
-            if i < last:
-                z = a[i + 1][:-1]
-                np.matmul(h, a[i], out=z)
-                np.tanh(z, out=z)
-            else:
-                z = h @ a[i]
-        z -= z.max(axis=0)
-        rows = np.arange(len(label))
-        mine = z[label, rows]
-        np.exp(z, out=z)
-        whole = z.sum(axis=0)
-        total += float((np.log(whole) - mine).sum())
-        z /= whole
-        z[label, rows] -= 1
-        for i in range(last, -1, -1):
-            sums[i] += z @ a[i].T
+    parts, last, n, a, outs = _split(w, layers), len(layers) - 2, len(y), [x], []
+    for i, p in enumerate(parts[:-1]):
+        if (i, n, layers[i + 1]) not in (kept := {} if kept is None else kept):
+            kept[i, n, layers[i + 1]] = np.empty((2, n, layers[i + 1]))
+        s, other = kept[i, n, layers[i + 1]]
+        if i == 0 and powers:
+            np.take(powers[0], places[0], axis=0, out=s, mode="clip")
+            for power, place in zip(powers[1:], places[1:]):
+                np.take(power, place, axis=0, out=other, mode="clip")
+                np.multiply(s, other, out=s)
+        else:
+            np.matmul(a[-1], p if i == 0 else p[:-1], out=s)
             if i:
-                t = a[i][:-1]
-                slope, back = slopes[i - 1][:, :n], backs[i - 1][:, :n]
-                np.matmul(parts[i][:-1] / 4, z, out=back)  # the slope of the sigmoid is (1 - t * t) / 4
-                np.multiply(t, t, out=slope)
-                np.subtract(1.0, slope, out=slope)
-                z = np.multiply(slope, back, out=slope)
-    for s in sums[1:]:
-        s[:, :-1] = (s[:, :-1] + s[:, -1:]) / 2
-    return np.concatenate([[total], *[s.T.ravel() for s in sums]])
+                s += p[-1]
+            np.negative(s, out=s)
+            with np.errstate(over="ignore"):
+                np.exp(s, out=s)
+        s += 1
+        np.reciprocal(s, out=s)
+        a.append(s)
+        outs.append(other)
+    of = [p if i == 0 else p[:-1] for i, p in enumerate(parts)]
+    if layers[-1] == 2:  # the outputs' slopes are opposite: one number a row
+        apart, sign = of[-1][:, 1] - of[-1][:, 0], np.where(y == 1, 1.0, -1.0)
+        m = a[-1] @ apart
+        if last:
+            m += parts[-1][-1, 1] - parts[-1][-1, 0]
+        m *= sign
+        e = np.exp(-np.abs(m))
+        total = float((np.log1p(e) - np.minimum(m, 0)).sum())
+        g = np.where(m > 0, e, 1.0) / (1 + e) * -sign
+        s = a[-1].T @ g
+        s = np.append(s, g.sum()) if last else s
+        out, back = np.stack([-s, s], axis=1), None
+    else:
+        z = a[-1] @ of[-1]
+        if last:
+            z += parts[-1][-1]
+        z -= z.max(axis=1, keepdims=True)
+        rows = np.arange(n)
+        mine = z[rows, y]
+        np.exp(z, out=z)
+        whole = z.sum(axis=1)
+        total = float((np.log(whole) - mine).sum())
+        z /= whole[:, None]
+        z[rows, y] -= 1
+        out = np.vstack([a[-1].T @ z, z.sum(axis=0)]) if last else a[-1].T @ z
+        back = z
+    sums = [out]
+    for i in range(last, 0, -1):
+        slope = outs[i - 1]
+        np.multiply(a[i], a[i], out=slope)
+        np.subtract(a[i], slope, out=slope)
+        if back is not None:
+            back = np.multiply(slope, back @ of[i].T, out=slope)
+            own = a[i - 1].T @ back
+        elif i > 1:
+            back = np.multiply(slope, np.outer(g, apart), out=slope)
+            own = a[i - 1].T @ back
+        else:
+            own = ((x * g[:, None]).T @ slope) * apart
+        sums.append(own if i == 1 else np.vstack([own, back.sum(axis=0)]))
+    sums.reverse()
+    return np.concatenate([[total], *[s.ravel() for s in sums]])
 
 
 def _read(link: socket.socket, n: int) -> bytes:
@@ -215,6 +290,7 @@ class _Sum:
 
     def __init__(self, context: BarrierTaskContext):
         tasks, self.own, self.links = context.getTaskInfos(), context.partitionId(), []
+        self.tasks = len(tasks)
         host = tasks[0].address.rpartition(":")[0].strip("[]")
         server = socket.create_server(("", 0)) if not self.own else None
         port, token = context.allGather(f"{server.getsockname()[1]} {secrets.token_hex(16)}" if server else "")[0].split()
@@ -248,6 +324,12 @@ class _Sum:
             link.sendall(own.tobytes())
         return own
 
+    def each(self, own: np.ndarray) -> np.ndarray:
+        """The number of each task."""
+        out = np.zeros(self.tasks)
+        out[self.own] = own[0]
+        return self(out)
+
     def close(self) -> None:
         for link in self.links:
             link.close()
@@ -258,73 +340,122 @@ def can_fit(estimator: Estimator) -> bool:
     return not given - _SETTINGS and estimator.getOrDefault("solver") == "l-bfgs"
 
 
-def fit_all(frames: list[DataFrame], fits: list[tuple[int, Estimator]], target: str, features: str = "features") -> list[Model]:
-    """Spark's models, one for each of ``fits``: the place of its rows in ``frames``, and its estimator.  ValueError for a label that the layers do not have."""
-    spark = frames[0].sparkSession
-    sc = spark.sparkContext
+class _Packed:
+    """Blocks of the rows of some frames, kept for a stage of side by side tasks.  ``sizes``: rows and greatest label by frame."""
+
+    def __init__(self, held: RDD):
+        self.held = held
+        self.sizes = held.map(lambda b: (b[0], (b[1], b[2]))).reduceByKey(lambda a, b: (a[0] + b[0], max(a[1], b[1]))).collectAsMap()
+
+    def climb(self, begin: Callable, of: list[int], name: Callable, evaluate: Callable, fits: int) -> list[np.ndarray | None]:
+        """Where the walks of all fits end.  ``begin`` makes them of a task's rows by frame and :class:`_Sum`, and what the sums over all
+        rows are divided by; ``of`` are the frames of the fits, and fits of one frame and ``name`` that are at one place are evaluated once."""
+
+        def walk(own: Iterator[tuple]) -> Iterator[list[np.ndarray | None]]:
+            context, mine = BarrierTaskContext.get(), {}
+            for k, _, _, block in own:
+                mine.setdefault(k, []).append(block)
+            mine = {k: _Rows(blocks) for k, blocks in mine.items()}
+            total = _Sum(context)
+            walks, counts = begin(mine, total)
+            wanted, found = {i: next(w) for i, w in enumerate(walks) if w is not None}, {}
+            while wanted:
+                once: dict[tuple, int] = {}  # fits that differ in their limits only go the same way until one of them ends
+                same = {i: once.setdefault((of[i], name(i), w.tobytes()), i) for i, w in wanted.items()}
+                sums = {i: np.zeros(1 + len(wanted[i])) for i in once.values()}
+                for k, rows in mine.items():
+                    asked = {i: wanted[i] for i in sums if of[i] == k}
+                    for i, more in evaluate(rows, asked).items() if asked else ():
+                        sums[i] += more
+                whole, at, means = total(np.concatenate(list(sums.values()))), 0, {}
+                for i, own_sums in sums.items():
+                    means[i] = whole[at : at + len(own_sums)] / counts[i]
+                    at += len(own_sums)
+                for i, first in same.items():
+                    try:
+                        wanted[i] = walks[i].send((float(means[first][0]), means[first][1:]))
+                    except StopIteration as end:
+                        found[i] = end.value
+                        del wanted[i]
+            total.close()
+            if context.partitionId() == 0:
+                yield [found.get(i) for i in range(fits)]
 
-    def packed(k: int, df: DataFrame) -> DataFrame:
+        return self.held.barrier().mapPartitions(walk).collect()[0]
+
+
+@contextmanager
+def packed(frames: list[DataFrame], target: str, features: str, weight: str | float | None = None) -> Iterator[_Packed]:
+    sc = frames[0].sparkSession.sparkContext
+
+    def blocks_of(k: int, df: DataFrame) -> DataFrame:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                y = batch.column(1).to_numpy(zero_copy_only=False)
+                y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
                 if not (np.isfinite(y).all() and (y == np.floor(y)).all() and y.min() >= 0 and y.max() < 2**15):
                     raise ValueError("labels have to be 0, 1, 2 ...")
+                if not (np.isfinite(w).all() and w.min() >= 0):
+                    raise ValueError("weights have to be 0 or more")
                 y = y.astype(np.int16)
                 cut = [slice(i, i + _ROWS) for i in range(0, len(y), _ROWS)]
-                columns = [[k] * len(cut), [len(y[c]) for c in cut], [int(y[c].max()) for c in cut], [_pack(x[c], y[c]) for c in cut]]
+                columns = [[k] * len(cut), [len(y[c]) for c in cut], [int(y[c].max()) for c in cut], [_pack(x[c], y[c], None if weight is None else w[c]) for c in cut]]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["k", "n", "top", "block"])
 
-        return df.select(vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y")).mapInArrow(pack, "k int, n long, top int, block binary")
+        w = F.col(weight).cast("double") if isinstance(weight, str) else F.lit(1.0)
+        return df.select(vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y"), w.alias("w")).mapInArrow(pack, "k int, n long, top int, block binary")
 
-    blocks = packed(0, frames[0])
+    blocks = blocks_of(0, frames[0])
     for k, df in enumerate(frames[1:], 1):
-        blocks = blocks.unionByName(packed(k, df))
+        blocks = blocks.unionByName(blocks_of(k, df))
     held = blocks.repartition(min(sc.defaultParallelism, _TASKS)).rdd.map(lambda r: (r["k"], r["n"], r["top"], bytes(r["block"]))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sizes = held.map(lambda b: (b[0], (b[1], b[2]))).reduceByKey(lambda a, b: (a[0] + b[0], max(a[1], b[1]))).collectAsMap()
+        yield _Packed(held)
+    finally:
+        held.unpersist()
+
+
+def weights_all(frames: list[DataFrame], fits: list[tuple[int, Estimator]], target: str, features: str = "features") -> list[np.ndarray]:
+    """The weights of each of ``fits``: the place of its rows in ``frames``, and its estimator.  ValueError for a label that the layers do not have."""
+    spark = frames[0].sparkSession
+    with packed(frames, target, features) as held:
         layers = [list(e.getOrDefault("layers")) for _, e in fits]
         for (k, _), shape in zip(fits, layers):
-            if k not in sizes:
+            if k not in held.sizes:
                 raise ValueError("no rows to fit to")
-            if sizes[k][1] >= shape[-1]:
-                raise ValueError(f"a label of {sizes[k][1]} needs more than {shape[-1]} outputs")
+            if held.sizes[k][1] >= shape[-1]:
+                raise ValueError(f"a label of {held.sizes[k][1]} needs more than {shape[-1]} outputs")
         of, limits = [k for k, _ in fits], [(e.getOrDefault("maxIter"), e.getOrDefault("tol")) for _, e in fits]
-        starts = [_model(spark, e, shape, None, target, features).weights.toArray() for (_, e), shape in zip(fits, layers)]
-        counts = {k: n for k, (n, _) in sizes.items()}
+        known: dict[tuple, np.ndarray] = {}
+        for (_, e), shape in zip(fits, layers):
+            if (key := (e.getOrDefault("seed"), *shape)) not in known:
+                known[key] = _model(spark, e, shape, None, target, features).weights.toArray()
+        starts = [known[e.getOrDefault("seed"), *shape] for (_, e), shape in zip(fits, layers)]
+        counts = [held.sizes[k][0] for k in of]
 
-        def walk(own: Iterator[tuple]) -> Iterator[list[np.ndarray]]:
-            blocks, context = [(k, block) for k, _, _, block in own], BarrierTaskContext.get()
-            total = _Sum(context)
-            walks = [steps(x, *limit) for x, limit in zip(starts, limits)]
-            wanted, found = {i: next(w) for i, w in enumerate(walks)}, {}
-            while wanted:
-                sums = {i: np.zeros(1 + len(w)) for i, w in wanted.items()}
-                for k, block in blocks:
-                    asked = [i for i in wanted if of[i] == k]
-                    if asked:
-                        x, y = _unpack(block)
-                        for i in asked:
-                            sums[i] += loss(wanted[i], layers[i], x, y)
-                whole, at = total(np.concatenate(list(sums.values()))), 0
-                for i, own_sums in sums.items():
-                    mean = whole[at : at + len(own_sums)] / counts[of[i]]
-                    at += len(own_sums)
-                    try:
-                        wanted[i] = walks[i].send((float(mean[0]), mean[1:]))
-                    except StopIteration as end:
-                        found[i] = end.value
-                        del wanted[i]
-            total.close()
-            if context.partitionId() == 0:
-                yield [found[i] for i in range(len(walks))]
+        def evaluate(rows: _Rows, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+            return rows.loss(wanted, layers)
 
-        found = held.barrier().mapPartitions(walk).collect()[0]
-    finally:
-        held.unpersist()
-    return [_model(spark, e, layers[i], found[i], target, features) for i, (_, e) in enumerate(fits)]
+        return held.climb(lambda *_: ([steps(x, *limit) for x, limit in zip(starts, limits)], counts), of, lambda i: tuple(layers[i]), evaluate, len(fits))
+
+
+def fit_all(frames: list[DataFrame], fits: list[tuple[int, Estimator]], target: str, features: str = "features") -> list[Model]:
+    """Spark's models with the weights of :func:`weights_all`."""
+    found = weights_all(frames, fits, target, features)
+    return [_model(frames[0].sparkSession, e, list(e.getOrDefault("layers")), w, target, features) for (_, e), w in zip(fits, found)]
+
+
+def outputs(w: np.ndarray, layers: list[int], x: np.ndarray) -> np.ndarray:
+    """Probabilities by row and class."""
+    parts = _split(w, layers)
+    with np.errstate(over="ignore"):
+        for i, p in enumerate(parts):
+            z = x @ p[:-1] + p[-1]
+            x = 1 / (1 + np.exp(-z)) if i < len(parts) - 1 else z
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
 
 
 def _model(spark: SparkSession, estimator: Estimator, layers: list[int], w: np.ndarray | None, target: str, features: str) -> Model:
