@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
@@ -66,10 +67,30 @@ def _impurity(kind: str, s: np.ndarray) -> np.ndarray:
 def grow(bins: np.ndarray, sizes: list[int], raw: np.ndarray, weight: np.ndarray, y: np.ndarray, kind: str, classes: int, depth: int, subset: int, least: int, gain: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """One tree over cells: ``bins`` has a row per feature, ``raw`` the number of rows drawn and ``weight`` their weight.  Arrays
     by node: feature (-1: leaf), bin, left (right is the next), sums, gain."""
+    return _grow(groups(bins, sizes), sizes, raw, [weight, weight * y, weight * y * y] if kind == "variance" else [np.where(y == k, weight, 0.0) for k in range(classes)], bins, kind, depth, subset, least, gain, rng)
+
+
+def groups(bins: np.ndarray, sizes: list[int]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Features that take at most 64 values together, as the one-hot columns of a category do: the features, what of them each place
+    has, and the places of the cells."""
+    out: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+    for f in sorted((f for f, size in enumerate(sizes) if size > 1), key=lambda f: (sizes[f], f)):
+        if out:
+            features, values, place = out[-1]
+            both, new = np.unique(place * sizes[f] + bins[f], return_inverse=True)
+            if len(both) <= 64:
+                out[-1] = [*features, f], np.column_stack([values[both // sizes[f]], both % sizes[f]]), new.ravel()
+                continue
+        out.append(([f], np.arange(sizes[f])[:, None], bins[f].astype(np.int64)))
+    return out
+
+
+def _grow(together: list[tuple], sizes: list[int], raw: np.ndarray, stats: list[np.ndarray], bins: np.ndarray, kind: str, depth: int, subset: int, least: int, gain: float, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """:func:`grow` from sums by cell, of which a cell may have rows of many labels."""
     at = np.flatnonzero(raw)
-    node, width = np.zeros(len(at), np.int64), classes if kind != "variance" else 3
-    raw, weight, y = raw[at].astype(float), weight[at], y[at]
-    stats = [weight, weight * y, weight * y * y] if kind == "variance" else [np.where(y == k, weight, 0.0) for k in range(classes)]
+    node, width = np.zeros(len(at), np.int64), len(stats)
+    raw, stats = raw[at].astype(float), [s[at] for s in stats]
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     total = np.array([[s.sum() for s in stats]])
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("feature", "bin", "left", "sums", "gain")}
     first, level = 0, 0  # number of the first node of this level
@@ -84,21 +105,28 @@ def grow(bins: np.ndarray, sizes: list[int], raw: np.ndarray, weight: np.ndarray
                 np.put_along_axis(chosen, np.argpartition(rng.random((m, len(sizes))), subset - 1, axis=1)[:, :subset], True, axis=1)
             chosen &= open_[:, None]
             whole = _impurity(kind, total)
+            live = np.flatnonzero(open_)
+            place = np.full(m, -1, np.int64)
+            place[live] = np.arange(len(live))
+            mine = np.flatnonzero(open_[node]) if len(live) < m else slice(None)
+            where, cells = place[node[mine]], at[mine]
+            given = [raw[mine], *[s[mine] for s in stats]]
+            for features, values, places in together:
+                if not chosen[:, features].any():
+                    continue
+                key, n = where * len(values) + places[cells], len(live) * len(values)
+                counts = np.stack([np.bincount(key, s, n) for s in given], axis=-1).reshape(len(live), len(values), 1 + width)
+                for j, f in enumerate(features):
+                    if len(features) == 1:
+                        found[f] = counts
+                    else:
+                        found[f] = np.stack([counts[:, values[:, j] == k].sum(axis=1) for k in range(sizes[f])], axis=1)
             for f, size in enumerate(sizes):
                 nodes = np.flatnonzero(chosen[:, f])
                 if size < 2 or not len(nodes):
                     continue
-                if len(nodes) == m:
-                    key, mine = node * size + bins[f, at], slice(None)
-                else:
-                    place = np.full(m, -1, np.int64)
-                    place[nodes] = np.arange(len(nodes))
-                    where = place[node]
-                    mine = np.flatnonzero(where >= 0)
-                    key = where[mine] * size + bins[f, at[mine]]
-                n = len(nodes) * size
-                sums = np.stack([np.bincount(key, s[mine], n) for s in stats], axis=-1).reshape(len(nodes), size, width).cumsum(axis=1)[:, :-1]
-                rows = np.bincount(key, raw[mine], n).reshape(len(nodes), size).cumsum(axis=1)
+                counts = found[f][place[nodes]].cumsum(axis=1)
+                sums, rows = counts[:, :-1, 1:], counts[:, :, 0]
                 right = total[nodes][:, None, :] - sums
                 of = (lambda s: s[..., 0]) if kind == "variance" else (lambda s: s.sum(axis=-1))
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -178,30 +206,34 @@ def _leaves(tree: tuple, rows: np.ndarray) -> np.ndarray:
 
 
 def _forest(cells: tuple, settings: dict, trees: list[int]) -> list[tuple[bytes, np.ndarray]]:
-    bins, sizes, count, weight, label = cells
-    out = []
+    bins, sizes, count, weight, label, start = cells
+    out, together = [], groups(bins, sizes)
     for t in trees:
         rng = np.random.default_rng([settings["seed"] % 2**32, t])
         rate = settings["subsamplingRate"]
         raw = rng.poisson(rate * count) if settings["bootstrap"] else rng.binomial(count, rate) if rate < 1 else count
         if not raw.any():
             raise ValueError("no rows were drawn")
-        tree = grow(bins, sizes, raw, raw * weight, label, settings["impurity"], settings["classes"], settings["maxDepth"], settings["subset"], settings["minInstancesPerNode"], settings["minInfoGain"], rng)
+        stats = [np.add.reduceat(np.where(label == k, raw * weight, 0.0), start) for k in range(settings["classes"])]
+        tree = _grow(together, sizes, np.add.reduceat(raw, start), stats, bins, settings["impurity"], settings["maxDepth"], settings["subset"], settings["minInstancesPerNode"], settings["minInfoGain"], rng)
         out.append((_packed(tree, settings["impurity"]), _importance(tree, settings["impurity"], len(sizes))))
     return out
 
 
 def _boosted(cells: tuple, settings: dict) -> list[tuple[bytes, np.ndarray]]:
-    bins, sizes, count, weight, label = cells
+    bins, sizes, count, weight, label, start = cells
     y, said, out, rows = 2.0 * label - 1, np.zeros(len(label)), [], np.ascontiguousarray(bins.T)
+    together, times = groups(bins, sizes), np.diff(np.append(start, len(label)))
     for t in range(settings["maxIter"]):
         rng = np.random.default_rng([settings["seed"] % 2**32, t])
         raw = rng.binomial(count, settings["subsamplingRate"]) if settings["subsamplingRate"] < 1 else count
         with np.errstate(over="ignore"):
             wanted = 4 * y / (1 + np.exp(2 * y * said)) if t else y
-        tree = grow(bins, sizes, raw, raw * weight, wanted, "variance", 2, settings["maxDepth"], settings["subset"], settings["minInstancesPerNode"], settings["minInfoGain"], rng)
+        drawn = raw * weight
+        stats = [np.add.reduceat(s, start) for s in (drawn, drawn * wanted, drawn * wanted * wanted)]
+        tree = _grow(together, sizes, np.add.reduceat(raw, start), stats, bins, "variance", settings["maxDepth"], settings["subset"], settings["minInstancesPerNode"], settings["minInfoGain"], rng)
         packed = _packed(tree, "variance")
-        said = said + (settings["stepSize"] if t else 1.0) * _leaves(pickle.loads(zlib.decompress(packed)), rows)[:, 0]
+        said = said + (settings["stepSize"] if t else 1.0) * np.repeat(_leaves(pickle.loads(zlib.decompress(packed)), rows)[:, 0], times)
         out.append((packed, _importance(tree, "variance", len(sizes))))
     return out
 
@@ -258,44 +290,115 @@ class CellModel(Model):
         return out.withColumns({"rawPrediction": array_to_vector("_raw"), "probability": array_to_vector(share), "prediction": said}).drop("_raw")
 
 
-def fit(df: DataFrame, estimator: Estimator, family: str, target: str, weight: str | None, features: str = "features") -> CellModel | None:
-    """The model of ``estimator`` over rows with ``features``; None where it has to be Spark's own."""
-    given = {p.name for p in estimator.params if estimator.isSet(p)}
-    get = lambda name: estimator.getOrDefault(name)
-    nominal = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal")
-    if given - _SETTINGS or nominal or not 2 <= get("maxBins") <= 256:
-        return None
-    rows = df.select(vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    n, width, narrow, bad, top = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.min(F.size("x")), F.sum((F.isnull("y") | F.isnan("y") | (F.col("y") < 0) | (F.col("y") != F.floor("y")) | F.isnull("w") | F.isnan("w") | (F.col("w") < 0)).cast("long")), F.max("y")).first()
-    if not n or bad or width != narrow or (family == "gbt" and top > 1) or top > 100:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in blocks: columns, labels and weights as places in their own values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        widths = np.diff(batch.column(0).offsets.to_numpy()) if not batch.column(0).null_count else np.array([-1])
+        width = int(widths[0]) if (widths == widths[0]).all() else -1
+        y, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        bad = int((~(np.isfinite(y) & (y >= 0) & (y == np.floor(y)) & (w >= 0))).sum())
+        columns = []
+        for c in (*(_matrix(batch.column(0), width) + 0.0).T, y, w) if width > 0 and not bad else ():
+            values, of = np.unique(c, return_inverse=True)
+            columns.append((values, of.astype(np.uint8 if len(values) <= 256 else np.uint16 if len(values) <= 65536 else np.uint32).ravel()))
+        yield pa.record_batch([pa.array([v], t) for v, t in ((len(y), pa.int64()), (width, pa.int32()), (bad, pa.int64()), (0.0 if bad else float(y.max()), pa.float64()), (pickle.dumps(columns, 5), pa.binary()))], ["n", "width", "bad", "top", "block"])
+
+
+def _cells(blocks: DataFrame, family: str, bins: int) -> tuple | None:
+    """The cells of the rows in ``blocks``, the limits of the bins, the greatest label and the number of features; None where trees cannot be grown from cells."""
+    n, width, narrow, bad, top = blocks.agg(F.sum("n"), F.max("width"), F.min("width"), F.sum("bad"), F.max("top")).first()
+    if not n or bad or width != narrow or width < 1 or (family == "gbt" and top > 1) or top > 100:
         return None
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, w = _matrix(batch.column(0), width), batch.column(2).to_numpy(zero_copy_only=False)
-                for f in range(width):
-                    v, of = np.unique(x[:, f] + 0.0, return_inverse=True)
-                    yield pa.record_batch([pa.array(np.full(len(v), f, np.int32)), pa.array(v), pa.array(np.bincount(of.ravel(), w))], ["f", "v", "w"])
+        kept: list[list[tuple]] = [[] for _ in range(width)]
+
+        def merged(f: int) -> tuple[np.ndarray, np.ndarray]:
+            values, of = np.unique(np.concatenate([v for v, _ in kept[f]]), return_inverse=True)
+            return values, np.bincount(of.ravel(), np.concatenate([w for _, w in kept[f]]))
 
-    values = rows.mapInArrow(seen, "f int, v double, w double").groupBy("f", "v").agg(F.sum("w").alias("w")).limit(MOST_VALUES + 1).toPandas().sort_values(["f", "v"])
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                columns = pickle.loads(block)
+                w = columns[-1][0][columns[-1][1]]
+                for f, (values, of) in enumerate(columns[:width]):
+                    kept[f].append((values, np.bincount(of, w, len(values))))
+                    if sum(len(v) for v, _ in kept[f]) > 400_000:
+                        kept[f] = [merged(f)]
+                        if len(kept[f][0][0]) > 200_000:
+                            values, w2 = kept[f].pop()
+                            yield pa.record_batch([pa.array(np.full(len(values), f, np.int32)), pa.array(values), pa.array(w2)], ["f", "v", "w"])
+        for f in range(width):
+            if kept[f]:
+                values, w = merged(f)
+                yield pa.record_batch([pa.array(np.full(len(values), f, np.int32)), pa.array(values), pa.array(w)], ["f", "v", "w"])
+
+    held = blocks.select("block")
+    values = held.mapInArrow(seen, "f int, v double, w double").groupBy("f", "v").agg(F.sum("w").alias("w")).limit(MOST_VALUES + 1).toPandas().sort_values(["f", "v"])
     if len(values) > MOST_VALUES or values["v"].isna().any() or not np.isfinite(values["v"]).all():
         return None
-    most = min(get("maxBins"), n)
+    most = min(bins, n)
     cuts = [thresholds(v["v"].to_numpy(), v["w"].to_numpy(), most) for _, v in values.groupby("f")]
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known = [], 0
+
+        def counted() -> pa.RecordBatch:
+            bins, y, w = (np.concatenate(part) for part in zip(*rows))
+            weights, of = np.unique(w, return_inverse=True)
+            sizes = [*(len(c) + 1 for c in cuts), int(top) + 1, len(weights)]
+            if math.prod(sizes) < 2**62:
+                key = np.zeros(len(y), np.int64)
+                for size, column in zip(sizes, (*bins.T, y.astype(np.int64), of.ravel())):
+                    key = key * size + column
+            else:
+                key = np.ascontiguousarray(np.column_stack([bins, np.column_stack([y, w]).view(np.uint8)])).view(f"V{width + 16}").ravel()
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+            return pa.record_batch([pa.array([r.tobytes() for r in bins[first]], pa.binary()), pa.array(y[first]), pa.array(w[first]), pa.array(count)], ["x", "y", "w", "n"])
+
         for batch in batches:
-            packed = _binned(_matrix(batch.column(0), width), cuts)
-            yield pa.record_batch([pa.array([r.tobytes() for r in packed], pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "w"])
+            for block in batch.column(0).to_pylist():
+                columns = pickle.loads(block)
+                of = columns[-1][1]
+                packed = np.empty((len(of), width), np.uint8)
+                for f, (values, place) in enumerate(columns[:width]):
+                    packed[:, f] = np.searchsorted(cuts[f], values, side="left").astype(np.uint8)[place]
+                rows.append((packed, *(v[p] for v, p in columns[width:])))
+                known += len(of)
+                if known > 1_000_000:
+                    yield counted()
+                    rows, known = [], 0
+        if rows:
+            yield counted()
 
     most_cells = min(MOST_CELLS, MOST_BYTES // width)
-    held = rows.mapInArrow(binned, "x binary, y double, w double").groupBy("x", "y", "w").count().limit(most_cells + 1).toArrow()
-    if held.num_rows > most_cells:
+    got = held.mapInArrow(binned, "x binary, y double, w double, n long").groupBy("x", "y", "w").agg(F.sum("n").alias("n")).limit(most_cells + 1).toArrow()
+    if got.num_rows > most_cells:
+        return None
+    got = got.sort_by([(c, "ascending") for c in ("x", "y", "w")])
+    table = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint8).reshape(-1, width)
+    start = np.flatnonzero(np.append(True, (table[1:] != table[:-1]).any(axis=1)))  # where cells of other bins begin
+    return (np.ascontiguousarray(table[start].T), [len(c) + 1 for c in cuts], got["n"].to_numpy(), got["w"].to_numpy(), got["y"].to_numpy().astype(np.int64), start), cuts, top, width
+
+
+def fit(df: DataFrame, estimator: Estimator, family: str, target: str, weight: str | None, features: str = "features") -> CellModel | None:
+    """The model of ``estimator`` over rows with ``features``; None where it has to be Spark's own."""
+    given = {p.name for p in estimator.params if estimator.isSet(p)}
+    get = lambda name: estimator.getOrDefault(name)
+    nominal = df.schema[features].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal")
+    if given - _SETTINGS or nominal or not 2 <= get("maxBins") <= 256:
+        return None
+    rows = df.select(vector_to_array(features).alias("x"), F.col(target).cast("double").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    blocks = rows.mapInArrow(_blocks, "n long, width int, bad long, top double, block binary").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cells = _cells(blocks, family, get("maxBins"))
+    finally:
+        blocks.unpersist()
+    if cells is None:
         return None
-    held = held.sort_by([(c, "ascending") for c in ("x", "y", "w")])
-    table = np.frombuffer(b"".join(held["x"].to_pylist()), np.uint8).reshape(-1, width)
-    cells = (np.ascontiguousarray(table.T), [len(c) + 1 for c in cuts], held["count"].to_numpy(), held["w"].to_numpy(), held["y"].to_numpy().astype(np.int64))
+    cells, cuts, top, width = cells
     settings = {p: get(p) for p in _SETTINGS & {p.name for p in estimator.params if estimator.hasDefault(p) or estimator.isSet(p)}}
     trees = get("numTrees") if family == "rf" else 1
     settings |= {"classes": max(int(top) + 1, 2), "subset": _subset(get("featureSubsetStrategy").lower(), width, trees)}

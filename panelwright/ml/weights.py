@@ -13,6 +13,8 @@ def _per_class(df: DataFrame, label: str, weight, out: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
     per = counts.where(F.col(label).isNotNull()).select(label, weight(F.lit(float(total or 0)), F.lit(float(classes or 1)), F.col("_n")).alias(out))
+    if (classes or 0) <= 65_536:  # the rows stay where they are
+        per = F.broadcast(per)
     return df.join(per, label, "left").select(*df.columns, out)
 
 
