@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,15 +49,27 @@ def label_encode(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return df.withColumns({f"{c}_index": v for c, v in out.items()}).drop(*out)
 
 
+def _days(df: DataFrame, day: str) -> tuple:
+    lo, hi = df.agg(F.min(day), F.max(day)).first()
+    return ("1970-01-01", "1970-01-01") if hi is None else (lo, hi)
+
+
+def _held_out(df: DataFrame, day: str, hi, holdout_days: int) -> tuple[DataFrame, Column]:
+    age = F.datediff(F.lit(hi).cast("date"), F.col(day))
+    return df.withColumns({"days_from_reference": age, "is_test": F.when(age < holdout_days, 1).otherwise(0)}), age
+
+
+def holdout(df: DataFrame, day: str, holdout_days: int = 30) -> DataFrame:
+    """``days_from_reference`` and ``is_test`` as :func:`temporal_folds` gives them, where no folds are asked for: rows stay where they are."""
+    return _held_out(df, day, _days(df, day)[1], holdout_days)[0]
+
+
 def temporal_folds(df: DataFrame, day: str, label: str, key: str, k: int = 3, holdout_days: int = 30, bins: int = 4) -> DataFrame:
     """``days_from_reference`` (from the latest day), ``is_test`` (the last ``holdout_days``), ``timestamp_bin`` (equal
     stretches of the time before), ``strat_group`` (bin and label), ``fold_id`` (1..k, dealt out in turn within a
     group by the unique numeric ``key``; null for the holdout) and ``recency_weight`` 4, 2, 1 within 7, 30, 90 days."""
-    lo, hi = df.agg(F.min(day), F.max(day)).first()
-    if hi is None:
-        hi = lo = "1970-01-01"
-    age = F.datediff(F.lit(hi).cast("date"), F.col(day))
-    df = df.withColumns({"days_from_reference": age, "is_test": F.when(age < holdout_days, 1).otherwise(0)})
+    lo, hi = _days(df, day)
+    df, age = _held_out(df, day, hi, holdout_days)
     span = F.greatest(F.datediff(F.lit(hi).cast("date"), F.lit(lo).cast("date")) - holdout_days + 1, F.lit(1))
     since = F.datediff(F.col(day), F.lit(lo).cast("date"))
     df = df.withColumn("timestamp_bin", F.when(F.col("is_test") == 0, F.least(F.floor(since * bins / span), F.lit(bins - 1)).cast("int")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +35,41 @@ def confusion_pivot(pred: DataFrame, label: str, prediction: str) -> DataFrame:
     return c.groupBy("actual").pivot("predicted").sum("n").fillna(0).withColumnRenamed("actual", label)
 
 
+MOST_SCORES = 200_000
+
+
+def few_scores_metrics_by(pred: DataFrame, by: str, label: str, prediction: str, score: str) -> dict[int, dict[str, float | None]] | None:
+    """:func:`classification_metrics_by` from rows counted by score in one pass, as trees give few different ones; None if they are many."""
+    y, s = F.col(label).cast("double"), F.col(score).cast("double")
+    counts = pred.where(F.col(label).isNotNull()).groupBy(by, y.alias("y"), F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted"), s.alias("score")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SCORES + 1).toArrow()
+    if counts.num_rows > MOST_SCORES:
+        return None
+    counts = counts.to_pandas()
+    known = counts[counts["predicted"].notna()].groupby([by, "actual", "predicted"], as_index=False)["n"].sum().astype(int)
+    under = {}
+    for g, rows in counts[counts["score"].notna()].groupby(by):
+        points = pd.DataFrame({"score": rows["score"], "pos": rows["n"].where(rows["y"] == 1, 0), "neg": rows["n"].where(rows["y"] != 1, 0)}).groupby("score").sum().sort_index(ascending=False)
+        pos, neg = points["pos"].to_numpy(float), points["neg"].to_numpy(float)
+        tp, fp = pos.cumsum(), neg.cumsum()
+        if len(tp) and tp[-1] and fp[-1]:
+            precision, before = tp / (tp + fp), (tp - pos) + (fp - neg)
+            prior = np.where(before > 0, (tp - pos) / np.maximum(before, 1), precision)
+            under[g] = {"auc": float((neg * (tp - pos / 2)).sum() / (tp[-1] * fp[-1])), "average_precision": float((pos * (precision + prior) / 2).sum() / tp[-1])}
+    return _told(known.to_dict("records"), by, lambda: under)
+
+
 def classification_metrics_by(pred: DataFrame, by: str, label: str, prediction: str, score: str | None) -> dict[int, dict[str, float | None]]:
     """For each value of ``by``: accuracy, weighted precision, recall and f1; auROC and auPR if there is a score and both
     classes occur."""
     known = pred.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
     counts = known.groupBy(by, F.col(label).cast("int").alias("actual"), F.col(prediction).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per pair of classes
+    return _told(counts, by, lambda: {r[by]: r for r in areas(pred, label, score, by)} if score else {})
+
+
+def _told(counts: list, by: str, areas_by: Callable[[], dict]) -> dict[int, dict[str, float | None]]:
+    """Metrics of rows counted by pair of classes; areas are asked for if both classes occur."""
     both = {g for g in {r[by] for r in counts} if len({r["actual"] for r in counts if r[by] == g}) == 2}
-    under = {r[by]: r for r in areas(pred, label, score, by)} if score and both else {}
-    found = {}
+    under, found = areas_by() if both else {}, {}
     for g in {r[by] for r in counts}:
         rows = [r for r in counts if r[by] == g]
         n = sum(r["n"] for r in rows)

@@ -98,28 +98,37 @@ def train(df: DataFrame, family: str, target: str, stages: Sequence, params: dic
     grown from counts of all rows by bins (:mod:`panelwright.ml.cells`), or by Spark where these would be too many; nets are
     fitted by :mod:`panelwright.ml.nets`."""
     df = df.withColumn(target, F.col(target).cast("double"))
-    if family in ("rf", "gbt", "mlp"):
+    if family in ("rf", "gbt"):
+        estimator = _estimator(family, target, params, weight, seed, features)
+        prepared, model = cells.fit_columns(df, stages, estimator, family, target, weight, features) or (None, None)
+        if prepared is None:
+            prepared = Pipeline(stages=list(stages)).fit(df)
+            model = cells.fit(prepared.transform(df), estimator, family, target, weight, features)
+        return PipelineModel([*prepared.stages, model or estimator.fit(prepared.transform(df))])
+    if family == "mlp":
         prepared = Pipeline(stages=list(stages)).fit(df)
         ready = prepared.transform(df)
         estimator = _estimator(family, target, params, weight, seed, features, **_shape(ready, family, target, features))
-        if family == "mlp":
-            model = nets.fit_all([ready], [(0, estimator)], target, features)[0] if nets.can_fit(estimator) else estimator.fit(ready)
-        else:
-            model = cells.fit(ready, estimator, family, target, weight, features) or estimator.fit(ready)
+        model = nets.fit_all([ready], [(0, estimator)], target, features)[0] if nets.can_fit(estimator) else estimator.fit(ready)
         return PipelineModel([*prepared.stages, model])
     return Pipeline(stages=[*stages, _estimator(family, target, params, weight, seed, features)]).fit(df)
 
 
 def predict(model: PipelineModel, df: DataFrame, family: str) -> DataFrame:
     """``df`` with ``prediction`` and, for classifiers, ``score`` of class 1 (probability, or the decision value)."""
-    out = model.transform(df)
     fam = FAMILIES[family]
+    if isinstance(model.stages[-1], cells.CellModel):
+        return model.stages[-1].scored(PipelineModel(model.stages[:-1]).transform(df))
+    out = model.transform(df)
     return out if fam.score is None else out.withColumn("score", vector_to_array(fam.score)[1])
 
 
 def metrics_by(pred: DataFrame, by: str, family: str, target: str) -> dict[int, dict[str, float | None]]:
     """Metrics of the predictions of each of ``by``, which are made once, however many passes the metrics take."""
     fam = FAMILIES[family]
+    few = evaluation.few_scores_metrics_by(pred, by, target, "prediction", "score") if family in ("rf", "gbt") else None
+    if few is not None:
+        return few
     kept = pred.select(by, target, "prediction", *(["score"] if fam.score else [])).persist()
     try:
         return evaluation.classification_metrics_by(kept, by, target, "prediction", "score" if fam.score else None) if fam.classifier else evaluation.regression_metrics_by(kept, by, target, "prediction")
@@ -243,7 +252,7 @@ def evaluate(model: PipelineModel, test: DataFrame, family: str, target: str, pa
 
     def performance() -> DataFrame:
         row = {**{p: str(v) for p, v in params.items()}, **metrics(pred, family, target)}
-        return test.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if k in params else 'double'}" for k in row))
+        return test.sparkSession.createDataFrame(pa.table({k: pa.array([v], pa.string() if k in params else pa.float64()) for k, v in row.items()}))  # without a Python worker
 
     made = {
         "performance": performance, "predictions": lambda: pred,

@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 def _per_class(df: DataFrame, label: str, weight, out: str) -> DataFrame:
     """``weight(n rows, classes, rows of the class)``; counts per class are few rows.  A null label has null weight."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    few = counts.limit(65_537).toArrow()
+    if few.num_rows <= 65_536:  # counted once; the rows stay where they are
+        counts = df.sparkSession.createDataFrame(few)
+        total, classes = sum(few["_n"].to_pylist()), few.num_rows
+    else:
+        total, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
     per = counts.where(F.col(label).isNotNull()).select(label, weight(F.lit(float(total or 0)), F.lit(float(classes or 1)), F.col("_n")).alias(out))
-    if (classes or 0) <= 65_536:  # the rows stay where they are
+    if few.num_rows <= 65_536:
         per = F.broadcast(per)
     return df.join(per, label, "left").select(*df.columns, out)
 

@@ -308,7 +308,10 @@ NARROWED = {
 def _run(family: str):
     def f(spark, d):
         cv = weights.inverse_class_frequency(_rows(spark, d), "label")
-        folds = materialise(encode.temporal_folds(cv.drop("fold_id"), "date", "label", "row_id"))
+        if family in ("gbt", "rf"):  # nothing is searched, and rows are read twice only
+            folds = encode.holdout(cv.drop("fold_id"), "date")
+        else:
+            folds = materialise(encode.temporal_folds(cv.drop("fold_id"), "date", "label", "row_id"))
         target, inputs = ("label", _FEATURES) if models.FAMILIES[family].classifier else ("hours", _HOURS)
         search = {} if family in FIXED else {"n": SETS, "overrides": NARROWED.get(family, {})}
         return runs.run_model(folds, family, target, models.feature_stages(**inputs), "row_id", FIXED.get(family), parts=["performance"], **search)["performance"]
